@@ -29,7 +29,8 @@ RATE = 16_000
 UP, DOWN, TAPS = 1, 2, 16
 FRAME, HOP, MELS = 256, 128, 32
 PATCH_FRAMES = 64
-ENTER_DB, LEAVE_DB = -9.0, -12.0
+#: Around the file's mean energy.
+ENTER_DB, LEAVE_DB = 0.5, -0.5
 BLOCK = 1 << 20
 UNIT = 64
 
@@ -148,8 +149,8 @@ def seconds(frame: int) -> float:
 def features(media: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Log-mel frames of a file and its active spans."""
     blocks = list(log_mel(samples(media)))
-    mel = np.concatenate([m for m, _ in blocks])
-    return mel, active(np.concatenate([e for _, e in blocks]))
+    mel, energy = (np.concatenate(x) for x in zip(*blocks, strict=True))
+    return mel, active(energy - energy.mean(dtype=np.float64))
 
 
 def feature_text(mel: np.ndarray, spans: np.ndarray) -> str:

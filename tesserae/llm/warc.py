@@ -157,7 +157,7 @@ WITH alphabet AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' AS a),
 p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
 h AS (SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes, sha1(body) AS x FROM p),
 v AS (SELECT page_id, payload_bytes, x, [CAST(('0x' || substr(x, 1 + 5 * k, 5)) AS BIGINT) FOR k IN range(8)] AS fives FROM h),
-d AS (SELECT page_id, payload_bytes, list_aggregate(list_transform(fives, f -> substr(a, CAST((f >> 15) & 31 AS INT) + 1, 1) || substr(a, CAST((f >> 10) & 31 AS INT) + 1, 1)
+d AS (SELECT page_id, payload_bytes, list_aggregate(list_transform(fives, lambda f: substr(a, CAST((f >> 15) & 31 AS INT) + 1, 1) || substr(a, CAST((f >> 10) & 31 AS INT) + 1, 1)
   || substr(a, CAST((f >> 5) & 31 AS INT) + 1, 1) || substr(a, CAST(f & 31 AS INT) + 1, 1)), 'string_agg', '') AS payload_digest FROM v, alphabet),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS original FROM d)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
