@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from tesserae.llm.html_text import op9_html_text
 from tesserae.llm.media import op6_media_columns
+from tesserae.llm.pieces import op1_sentencepiece
+from tesserae.llm.quality import op8_quality
+from tesserae.llm.toxicity import op7_toxicity
+from tesserae.llm.vptree import op4_nearest
 from tesserae.llm.warc import OP2_SQL, op2_warc
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_warc": op2_warc,
+    "op4_nearest": op4_nearest,
     "op6_media_columns": op6_media_columns,
+    "op7_toxicity": op7_toxicity,
+    "op8_quality": op8_quality,
+    "op9_html_text": op9_html_text,
 }
 
 ORACLE_SQL = {"op2_warc": OP2_SQL}
