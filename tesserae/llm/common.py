@@ -2,63 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.sources.scratch import bucketed, scratch, shared_dir, stored
+from tesserae.sources.tables import table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; only where it is unset (tests), a local one."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tesserae-"))
-        named = sc.getCheckpointDir()
-    return named
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/tesserae-{label}-{uuid.uuid4().hex}"
-
-    def clean() -> None:
-        try:
-            remove(spark, path)
-        except Exception:  # noqa: BLE001  the session is gone; its owner clears the folder
-            return
-
-    atexit.register(clean)
-    return path
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder as Parquet and read again: lineage ends there and a lost executor loses nothing."""
-    path = scratch(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """The given names, each with underscores put before it until no column of df has it."""
-    have, out = {c.lower() for c in df.columns}, []
-    for n in names:
-        while n.lower() in have:
-            n = f"_{n}"
-        have.add(n.lower())
-        out.append(n)
-    return out
+__all__ = ["bucketed", "scratch", "shared_dir", "stored", "table", "text_bytes"]
 
 
 def text_bytes(col):

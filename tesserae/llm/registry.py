@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tesserae.llm.html_text import op9_html_text
+from tesserae.llm.jaccard_join import OP10_SQL, op10_jaccard_join
 from tesserae.llm.media import op6_media_columns
 from tesserae.llm.pieces import op1_sentencepiece
 from tesserae.llm.quality import op8_quality
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op9_html_text": op9_html_text,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLE_SQL = {"op2_warc": OP2_SQL}
+ORACLE_SQL = {"op2_warc": OP2_SQL, "op10_jaccard_join": OP10_SQL}
