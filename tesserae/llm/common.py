@@ -7,9 +7,20 @@ from pyspark.sql import functions as F
 from tesserae.sources.scratch import bucketed, scratch, shared_dir, stored
 from tesserae.sources.tables import table
 
-__all__ = ["bucketed", "scratch", "shared_dir", "stored", "table", "text_bytes"]
+__all__ = ["bucketed", "fresh", "scratch", "shared_dir", "stored", "table", "text_bytes"]
 
 
 def text_bytes(col):
     """UTF-8 bytes of a text column, empty for null."""
     return F.coalesce(F.encode(col, "UTF-8"), F.lit(b""))
+
+
+def fresh(df, *names: str) -> list[str]:
+    """The given names, each with underscores put before it until no column of df has it."""
+    have, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in have:
+            n = f"_{n}"
+        have.add(n.lower())
+        out.append(n)
+    return out

@@ -23,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tesserae.llm import words as W
-from tesserae.llm.common import table, text_bytes
+from tesserae.llm.common import fresh, table, text_bytes
 
 WINDOW, STRIDE = 24, 12
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 15, 1 << 15
@@ -326,6 +327,21 @@ def score(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text"
     return docs.select(F.col(key).alias("key"), text_bytes(F.col(text)).alias("raw")).mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
 
 
+def score_rows(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
+    """docs with one more column, score, or with underscores before that name if docs has it."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(net), len(docs.columns)
+    (name,) = fresh(docs, "score")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared.value
+        for b in batches:
+            found = [net.scores(W.split(buf, offsets)) for _, _, buf, offsets in W.chunks(b.column(at))]
+            columns = [b.column(k) for k in range(at)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(found) if found else [], pa.float64())], [*b.schema.names[:at], name])
+
+    return docs.select("*", text_bytes(F.col(text)).alias("raw")).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
