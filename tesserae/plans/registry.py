@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tesserae.plans import relational, timeseries
+from tesserae.plans import history, relational, timeseries
 
-_MODULES = [timeseries, relational]
+_MODULES = [timeseries, relational, history]
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in _MODULES for name, q in m.ORACLE_SQL.items()}
