@@ -32,7 +32,7 @@ WINDOW, STRIDE = 24, 12
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 15, 1 << 15
 WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 6, 6, 8, 8
 GRAMS = (3, 4)
-POSITIVES, NEGATIVES, TRAIN_BYTES = 1500, 3000, 20_000
+POSITIVES, NEGATIVES, TRAIN_BYTES = 1200, 2400, 12_000
 STEPS, BATCH, RATE = 260, 384, 0.01
 CUT = 0.3
 BLOCK = 4096
@@ -185,7 +185,7 @@ class Network:
         g["a"], g["ab"] = np.einsum("tnk,tna->ka", s, de, optimize=True), de.sum(axis=(0, 1))
         ds = weight[..., None] * dpool + de @ p["a"].T
         g["h"] = np.zeros_like(p["h"])
-        dgates = np.zeros((2, len(x) + 1, 3 * H), _F)
+        dx_all = np.empty((2, WINDOW, n, 3 * H), _F)
         dh = np.zeros((2, n, H), _F)
         for t in range(WINDOW - 1, -1, -1):
             back = WINDOW - 1 - t
@@ -198,11 +198,13 @@ class Network:
             du = np.concatenate([dz, dr, dc * r], axis=2)
             g["h"] += h.transpose(0, 2, 1) @ du
             dh = np.where(live[..., None], own * z, dh) + du @ p["h"].transpose(0, 2, 1)
-            for k, col in ((0, t), (1, back)):
-                flat = rows[:, col]
-                for j in range(3 * H):
-                    dgates[k, :, j] += np.bincount(flat + (flat < 0) * (len(x) + 1), weights=dx[k, :, j], minlength=len(x) + 1)[: len(x) + 1]
-        dgates = dgates[:, :-1]
+            dx_all[0, t], dx_all[1, back] = dx[0], dx[1]
+        # Sums over the places of each distinct word.
+        place = rows.T.ravel()
+        order = np.argsort(place, kind="stable")[(place < 0).sum() :]
+        edge = np.flatnonzero(np.diff(place[order], prepend=-1))
+        dgates = np.zeros((2, len(x), 3 * H), _F)
+        dgates[:, place[order][edge]] = np.add.reduceat(dx_all.reshape(2, -1, 3 * H)[:, order], edge, axis=1)
         g["b"] = dgates.sum(axis=1, keepdims=True)
         g["x"] = x.T @ dgates
         dinput = (dgates @ p["x"].transpose(0, 2, 1)).sum(axis=0)
@@ -233,11 +235,12 @@ class _Adam:
                 self.p[k] -= (self.rate * fix * self.m[k] / (np.sqrt(self.v[k]) + 1e-7)).astype(_F)
 
 
-def _log_odds(keys: np.ndarray, doc: np.ndarray, label: np.ndarray, buckets: int) -> np.ndarray:
+def _log_odds(per_doc: Iterator[np.ndarray], label: np.ndarray, buckets: int) -> np.ndarray:
     """Of each bucket, log odds of the two classes' shares of documents that hold it, shrunk for rare ones."""
-    pair = np.unique(doc.astype(np.int64) * buckets + keys)
-    d, b = pair // buckets, pair % buckets
-    pos, neg = (np.bincount(b[label[d] == c], minlength=buckets) for c in (1, 0))
+    held = np.zeros((2, buckets))
+    for c, keys in zip(label, per_doc, strict=True):
+        held[c, np.unique(keys)] += 1
+    neg, pos = held
     share = (label == 1).mean()
     return (np.log((pos + 4 * share) / (neg + 4 * (1 - share))) - np.log(share / (1 - share))).clip(-3, 3).astype(_F)
 
@@ -251,15 +254,19 @@ def train(texts: list[bytes], labels: list[int], steps: int = STEPS, seed: int =
     buf = np.frombuffer(b"".join(texts), np.uint8)
     words = W.split(buf, np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
     f = Features(words)
-    doc_of_word = np.repeat(np.arange(len(texts)), np.diff(words.bounds))
-    net.p["word"][:, 0] = _log_odds(f.word[f.token], doc_of_word, label, WORD_BUCKETS)
-    tokens, starts = f.token, f.gram_starts()
-    reps = f.counts[tokens]
-    grams = f.gram[np.repeat(starts[tokens], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)]
-    net.p["gram"][:, 0] = 2 * _log_odds(grams, np.repeat(doc_of_word, reps), label, GRAM_BUCKETS)
+    starts = f.gram_starts()
+
+    def grams(tokens: np.ndarray) -> np.ndarray:
+        """All n-grams of some distinct words."""
+        counts = f.counts[tokens]
+        return f.gram[np.repeat(starts[tokens], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
+
+    in_doc = [np.unique(f.token[a:b]) for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
+    net.p["word"][:, 0] = _log_odds((f.word[t] for t in in_doc), label, WORD_BUCKETS)
+    net.p["gram"][:, 0] = 2 * _log_odds((grams(t) for t in in_doc), label, GRAM_BUCKETS)
     at, first = windows(words.bounds)
     doc = np.repeat(np.arange(len(texts)), np.diff(np.append(first, len(at))))
-    rows = np.append(tokens, -1)[at]
+    rows = np.append(f.token, -1)[at]
     rng, adam = np.random.default_rng(seed), _Adam(net.p, RATE)
     negatives = np.flatnonzero(label[doc] == 0)
     # Before the first pass, a document's window with the largest log odds of words and n-grams stands for it.
@@ -277,13 +284,14 @@ def train(texts: list[bytes], labels: list[int], steps: int = STEPS, seed: int =
         if step in (0, steps // 3, 2 * steps // 3):
             best = top()
             good, hard = best[label[doc[best]] == 1], best[label[doc[best]] == 0]
+            hard = hard[np.argsort(-score[hard], kind="stable")[: max(64, len(hard) // 8)]]
         pick = np.concatenate([rng.choice(good, BATCH // 3), rng.choice(hard, BATCH // 3), rng.choice(negatives, BATCH - 2 * (BATCH // 3))])
         used, local = np.unique(rows[pick], return_inverse=True)
         local = local.reshape(-1, WINDOW) - (used[0] < 0)
         used = used[used >= 0]
         part = Features.__new__(Features)
         part.word, part.counts = f.word[used], f.counts[used]
-        part.gram = f.gram[np.repeat(starts[used], part.counts) + np.arange(part.counts.sum()) - np.repeat(part.gram_starts(), part.counts)]
+        part.gram = grams(used)
         adam.rate = RATE * (1 - step / steps) + 1e-4
         _, g = net.gradients(part, local, (label[doc[pick]] == 1).astype(_F))
         adam.step(g)

@@ -63,14 +63,21 @@ class Words:
     bounds: np.ndarray
 
     def hashes(self, fold: bool = True) -> np.ndarray:
-        if not len(self.starts):
-            return np.zeros(0, _U)
-        up, down = _powers(len(self.buf) + 1)
-        total = np.empty(len(self.buf) + 1, _U)
-        total[0] = 0
-        np.cumsum(_TABLES[fold][self.buf] * up[:-1], out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * down[self.starts]
-        return mix(h + (self.ends - self.starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+        out = np.empty(len(self.starts), _U)
+        first = 0
+        while first < len(out):  # blocks of whole words, so that memory follows CHUNK_BYTES and the longest word
+            begin = self.starts[first]
+            last = max(first + 1, int(np.searchsorted(self.ends, begin + CHUNK_BYTES, side="right")))
+            starts, ends = self.starts[first:last] - begin, self.ends[first:last] - begin
+            part = self.buf[begin : begin + ends[-1]]
+            up, down = _powers(len(part) + 1)
+            total = np.empty(len(part) + 1, _U)
+            total[0] = 0
+            np.cumsum(_TABLES[fold][part] * up[:-1], out=total[1:])
+            h = (total[ends] - total[starts]) * down[starts]
+            out[first:last] = mix(h + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+            first = last
+        return out
 
 
 def split(buf: np.ndarray, offsets: np.ndarray) -> Words:
