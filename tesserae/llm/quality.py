@@ -27,7 +27,7 @@ from tesserae.llm.toxicity import held_out
 
 BUCKETS = 1 << 17
 BINS = 12
-SAMPLE, TRAIN_BYTES = 8000, 40_000
+SAMPLE, TRAIN_BYTES = 4000, 20_000
 STEPS, BATCH, RATE, DECAY = 900, 128, 0.03, 1e-4
 KEEP = 0.5
 MEASURES = ("capitals", "digits", "symbols", "beyond_ascii", "word_length", "repeated_next", "distinct", "ends_odd")
@@ -110,8 +110,9 @@ def train(texts: list[bytes], ratings: list[float], steps: int = STEPS, seed: in
     model = Ordinal(grades, np.zeros(BUCKETS + len(MEASURES) * BINS))
     if len(grades) < 2:
         return model
-    words = W.split(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
-    d, b, v = features(words)
+    parts = [(first, features(W.split(buf, offsets))) for first, _, buf, offsets in W.chunks(pa.array(texts, pa.binary()))]
+    d, b, v = np.concatenate([f[0] + first for first, f in parts]), np.concatenate([f[1] for _, f in parts]), np.concatenate([f[2] for _, f in parts])
+    del parts
     starts = np.searchsorted(d, np.arange(len(texts) + 1))
     y = np.searchsorted(grades, ratings)
     share = np.cumsum(np.bincount(y, minlength=len(grades)))[:-1] / len(y)
