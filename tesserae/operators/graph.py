@@ -31,3 +31,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         before = now
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def roots(edges: DataFrame, max_hops: int = 8) -> DataFrame:
+    """child, root and hops of each child. edges: one row (child, parent) a child, parent null at an origin.
+
+    Pointer jumping: each join doubles the hops that a pointer spans, so that max_hops (a power of two) takes its
+    logarithm of joins; a parent that has no row of its own is as far as a walk goes, and cycles end at max_hops.
+    """
+    up = edges.select("child", F.coalesce("parent", "child").alias("root"), F.col("parent").isNotNull().cast("int").alias("hops"))
+    span = 1
+    while span < max_hops:
+        nxt = up.select(F.col("child").alias("_c"), F.col("root").alias("_r"), F.col("hops").alias("_h"))
+        up = up.join(nxt, F.col("root") == F.col("_c"), "left").select("child", F.coalesce("_r", "root").alias("root"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"))
+        span *= 2
+    return up

@@ -35,14 +35,14 @@ def asof_vintage(spark: SparkSession, d: str) -> DataFrame:
     return as_of(li, ["l_orderkey"], "l_shipdate", "version", F.lit("1998-06-30").cast("timestamp_ntz")).drop("version")
 
 
-@query("""SELECT t.o_orderkey AS target, count(h.o_orderkey) AS history, round(CAST(sum(CAST(round(h.o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(h.o_orderkey) / 100, 2) AS mean_price FROM orders t LEFT JOIN orders h ON h.o_custkey = t.o_custkey AND h.o_orderdate < t.o_orderdate GROUP BY 1""")
+@query("""SELECT t.o_orderkey AS target, count(h.o_orderkey) AS history, round(CAST(sum(CAST(round(h.o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(h.o_orderkey) / 100, 6) AS mean_price FROM orders t LEFT JOIN orders h ON h.o_custkey = t.o_custkey AND h.o_orderdate < t.o_orderdate GROUP BY 1""")
 def asof_history(spark: SparkSession, d: str) -> DataFrame:
     """What was known before each target, as running sums over its key: no pairing of targets with their histories."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     same = Window.partitionBy("o_custkey", "o_orderdate")
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"))
     o = o.withColumns({"n": F.count("*").over(w) - F.count("*").over(same), "total": F.sum("cents").over(w) - F.sum("cents").over(same)})
-    return o.select(F.col("o_orderkey").alias("target"), F.col("n").alias("history"), F.round(F.when(F.col("n") > 0, F.col("total") / F.col("n") / 100), 2).alias("mean_price"))
+    return o.select(F.col("o_orderkey").alias("target"), F.col("n").alias("history"), F.round(F.when(F.col("n") > 0, F.col("total") / F.col("n") / 100), 6).alias("mean_price"))
 
 
 @query("""WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber, o_custkey, l_shipdate FROM lineitem JOIN orders ON o_orderkey = l_orderkey), j AS (SELECT l.*, o.o_orderkey AS last_order, o.o_orderdate AS o_orderdate, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_shipdate ORDER BY o.o_orderdate DESC, o.o_orderkey DESC) AS rn

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tesserae.plans import history, relational, timeseries
+from tesserae.plans import claims, history, relational, texts, timeseries
 
-_MODULES = [timeseries, relational, history]
+_MODULES = [timeseries, relational, history, texts, claims]
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in _MODULES for name, q in m.ORACLE_SQL.items()}
