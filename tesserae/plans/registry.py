@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from tesserae.streaming import jobs
 from tesserae.plans import claims, history, relational, texts, timeseries
 
-_MODULES = [timeseries, relational, history, texts, claims]
+_MODULES = [timeseries, relational, history, texts, claims, jobs]
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in _MODULES for name, q in m.ORACLE_SQL.items()}
