@@ -106,6 +106,7 @@ class Model:
         self.worst = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10
         self._fits: dict[tuple[str, str], bool] = {}
         self._kept: dict[str, bytes] = {}
+        self._last: dict[str, str] = {}
         self._text = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else p.replace(MARK, " ").encode() for p, t in zip(self.pieces, self.types, strict=True)]
         if self.types:
             self._text[self.unknown] = " ⁇ ".encode()
@@ -174,6 +175,36 @@ class Model:
                         back[low] = path[-1] if bpe else ""
         yield from self._path(back, len(text))
 
+    def last(self, text: str) -> str:
+        """The piece that ends the BPE path of a short text; boundaries are looked at only where a piece of the vocabulary starts."""
+        known = self._last.get(text)
+        if known is not None:
+            return known
+        ids, fits, n = self.ids, self._fits, len(text)
+        out = text[-1:]
+        for begin in range(max(0, n - self.longest), n - 1):
+            piece = text[begin:]
+            if piece in ids:
+                left = self.last(text[:begin]) if begin else ""
+                ok = fits.get((left, piece))
+                if ok or (ok is None and self.fits(left, piece)):
+                    out = piece
+                    break
+        if len(self._last) >= 2 * KEPT_WORDS:
+            self._last.clear()
+        self._last[text] = out
+        return out
+
+    def word(self, text: str) -> list[str]:
+        """Pieces of one word: by its prefixes' kept back pointers if it is short, else in a stream."""
+        if self.kind != BPE or len(text) > 48:
+            return list(self.stream([text]))
+        out = []
+        while text:
+            out.append(self.last(text))
+            text = text[: -len(out[-1])]
+        return out[::-1]
+
     @staticmethod
     def _path(back: list[str | None], end: int) -> list[str]:
         out = []
@@ -221,7 +252,7 @@ class Model:
         for word in re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", text):
             ids = kept.get(word)
             if ids is None:
-                ids = np.array(self._ids_of(self.stream([word])), np.int32).tobytes()
+                ids = np.array(self._ids_of(self.word(word)), np.int32).tobytes()
                 if len(word) <= 64:
                     if len(kept) >= KEPT_WORDS:
                         kept.clear()
