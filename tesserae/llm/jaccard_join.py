@@ -4,10 +4,11 @@
 2. Highly similar classes are found first: each class has a few min-hash keys, and each member of a key's group is held
    against the group's leader only. Linked classes form first components.
 3. The exact join: tokens are put in a global order, tokens of many documents last (counts from a count sketch of fixed
-   width), and each set is listed under its first n - ceil(0.8 n) + 1 tokens: two sets that link share one of these. A list
+   width), and each set is listed under its first n - ceil(0.8 n) + SHARED tokens: two sets that link share SHARED of these
+   (or as many as they need to share at all, if fewer). A list
    is sorted by set size; a set is held against those after it until the sizes differ too much, which skips the rest of
    the list in one block, and pairs are skipped by position: what may still follow in both sets can't reach the needed
-   overlap. Pairs within a component are skipped, as their answer is known.
+   overlap. Pairs within a component are skipped, as their answer is known, and so are pairs with fewer shared tokens.
 4. Verification goes by answers of similar sets: candidates y of several sets x of one star are compared with the star's
    leader L once, |L & y|; for each x the answer follows from the few tokens in which it differs,
    |x & y| = |L & y| - |(L - x) & y| + |(x - L) & y|. One pair for two components is verified first; once it links
@@ -39,6 +40,8 @@ SIZE = 5
 #: Sets link when DEN * intersection >= NUM * union.
 NUM, DEN = 80, 100
 KEYS, KEY_HASHES = 5, 2
+#: Tokens of their listed ones that two sets have to share; each costs a listing more for every set.
+SHARED = 6
 SKETCH_BITS = 20
 _CHUNK = 1 << 12
 _U = np.uint64
@@ -51,8 +54,8 @@ def needed(nx, ny):
 
 
 def prefix_size(n):
-    """Tokens under which a set of n is listed."""
-    return n - -(-NUM * n // DEN) + 1
+    """Tokens under which a set of n is listed, all at most."""
+    return np.minimum(n, n - -(-NUM * n // DEN) + SHARED)
 
 
 def _min_hash_keys(s: np.ndarray) -> list[int]:
@@ -178,8 +181,22 @@ def candidates(listed: DataFrame) -> DataFrame:
         length = np.diff(np.append(edge, len(token)))
         keep = np.repeat(lo != hi, length)
         token, ident, size, at, comp = (v[keep] for v in (token, ident, size, at, comp))
-        seen: np.ndarray | None = None
+        names, own = np.unique(ident, return_inverse=True)
+        comp_of = np.zeros(len(names), np.int64)
+        comp_of[own] = comp
+        keys: list[np.ndarray] = []
+        size_of = np.zeros(len(names), np.int64)
+        size_of[own] = size
         left = np.arange(len(token))
+
+        def told() -> pa.RecordBatch:
+            k, n = np.unique(np.concatenate(keys), return_counts=True)
+            keys.clear()
+            x, y = k // len(names), k % len(names)
+            need = np.minimum(SHARED, needed(size_of[x], size_of[y]))
+            return pa.RecordBatch.from_arrays([pa.array(names[x]), pa.array(names[y]), pa.array(comp_of[x]), pa.array(comp_of[y]), pa.array(need), pa.array(n)], ["x", "y", "cx", "cy", "need", "n"])
+
+        held = 0
         for k in range(1, len(token)):
             left = left[left + k < len(token)]
             right = left + k
@@ -188,21 +205,22 @@ def candidates(listed: DataFrame) -> DataFrame:
             left, right = left[near], right[near]
             if not len(left):
                 break
+            # The first SHARED common tokens of sets that link leave at least this much to come.
             rest = np.minimum(size[left] - at[left], size[right] - at[right])
-            good = (comp[left] != comp[right]) & (ident[left] != ident[right]) & (rest >= needed(size[left], size[right]))
+            good = (comp[left] != comp[right]) & (own[left] != own[right]) & (rest >= needed(size[left], size[right]) - SHARED + 1)
             if good.any():
-                a, b = left[good], right[good]
-                swap = ident[a] > ident[b]
-                a, b = np.where(swap, b, a), np.where(swap, a, b)
-                part = np.unique(np.stack([ident[a], ident[b], comp[a], comp[b]], axis=1), axis=0)
-                seen = part if seen is None else np.unique(np.concatenate([seen, part]), axis=0)
-                if len(seen) > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in seen.T], ["x", "y", "cx", "cy"])
-                    seen = None
-        if seen is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in seen.T], ["x", "y", "cx", "cy"])
+                a, b = own[left[good]], own[right[good]]
+                keys.append(np.minimum(a, b) * len(names) + np.maximum(a, b))
+                held += len(a)
+                if held > 2_000_000:
+                    held = 0
+                    yield told()
+        if keys:
+            yield told()
 
-    return listed.repartition("token").mapInArrow(pairs, "x long, y long, cx long, cy long").distinct()
+    found = listed.repartition("token").mapInArrow(pairs, "x long, y long, cx long, cy long, need long, n long")
+    # An id with several texts has several sizes: its least need holds.
+    return found.groupBy("x", "y").agg(F.min("cx").alias("cx"), F.min("cy").alias("cy"), F.min("need").alias("need"), F.sum("n").alias("n")).filter("n >= need").select("x", "y", "cx", "cy")
 
 
 def listings(sets: DataFrame, places: np.ndarray) -> DataFrame:
@@ -222,7 +240,7 @@ def listings(sets: DataFrame, places: np.ndarray) -> DataFrame:
                 n = len(s)
                 if not n:
                     continue
-                p = prefix_size(n)
+                p = int(prefix_size(n))
                 # Where few tokens are frequent, the order is that of the hashes, with the frequent ones moved back.
                 place = where[(s >> _U(64 - SKETCH_BITS)).astype(np.int64)]
                 first = np.flatnonzero(place == 0)[:p]
