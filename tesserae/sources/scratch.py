@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,9 +49,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
-    """df as a table of the warehouse, dealt by key, so that later joins on key don't shuffle it; dropped at the end."""
+def bucketed(df: DataFrame, label: str, key: str, buckets: int) -> tuple[DataFrame, Callable[[], None]]:
+    """df as a table of the warehouse, dealt by key, so that later joins on key don't shuffle it; and what drops it.
+
+    Call that once nothing reads the table any more; at the latest, it goes when the driver's Python ends.
+    """
     spark, name = df.sparkSession, f"tesserae_{label}_{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").bucketBy(buckets, key).saveAsTable(name)
-    _at_exit(lambda: spark.sql(f"DROP TABLE IF EXISTS {name}"))
-    return spark.table(name)
+
+    def drop() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    _at_exit(drop)
+    return spark.table(name), drop
