@@ -166,10 +166,12 @@ class Network:
         x = self.logits(words).astype(np.float64) - self.shift
         return np.round(1 / (1 + np.exp(-x)), 6)
 
-    def gradients(self, f: Features, rows: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean log loss of windows and its gradients; word and gram get (rows, values) pairs."""
+    def gradients(self, f: Features, rows: np.ndarray, target: np.ndarray, unseen: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean log loss of windows and its gradients; word and gram get (rows, values) pairs. unseen: words told by their n-grams alone."""
         p, H, n, keep = self.p, HIDDEN, len(rows), {}
         x = self.inputs(f)
+        if unseen is not None:
+            x[unseen, :WORD_DIM] = 0
         logit = self.forward(self.gates(x), rows, keep)
         prob = _sigmoid(logit)
         loss = float(np.mean(np.logaddexp(0, logit) - target * logit))
@@ -208,6 +210,8 @@ class Network:
         g["b"] = dgates.sum(axis=1, keepdims=True)
         g["x"] = x.T @ dgates
         dinput = (dgates @ p["x"].transpose(0, 2, 1)).sum(axis=0)
+        if unseen is not None:
+            dinput[unseen, :WORD_DIM] = 0
         g["word"] = (f.word, dinput[:, :WORD_DIM])
         g["gram"] = (f.gram, np.repeat(dinput[:, WORD_DIM:] / f.counts[:, None].astype(_F), f.counts, axis=0))
         return loss, g
@@ -293,7 +297,8 @@ def train(texts: list[bytes], labels: list[int], steps: int = STEPS, seed: int =
         part.word, part.counts = f.word[used], f.counts[used]
         part.gram = grams(used)
         adam.rate = RATE * (1 - step / steps) + 1e-4
-        _, g = net.gradients(part, local, (label[doc[pick]] == 1).astype(_F))
+        # Half of the words lose their own vector at each step, so that n-grams learn to tell words never met.
+        _, g = net.gradients(part, local, (label[doc[pick]] == 1).astype(_F), rng.random(len(used)) < 0.5)
         adam.step(g)
     logit = net.logits(words).astype(np.float64)
     order = np.argsort(-logit, kind="stable")
