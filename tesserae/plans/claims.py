@@ -94,11 +94,11 @@ def confidence_state(spark: SparkSession, d: str) -> DataFrame:
 # -- lineage ----------------------------------------------------------------------------------------------------------
 
 
-@query("""WITH d AS (SELECT doc_id, source, substr(regexp_extract(text, '^[^\\n]*', 0), 1, 80) AS title FROM documents), c AS (SELECT c.doc_id AS child, p.doc_id AS parent, row_number() OVER (PARTITION BY c.doc_id ORDER BY p.doc_id) AS rn FROM d c JOIN d p ON c.title = p.title AND p.doc_id < c.doc_id WHERE length(c.title) >= 20)
+@query("""WITH d AS (SELECT doc_id, source, regexp_extract(text, '^[^\\n]*', 0) AS title FROM documents), c AS (SELECT c.doc_id AS child, p.doc_id AS parent, row_number() OVER (PARTITION BY c.doc_id ORDER BY p.doc_id) AS rn FROM d c JOIN d p ON c.title = p.title AND p.doc_id < c.doc_id WHERE length(c.title) >= 20)
   SELECT doc_id AS child, parent, CASE WHEN parent IS NULL THEN 'original' WHEN d.source <> p.source THEN 'syndicated' ELSE 'rewritten' END AS relation FROM d LEFT JOIN c ON c.child = d.doc_id AND rn = 1 LEFT JOIN (SELECT doc_id AS pid, source FROM d) p ON p.pid = parent""")
 def lineage_best_parent(spark: SparkSession, d: str) -> DataFrame:
     """Each document's most senior one with the same title: a minimum per title, no pairs."""
-    title = F.substring(F.regexp_extract("text", r"^[^\n]*", 0), 1, 80)
+    title = F.regexp_extract("text", r"^[^\n]*", 0)
     docs = table(spark, d, "documents").select("doc_id", "source", title.alias("title"))
     lead = docs.filter(F.length("title") >= 20).groupBy("title").agg(F.min(F.struct("doc_id", "source")).alias("p"))
     j = docs.join(lead, "title", "left").withColumn("parent", F.when(F.col("p.doc_id") < F.col("doc_id"), F.col("p.doc_id")))

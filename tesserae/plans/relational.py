@@ -197,11 +197,11 @@ def left_latest(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), c AS (SELECT a.l_partkey AS part, b.l_partkey AS other, count(*) AS n FROM p a JOIN p b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey
-  WHERE a.l_partkey <= 50 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY n DESC, other) AS rank FROM c) SELECT part, other, n, rank FROM r WHERE rank <= 8""")
+  GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY n DESC, other) AS rank FROM c) SELECT part, other, n, rank FROM r WHERE rank <= 8""")
 def co_occurrence(spark: SparkSession, d: str) -> DataFrame:
-    """What appears with each of some parts in an order, the 8 most frequent."""
+    """What appears with each part in an order, the 8 most frequent."""
     p = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    a, b = p.filter("l_partkey <= 50").select("l_orderkey", F.col("l_partkey").alias("part")), p.select("l_orderkey", F.col("l_partkey").alias("other"))
+    a, b = p.select("l_orderkey", F.col("l_partkey").alias("part")), p.select("l_orderkey", F.col("l_partkey").alias("other"))
     c = a.join(b, "l_orderkey").filter("part <> other").groupBy("part", "other").agg(F.count("*").alias("n"))
     return c.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("n"), "other"))).filter("rank <= 8")
 

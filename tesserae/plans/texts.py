@@ -94,7 +94,7 @@ def dedupe_two_stage(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "copies", F.sort_array("s").alias("sources"))
 
 
-_TITLE = "substr(regexp_extract(text, '^[^\\n]*', 0), 1, 200)"
+_TITLE = "regexp_extract(text, '^[^\\n]*', 0)"
 _TNORM = _NORM.replace("text", _TITLE)
 _SH = f"""t AS (SELECT doc_id, string_split({_TNORM}, ' ') AS w FROM documents), s AS (SELECT doc_id, list_distinct([array_to_string(w[i:i+2], ' ') FOR i IN range(1, greatest(len(w) - 1, 2))]) AS sh FROM t WHERE len(w) >= 6)"""
 _PAIRS = f"""{_SH}, c AS (SELECT md5(array_to_string(list_sort(sh), '|')) AS cls, min(doc_id) AS rep, any_value(sh) AS sh FROM s GROUP BY 1), u AS (SELECT rep, len(sh) AS n, unnest(sh) AS h FROM c),
@@ -102,8 +102,8 @@ _PAIRS = f"""{_SH}, c AS (SELECT md5(array_to_string(list_sort(sh), '|')) AS cls
 
 
 def titled(docs: DataFrame) -> DataFrame:
-    """(doc_id, sh): shingles of the first line's first 200 characters, for titles of six words or more."""
-    title = F.substring(F.regexp_extract("text", r"^[^\n]*", 0), 1, 200)
+    """(doc_id, sh): shingles of the first line, for titles of six words or more."""
+    title = F.regexp_extract("text", r"^[^\n]*", 0)
     w = F.split(text.normalize_text(title), " ")
     return docs.select("doc_id", w.alias("w")).filter(F.size("w") >= 6).select("doc_id", text.shingles(F.col("w"), 3).alias("sh"))
 
@@ -137,10 +137,10 @@ def near_dup_components(spark: SparkSession, d: str) -> DataFrame:
     return components(similar_titles(_docs(spark, d)).select("a", "b"))
 
 
-@query("""WITH v AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings WHERE vec_id < 80) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 4) AS sim FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.e, b.e), 4) >= 0.25""")
+@query("""WITH v AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings ORDER BY label DESC, vec_id LIMIT 80) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 4) AS sim FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.e, b.e), 4) >= 0.25""")
 def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """The head of 80 vectors against itself: the head's size is the feature, so the join is of 80 x 80 rows whatever the table."""
-    head = table(spark, d, "embeddings").filter("vec_id < 80").select("vec_id", "embedding")
+    """The 80 best vectors (by label here) against each other: the head's size is the feature, so the join is of 80 x 80 rows whatever the table."""
+    head = table(spark, d, "embeddings").orderBy(F.desc("label"), "vec_id").limit(80).select("vec_id", "embedding")
     a, b = head.select(F.col("vec_id").alias("a"), F.col("embedding").alias("ea")), head.select(F.col("vec_id").alias("b"), F.col("embedding").alias("eb"))
     return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.round(numeric.cosine(F.col("ea"), F.col("eb")), 4).alias("sim")).filter("sim >= 0.25")
 
