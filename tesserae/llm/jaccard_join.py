@@ -109,9 +109,10 @@ def summaries(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
 
 def heat(sketch: np.ndarray) -> np.ndarray:
-    """A cell's place in the token order: 0 up to four times the mean count, then one more for each doubling."""
+    """A cell's place in the token order: 0 up to four deviations (of a Poisson count) above the mean, then one more for each doubling of the excess."""
     mean = max(1.0, float(sketch.mean()))
-    return np.floor(np.log2(np.maximum(1, sketch / (4 * mean))) + (sketch > 4 * mean)).astype(np.uint8)
+    excess = (sketch - mean) / (4 * mean**0.5)
+    return np.where(excess > 1, 1 + np.floor(np.log2(np.maximum(1, excess))), 0).astype(np.uint8)
 
 
 def overlaps(asked: DataFrame, texts: DataFrame) -> DataFrame:
@@ -266,7 +267,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     classes = stored(classes, "classes")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     # Texts of the classes' smallest ids, dealt by id once for all the joins below. An id with several texts keeps them all.
-    texts = bucketed(source.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "texts", "id", buckets)
+    texts, drop_texts = bucketed(source.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "texts", "id", buckets)
 
     # Ids in several classes, then first links: members of a key's group against its leader.
     spread = rows.filter("n > 0 and id is not null").select("id", "digest").join(classes.select("digest", "rep"), "digest").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b", "id")
@@ -291,6 +292,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     third = stored(overlaps(starred(rest), texts), "third")
     final = components(some.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(third.select(F.col("x").alias("a"), F.col("y").alias("b"))))
 
+    drop_texts()  # the rest reads stored tables only
     of_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(of_class, "digest", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
     return out
