@@ -79,8 +79,8 @@ def pieces(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "h long, id long, at long, extent long")
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(digest, id, at, size, bands, raw) of each line of MIN_WORDS words or more. docs: id, raw."""
+def paragraphs(docs: DataFrame, banded: bool = True) -> DataFrame:
+    """(digest, id, at, size, bands, raw) of each line of MIN_WORDS words or more; the last two null unless banded. docs: id, raw."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -96,11 +96,13 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                     doc = int(np.searchsorted(offsets, cuts[k], side="right")) - 1
                     begin, end = int(w.starts[lo]), int(w.ends[hi - 1])
                     own = hashes[lo:hi]
-                    s = W.shingles(own, SHINGLE)
-                    mins = np.array([(s * seed).min() for seed in _SEEDS]).reshape(BANDS, ROWS)
-                    bands = [int.from_bytes(hashlib.blake2b(bytes([j]) + m.tobytes(), digest_size=8).digest(), "little", signed=True) for j, m in enumerate(mins)]
+                    bands = None
+                    if banded:
+                        s = W.shingles(own, SHINGLE)
+                        mins = np.array([(s * seed).min() for seed in _SEEDS]).reshape(BANDS, ROWS)
+                        bands = [int.from_bytes(hashlib.blake2b(bytes([j]) + m.tobytes(), digest_size=8).digest(), "little", signed=True) for j, m in enumerate(mins)]
                     digest = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
-                    rows.append((digest, int(ids[first + doc]), begin - int(offsets[doc]), end - begin, bands, buf[begin:end].tobytes()))
+                    rows.append((digest, int(ids[first + doc]), begin - int(offsets[doc]), end - begin, bands, buf[begin:end].tobytes() if banded else None))
                 if rows:
                     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["digest", "id", "at", "size", "bands", "raw"])
@@ -126,8 +128,7 @@ def similar(pairs: DataFrame) -> DataFrame:
 
 def near_lines(docs: DataFrame) -> DataFrame:
     """(id, at, size, words, keeper): lines to remove, as another document has a near-equal one. docs: id, raw."""
-    lines = stored(paragraphs(docs), "lines")
-    texts = lines.groupBy("digest").agg(F.min(F.struct("id", "at")).alias("first"), F.min("bands").alias("bands"), F.first("raw").alias("raw"))
+    texts = paragraphs(docs).groupBy("digest").agg(F.min(F.struct("id", "at")).alias("first"), F.min("bands").alias("bands"), F.first("raw").alias("raw"))
     texts = stored(texts, "texts")
     banded = texts.select("digest", F.explode("bands").alias("band"))
     leads = banded.groupBy("band").agg(F.min("digest").alias("x"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -138,12 +139,13 @@ def near_lines(docs: DataFrame) -> DataFrame:
     of = texts.select("digest", "first").join(clusters.withColumnRenamed("node", "digest"), "digest")
     keepers = of.groupBy("component").agg(F.min("first").alias("keep"))
     removed = of.join(keepers, "component").select("digest", F.col("keep.id").alias("keeper"))
-    return lines.select("digest", "id", "at", "size").join(removed, "digest").filter("id <> keeper").select("id", "at", "size", F.lit(MIN_WORDS).cast("long").alias("words"), "keeper")
+    # A second scan finds the lines' places; it is cheaper than a table of all lines.
+    return paragraphs(docs, banded=False).select("digest", "id", "at", "size").join(removed, "digest").filter("id <> keeper").select("id", "at", "size", F.lit(MIN_WORDS).cast("long").alias("words"), "keeper")
 
 
 def repeated_pieces(docs: DataFrame) -> DataFrame:
     """(id, at, size, words, keeper): pieces that a document of a smaller id has too. docs: id, raw."""
-    cut = stored(pieces(docs), "pieces")
+    cut = pieces(docs)  # computed for both sides: a table of all pieces would be as large as the texts
     shared = cut.groupBy("h").agg(F.min("id").alias("keeper"), F.max("id").alias("top")).filter("keeper < top").select("h", "keeper")
     found = cut.join(shared, "h").filter("id <> keeper")
     return found.select("id", "at", F.shiftright("extent", 24).alias("size"), F.col("extent").bitwiseAND((1 << 24) - 1).alias("words"), "keeper")
