@@ -2,8 +2,8 @@
 
 Paragraphs are of two kinds. Lines of MIN_WORDS words or more are compared approximately: BANDS bands of ROWS min-hashes
 over their word shingles (a pair at similarity 0.8 shares no band in about 7 of 10000 cases), each member of a band
-against the band's smallest, exact Jaccard of 0.8 or more to link, and connected components as clusters. Because shared passages
-also start and end inside lines, texts are cut at content-defined anchors too (the smallest k-word hash of each window
+against the band's smallest, then all pairs of a band that this left in different components, exact Jaccard of 0.8 or more
+to link, and connected components as clusters. Because shared passages also start and end inside lines, texts are cut at content-defined anchors too (the smallest k-word hash of each window
 of WINDOW words), so that a passage of more than 50 words is cut alike wherever it stands; equal pieces are clusters.
 
 A cluster keeps its copy in the smallest document id; copies in other documents are removed: near-equal lines whole, and
@@ -132,9 +132,18 @@ def near_lines(docs: DataFrame) -> DataFrame:
     texts = stored(texts, "texts")
     banded = texts.select("digest", F.explode("bands").alias("band"))
     leads = banded.groupBy("band").agg(F.min("digest").alias("x"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    asked = banded.join(leads, "band").filter("x <> digest").select("x", F.col("digest").alias("y")).distinct()
+    members = stored(banded.join(leads, "band"), "members")
     side = lambda c: texts.select(F.col("digest").alias(c), F.col("raw").alias(f"raw_{c}"))
-    links = similar(asked.join(side("x"), "x").join(side("y"), "y").select("x", "y", "raw_x", "raw_y"))
+    linked = lambda asked: similar(asked.join(side("x"), "x").join(side("y"), "y").select("x", "y", "raw_x", "raw_y"))
+    led = members.filter("x <> digest").select("x", F.col("digest").alias("y")).distinct()
+    links = stored(linked(led), "led")
+    # Members that the leader did not bring into one component are held against each other, each pair once.
+    held = members.join(components(links, "x", "y").withColumnRenamed("node", "digest"), "digest", "left").select("band", "digest", F.coalesce("component", "digest").alias("component"))
+    apart = held.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
+    held = stored(held.join(apart, "band", "left_semi"), "held")
+    a, b = (held.select("band", F.col("digest").alias(c), F.col("component").alias(f"of_{c}")) for c in "xy")
+    rest = a.join(b, "band").filter("x < y and of_x <> of_y").select("x", "y").distinct().join(led, ["x", "y"], "left_anti")
+    links = links.unionByName(linked(rest))
     clusters = components(links, "x", "y")
     of = texts.select("digest", "first").join(clusters.withColumnRenamed("node", "digest"), "digest")
     keepers = of.groupBy("component").agg(F.min("first").alias("keep"))

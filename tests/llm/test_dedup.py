@@ -132,3 +132,21 @@ def test_copies_and_many_groups(spark):
 def test_no_paragraphs(spark):
     assert P.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert P.find(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")).count() == 0
+
+
+def test_members_of_a_band_that_its_smallest_does_not_link(spark):
+    rnd = random.Random(3)
+    base = words(rnd, 100).split()
+    texts = []
+    for _ in range(150):  # pairs of variants: the two alike by 0.9, those of different pairs by less than 0.7
+        own = list(base)
+        for k in rnd.sample(range(4, 96), 2):
+            own[k] = words(rnd, 1)
+        near = list(own)
+        near[rnd.randrange(4, 96)] = words(rnd, 1)
+        texts += [" ".join(own), " ".join(near)]
+    rnd.shuffle(texts)
+    want = {i for i, _, head in brute(list(enumerate(texts))) if i != head}
+    docs = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "id long, raw binary")
+    found = {r.id for r in P.near_lines(docs).collect()}
+    assert len(want) >= 120 and found == want
