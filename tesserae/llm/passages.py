@@ -1,22 +1,25 @@
 """Substring deduplication: paragraphs by MinHash banding, and passages inside paragraphs.
 
-Paragraphs are of two kinds. Lines of MIN_WORDS words or more are compared approximately: BANDS bands of ROWS min-hashes
+Lines of MIN_WORDS words or more are compared approximately: BANDS bands of ROWS min-hashes
 over their word shingles (a pair at similarity 0.8 shares no band in about 7 of 10000 cases), each member of a band
 against the band's smallest, then all pairs of a band that this left in different components, exact Jaccard of 0.8 or more
-to link, and connected components as clusters. Because shared passages also start and end inside lines, texts are cut at content-defined anchors too (the smallest k-word hash of each window
-of WINDOW words), so that a passage of more than 50 words is cut alike wherever it stands; equal pieces are clusters.
+to link, and connected components as clusters. Because shared passages
+also start and end inside lines, texts are cut at content-defined anchors too (the smallest k-word hash of each window
+of WINDOW words), so that a passage of more than 50 words is cut alike wherever it stands. From each anchor, the least run
+of whole pieces with RUN words or more is hashed as one: equal runs are clusters. Runs of one keeper that follow each other
+are joined by word numbers, held against the keeper's text, and extended word by word to the ends of the match.
 
-A cluster keeps its copy in the smallest document id; copies in other documents are removed: near-equal lines whole, and
-runs of consecutive repeated pieces of RUN words or more together. Repetition within one document is left alone.
+A cluster keeps its copy in the smallest document id; copies in other documents are removed. Repetition within one
+document is left alone. Lines of fewer than MIN_WORDS words are removed only as part of a passage.
 
 Defined results: null and empty texts have no paragraphs; of equal texts the one with the smallest id keeps its passages;
-rows that share an id are one document whose repeated pieces stand at the places found in any of them; rows with a null
+rows that share an id are one document whose repeated passages stand at the places found in any of them; rows with a null
 id are left alone; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +32,10 @@ from tesserae.llm.common import stored, table, text_bytes
 from tesserae.operators.graph import components
 
 MIN_WORDS, RUN = 50, 18
+#: A passage's first common anchor lies less than BEFORE words behind its start, its last run ends at most AFTER words before its end.
+BEFORE, AFTER = 0, 0
+BITS = 24
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 WINDOW, GRAM = 16, 3
 SHINGLE, BANDS, ROWS = 5, 10, 3
 NUM, DEN = 80, 100
@@ -48,16 +55,19 @@ def anchors(h: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([[0], np.arange(len(view)) + view.argmin(axis=1)]))
 
 
-def _piece_hashes(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """A hash of each piece's word sequence: sums of word hashes times powers of an odd base, counted from the piece's start."""
+def _range_hashes(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of the words from each first to each last (exclusive): sums of word hashes times powers of an odd base, counted from the range's start."""
     up, down = W._powers(len(h) + 1)
     total = np.concatenate([np.zeros(1, _U), np.cumsum(h * up[: len(h)])])
-    ends = np.append(cut[1:], len(h))
-    return W.mix((total[ends] - total[cut]) * down[cut] + (ends - cut).astype(_U))
+    return W.mix((total[last] - total[first]) * down[first] + (last - first).astype(_U))
 
 
-def pieces(docs: DataFrame) -> DataFrame:
-    """(h, id, at, size, words): each piece's hash, document, byte range and words. docs: id, raw."""
+def runs(docs: DataFrame, once: bool = False) -> DataFrame:
+    """(h, id, place): of each anchor, the least run of whole pieces from there with RUN words or more: its hash, document, and words.
+
+    place is the number of the run's first word and, in the lowest BITS bits, its words. once: of equal runs in a text only the first.
+    docs: id, raw.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -66,21 +76,27 @@ def pieces(docs: DataFrame) -> DataFrame:
                 w = W.split(buf, offsets)
                 hashes, out = w.hashes(), []
                 for k, (lo, hi) in enumerate(zip(w.bounds[:-1], w.bounds[1:], strict=True)):
-                    if lo == hi:
+                    if hi - lo < RUN:
                         continue
-                    cut = anchors(hashes[lo:hi])
-                    last = np.append(cut[1:], hi - lo) - 1
-                    at = w.starts[lo + cut] - offsets[k]
-                    size = w.ends[lo + last] - offsets[k] - at
-                    out.append(np.stack([_piece_hashes(hashes[lo:hi], cut).view(np.int64), np.full(len(cut), ids[first + k]), at, (size << 24) + np.minimum(last - cut + 1, (1 << 24) - 1)]))
+                    cut = np.append(anchors(hashes[lo:hi]), hi - lo)
+                    end = np.searchsorted(cut, cut + RUN)
+                    start, end = cut[end < len(cut)], cut[end[end < len(cut)]]
+                    h = _range_hashes(hashes[lo:hi], start, end).view(np.int64)
+                    if once:
+                        h, at = np.unique(h, return_index=True)
+                        start, end = start[at], end[at]
+                    out.append(np.stack([h, np.full(len(h), ids[first + k]), (start << BITS) + np.minimum(end - start, (1 << BITS) - 1)]))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], ["h", "id", "at", "extent"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], ["h", "id", "place"])
 
-    return docs.mapInArrow(run, "h long, id long, at long, extent long")
+    return docs.mapInArrow(run, "h long, id long, place long")
 
 
 def paragraphs(docs: DataFrame, banded: bool = True) -> DataFrame:
-    """(digest, id, at, size, bands, raw) of each line of MIN_WORDS words or more; the last two null unless banded. docs: id, raw."""
+    """(digest, id, at, size, word, words, bands, raw) of each paragraph of MIN_WORDS words or more; the last two null unless banded. docs: id, raw.
+
+    Paragraphs are lines; word is the number of the first word.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -90,24 +106,35 @@ def paragraphs(docs: DataFrame, banded: bool = True) -> DataFrame:
                 cuts = np.unique(np.concatenate([offsets, breaks]))
                 w = W.split(buf, cuts)
                 hashes = w.hashes()
-                rows: list[tuple] = []
-                for k in np.flatnonzero(np.diff(w.bounds) >= MIN_WORDS):
-                    lo, hi = w.bounds[k], w.bounds[k + 1]
-                    doc = int(np.searchsorted(offsets, cuts[k], side="right")) - 1
-                    begin, end = int(w.starts[lo]), int(w.ends[hi - 1])
-                    own = hashes[lo:hi]
-                    bands = None
-                    if banded:
-                        s = W.shingles(own, SHINGLE)
-                        mins = np.array([(s * seed).min() for seed in _SEEDS]).reshape(BANDS, ROWS)
-                        bands = [int.from_bytes(hashlib.blake2b(bytes([j]) + m.tobytes(), digest_size=8).digest(), "little", signed=True) for j, m in enumerate(mins)]
-                    digest = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
-                    rows.append((digest, int(ids[first + doc]), begin - int(offsets[doc]), end - begin, bands, buf[begin:end].tobytes() if banded else None))
-                if rows:
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["digest", "id", "at", "size", "bands", "raw"])
-
-    return docs.mapInArrow(run, "digest long, id long, at long, size long, bands array<long>, raw binary")
+                full = np.flatnonzero(np.diff(w.bounds))
+                if not len(full):
+                    continue
+                doc = np.searchsorted(offsets, cuts[full], side="right") - 1
+                lo, hi = w.bounds[full], w.bounds[full + 1]
+                long = hi - lo >= MIN_WORDS
+                lo, hi, doc = lo[long], hi[long], doc[long]
+                if not len(lo):
+                    continue
+                begin, end = w.starts[lo], w.ends[hi - 1]
+                bands = raw = None
+                if banded:
+                    count = hi - lo - SHINGLE + 1
+                    edge = np.cumsum(count) - count
+                    s = W.shingles(hashes, SHINGLE)[np.repeat(lo - edge, count) + np.arange(count.sum())]
+                    keys = np.empty((len(lo), BANDS), _U)
+                    for j in range(BANDS):
+                        key = np.full(len(lo), j + 1, _U)
+                        for seed in _SEEDS[j * ROWS : (j + 1) * ROWS]:
+                            key = W.mix((key ^ np.minimum.reduceat(s * seed, edge)) * _U(0x9FB21C651E98DF25))
+                        keys[:, j] = key
+                    bands = pa.ListArray.from_arrays(pa.array(np.arange(len(lo) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel().view(np.int64)))
+                    raw = pa.array([buf[x:y].tobytes() for x, y in zip(begin, end, strict=True)], pa.binary())
+                of_doc = np.searchsorted(w.starts, offsets[doc])
+                cols = [_range_hashes(hashes, lo, hi).view(np.int64), ids[first + doc], begin - offsets[doc], end - begin, lo - of_doc, hi - lo]
+                empty = lambda kind: pa.nulls(len(lo), kind)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), empty(pa.list_(pa.int64())) if bands is None else bands, empty(pa.binary()) if raw is None else raw], ["digest", "id", "at", "size", "word", "words", "bands", "raw"])
+
+    return docs.mapInArrow(run, "digest long, id long, at long, size long, word long, words long, bands array<long>, raw binary")
 
 
 def similar(pairs: DataFrame) -> DataFrame:
@@ -127,8 +154,8 @@ def similar(pairs: DataFrame) -> DataFrame:
 
 
 def near_lines(docs: DataFrame) -> DataFrame:
-    """(id, at, size, words, keeper): lines to remove, as another document has a near-equal one. docs: id, raw."""
-    texts = paragraphs(docs).groupBy("digest").agg(F.min(F.struct("id", "at")).alias("first"), F.min("bands").alias("bands"), F.first("raw").alias("raw"))
+    """(id, begin, end, word, words, keeper): paragraphs to remove, as another document has a near-equal one. docs: id, raw."""
+    texts = paragraphs(docs).groupBy("digest").agg(F.min(F.struct("id", "at")).alias("first"), F.max("id").alias("last"), F.min("bands").alias("bands"), F.first("raw").alias("raw"))
     texts = stored(texts, "texts")
     banded = texts.select("digest", F.explode("bands").alias("band"))
     leads = banded.groupBy("band").agg(F.min("digest").alias("x"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -145,56 +172,119 @@ def near_lines(docs: DataFrame) -> DataFrame:
     rest = a.join(b, "band").filter("x < y and of_x <> of_y").select("x", "y").distinct().join(led, ["x", "y"], "left_anti")
     links = links.unionByName(linked(rest))
     clusters = components(links, "x", "y")
-    of = texts.select("digest", "first").join(clusters.withColumnRenamed("node", "digest"), "digest")
+    of = texts.select("digest", "first", "last").join(clusters.withColumnRenamed("node", "digest"), "digest", "left").filter("component is not null or first.id < last")
+    of = of.withColumn("component", F.coalesce("component", "digest"))
     keepers = of.groupBy("component").agg(F.min("first").alias("keep"))
     removed = of.join(keepers, "component").select("digest", F.col("keep.id").alias("keeper"))
     # A second scan finds the lines' places; it is cheaper than a table of all lines.
-    return paragraphs(docs, banded=False).select("digest", "id", "at", "size").join(removed, "digest").filter("id <> keeper").select("id", "at", "size", F.lit(MIN_WORDS).cast("long").alias("words"), "keeper")
+    return paragraphs(docs, banded=False).drop("bands", "raw").join(removed, "digest").filter("id <> keeper").select("id", F.col("at").alias("begin"), (F.col("at") + F.col("size")).alias("end"), "word", "words", "keeper")
+
 
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """(id, word, words, keeper, there): runs of words that a document of a smaller id has too, from its word there on. docs: id, raw."""
+    shared = runs(docs, once=True).groupBy("h").agg(F.min("id").alias("keeper"), F.min_by("place", "id").alias("there"), F.max("id").alias("top")).filter("keeper < top").drop("top")
+    found = runs(docs).join(shared, "h").filter("id <> keeper")  # computed for both sides: a table of all runs would be large
+    per_doc = found.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("place", "keeper", "there"))).alias("marks"))  # bounded by the document's own length
 
-def repeated_pieces(docs: DataFrame) -> DataFrame:
-    """(id, at, size, words, keeper): pieces that a document of a smaller id has too. docs: id, raw."""
-    cut = pieces(docs)  # computed for both sides: a table of all pieces would be as large as the texts
-    shared = cut.groupBy("h").agg(F.min("id").alias("keeper"), F.max("id").alias("top")).filter("keeper < top").select("h", "keeper")
-    found = cut.join(shared, "h").filter("id <> keeper")
-    return found.select("id", "at", F.shiftright("extent", 24).alias("size"), F.col("extent").bitwiseAND((1 << 24) - 1).alias("words"), "keeper")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs that overlap or touch, in one keeper at the same distance, become one."""
+        for b in batches:
+            rows: list[tuple] = []
+            for ident, marked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                now: dict[tuple[int, int], list[int]] = {}
+                for m in marked:
+                    begin, n, there = m["place"] >> BITS, m["place"] & (1 << BITS) - 1, m["there"] >> BITS
+                    key = (m["keeper"], there - begin)
+                    last = now.get(key)
+                    if last and begin <= last[1]:
+                        last[1] = max(last[1], begin + n)
+                        continue
+                    if last:
+                        rows.append((ident, last[0], last[1] - last[0], key[0], last[0] + key[1]))
+                    now[key] = [begin, begin + n]
+                rows += [(ident, x, y - x, keeper, x + by) for (keeper, by), (x, y) in now.items()]
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["id", "word", "words", "keeper", "there"])
+
+    return per_doc.mapInArrow(run, "id long, word long, words long, keeper long, there long")
+
+
+def surroundings(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """places (id, word, words, keeper, there) with the run's hash, byte range, and the texts of BEFORE words before and AFTER words after it."""
+    asked = places.groupBy("id").agg(F.collect_list(F.struct("word", "words", "keeper", "there")).alias("places"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                raw = b.column(1)[k].as_py()
+                w = W.split(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                n = len(w.starts)
+                rows = [(p["word"], p["words"], p["keeper"], p["there"]) for p in b.column(2)[k].as_py() if p["word"] + p["words"] <= n]
+                if not rows:
+                    continue
+                word, words = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+                h = _range_hashes(w.hashes(), word, word + words).view(np.int64)
+                begin, end = w.starts[word], w.ends[word + words - 1]
+                lead, trail = w.starts[np.maximum(word - BEFORE, 0)], w.ends[np.minimum(word + words + AFTER, n) - 1]
+                cols = [np.full(len(rows), b.column(0)[k].as_py()), word, words, [r[2] for r in rows], [r[3] for r in rows], h, begin, end]
+                texts = [[raw[x:y] for x, y in zip(*ends, strict=True)] for ends in ((lead, begin), (end, trail))]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), *(pa.array(t, pa.binary()) for t in texts)], ["id", "word", "words", "keeper", "there", "h", "begin", "end", "left", "right"])
+
+    return docs.join(asked, "id").select("id", "raw", "places").mapInArrow(run, "id long, word long, words long, keeper long, there long, h long, begin long, end long, left binary, right binary")
+
+
+def extended(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, begin, end, word, words, keeper) of the runs found that their keeper holds word by word, to the true ends of the match."""
+    found = stored(found, "runs")
+    kept = found.select(F.col("keeper").alias("id"), F.col("there").alias("word"), "words", F.lit(None).cast("long").alias("keeper"), F.lit(None).cast("long").alias("there")).distinct()
+    seen = stored(surroundings(docs, found.unionByName(kept)), "surroundings")
+    other = seen.filter("keeper is null").select(F.col("id").alias("keeper"), F.col("word").alias("there"), "words", "h", F.col("left").alias("left_there"), F.col("right").alias("right_there"))
+    pairs = seen.filter("keeper is not null").join(other, ["keeper", "there", "words", "h"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for ident, begin, end, word, words, keeper, left, right, left_there, right_there in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                own, there = [(m.start(), m[0].lower()) for m in _WORD.finditer(left)], left_there.lower().split()
+                n = 0
+                while n < min(len(own), len(there)) and own[-1 - n][1] == there[-1 - n]:
+                    n += 1
+                if n:
+                    begin, word, words = begin - len(left) + own[-n][0], word - n, words + n
+                own, there = [(m.end(), m[0].lower()) for m in _WORD.finditer(right)], right_there.lower().split()
+                n = 0
+                while n < min(len(own), len(there)) and own[n][1] == there[n]:
+                    n += 1
+                if n:
+                    end, words = end + own[n - 1][0], words + n
+                rows.append((ident, begin, end, word, words, keeper))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["id", "begin", "end", "word", "words", "keeper"])
+
+    return pairs.select("id", "begin", "end", "word", "words", "keeper", "left", "right", "left_there", "right_there").mapInArrow(run, "id long, begin long, end long, word long, words long, keeper long")
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """(id, begin, end, words, keeper): disjoint byte ranges of each document to remove. docs: id, raw.
 
-    A range joins repeated pieces that follow each other (only white space between them) and near-equal lines; words
-    counts those of its pieces, and keeper is the smallest document that keeps a part of it.
+    A range is a repeated passage that keeper holds word by word, or a near-equal paragraph of keeper's; where two of them
+    overlap, the later one starts at the end of the earlier.
     """
     docs = docs.filter("id is not null")
-    marks = repeated_pieces(docs).withColumn("whole", F.lit(False)).unionByName(near_lines(docs).withColumn("whole", F.lit(True)))
-    per_doc = marks.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("at", "size", "words", "keeper", "whole"))).alias("marks"))  # bounded by the document's own length
+    marks = extended(docs, repeated_runs(docs)).unionByName(near_lines(docs))
+    per_doc = marks.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("begin", (-F.col("end")).alias("end"), "keeper", "word", "words"))).alias("marks"))  # bounded by the document's own length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
             for ident, marked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                spans: list[list[int]] = []
-                run_now: list[int] | None = None
-                whole = [[m["at"], m["at"] + m["size"], m["words"], m["keeper"]] for m in marked if m["whole"]]
-                for m in (m for m in marked if not m["whole"]):
-                    end = m["at"] + m["size"]
-                    # Pieces are split at words, so that the next one begins within the white space's length.
-                    if run_now and m["at"] - run_now[1] <= 4 and m["at"] >= run_now[1]:
-                        run_now = [run_now[0], end, run_now[2] + m["words"], min(run_now[3], m["keeper"])]
-                    elif not run_now or m["at"] >= run_now[1]:
-                        if run_now:
-                            spans.append(run_now)
-                        run_now = [m["at"], end, m["words"], m["keeper"]]
-                spans += [run_now] if run_now else []
-                merged: list[list[int]] = []
-                for s in sorted([s for s in spans if s[2] >= RUN] + whole):
-                    if merged and s[0] <= merged[-1][1]:
-                        top = merged[-1]
-                        merged[-1] = [top[0], max(top[1], s[1]), max(top[2], s[2]), min(top[3], s[3])]
-                    else:
-                        merged.append(s)
-                rows += [(ident, *s) for s in merged]
+                at = word = 0
+                for m in marked:
+                    end = -m["end"]
+                    if end > at:
+                        last = m["word"] + m["words"]
+                        rows.append((ident, max(at, m["begin"]), end, last - max(word, m["word"]), m["keeper"]))
+                        at, word = end, last
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["id", "begin", "end", "words", "keeper"])
 

@@ -150,3 +150,12 @@ def test_members_of_a_band_that_its_smallest_does_not_link(spark):
     docs = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "id long, raw binary")
     found = {r.id for r in P.near_lines(docs).collect()}
     assert len(want) >= 120 and found == want
+
+
+def test_a_removed_passage_stands_in_its_keeper(spark):
+    rnd = random.Random(6)
+    phrases = [words(rnd, 12) for _ in range(30)]
+    texts = {i: " ".join(rnd.choice(phrases) for _ in range(10)) for i in range(60)}
+    found = P.find(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert found and all(texts[r.id][r.begin : r.end].strip() in texts[r.keeper] and r.keeper < r.id for r in found)
+    assert all(r.words == len(texts[r.id][r.begin : r.end].split()) for r in found)
