@@ -33,7 +33,7 @@ from tesserae.operators.graph import components
 
 MIN_WORDS, RUN = 50, 18
 #: A passage's first common anchor lies less than BEFORE words behind its start, its last run ends at most AFTER words before its end.
-BEFORE, AFTER = 0, 0
+BEFORE, AFTER = 18, 36
 BITS = 24
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 WINDOW, GRAM = 16, 3

@@ -159,3 +159,16 @@ def test_a_removed_passage_stands_in_its_keeper(spark):
     found = P.find(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     assert found and all(texts[r.id][r.begin : r.end].strip() in texts[r.keeper] and r.keeper < r.id for r in found)
     assert all(r.words == len(texts[r.id][r.begin : r.end].split()) for r in found)
+
+
+def test_passages_go_to_their_true_ends(spark):
+    rnd = random.Random(9)
+    shared = [words(rnd, n).split() for n in (51, 52, 60, 75, 140) for _ in range(8)]
+    rows, want = [], {}
+    for i, p in enumerate(shared):
+        rows.append((i, f"{words(rnd, 70)} {' '.join(p)} {words(rnd, 70)}"))
+        head, body = words(rnd, 70) + " ", (" ", "      ", "\r\n\r\n    ")[i % 3].join(p)
+        rows.append((100 + i, f"{head}{body} {words(rnd, 70)}"))
+        want[100 + i] = (len(head), len(head) + len(body), len(p), i)
+    found = P.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.id: (r.begin, r.end, r.words, r.keeper) for r in found} == want and len(found) == len(want)
