@@ -1,6 +1,6 @@
 """Substring deduplication: paragraphs by MinHash banding, and passages inside paragraphs.
 
-Lines of MIN_WORDS words or more are compared approximately: BANDS bands of ROWS min-hashes
+Paragraphs (lines, and blocks of lines between blank lines) of MIN_WORDS words or more are compared approximately: BANDS bands of ROWS min-hashes
 over their word shingles (a pair at similarity 0.8 shares no band in about 7 of 10000 cases), each member of a band
 against the band's smallest, then all pairs of a band that this left in different components, exact Jaccard of 0.8 or more
 to link, and connected components as clusters. Because shared passages
@@ -10,7 +10,7 @@ of whole pieces with RUN words or more is hashed as one: equal runs are clusters
 are joined by word numbers, held against the keeper's text, and extended word by word to the ends of the match.
 
 A cluster keeps its copy in the smallest document id; copies in other documents are removed. Repetition within one
-document is left alone. Lines of fewer than MIN_WORDS words are removed only as part of a passage.
+document is left alone. Paragraphs of fewer than MIN_WORDS words are removed only as part of a passage or block.
 
 Defined results: null and empty texts have no paragraphs; of equal texts the one with the smallest id keeps its passages;
 rows that share an id are one document whose repeated passages stand at the places found in any of them; rows with a null
@@ -31,7 +31,7 @@ from tesserae.llm import words as W
 from tesserae.llm.common import stored, table, text_bytes
 from tesserae.operators.graph import components
 
-MIN_WORDS, RUN = 50, 18
+MIN_WORDS, RUN = 5, 18
 #: A passage's first common anchor lies less than BEFORE words behind its start, its last run ends at most AFTER words before its end.
 BEFORE, AFTER = 18, 36
 BITS = 24
@@ -95,7 +95,7 @@ def runs(docs: DataFrame, once: bool = False) -> DataFrame:
 def paragraphs(docs: DataFrame, banded: bool = True) -> DataFrame:
     """(digest, id, at, size, word, words, bands, raw) of each paragraph of MIN_WORDS words or more; the last two null unless banded. docs: id, raw.
 
-    Paragraphs are lines; word is the number of the first word.
+    Paragraphs are lines, and the blocks of two or more lines that blank lines part; word is the number of the first word.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +110,12 @@ def paragraphs(docs: DataFrame, banded: bool = True) -> DataFrame:
                 if not len(full):
                     continue
                 doc = np.searchsorted(offsets, cuts[full], side="right") - 1
-                lo, hi = w.bounds[full], w.bounds[full + 1]
+                head = np.flatnonzero(np.append(True, (np.diff(full) > 1) | (np.diff(doc) > 0)))
+                tail = np.append(head[1:], len(full)) - 1
+                head, tail = head[tail > head], tail[tail > head]
+                lo = np.concatenate([w.bounds[full], w.bounds[full[head]]])
+                hi = np.concatenate([w.bounds[full + 1], w.bounds[full[tail] + 1]])
+                doc = np.concatenate([doc, doc[head]])
                 long = hi - lo >= MIN_WORDS
                 lo, hi, doc = lo[long], hi[long], doc[long]
                 if not len(lo):

@@ -172,3 +172,15 @@ def test_passages_go_to_their_true_ends(spark):
         want[100 + i] = (len(head), len(head) + len(body), len(p), i)
     found = P.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.id: (r.begin, r.end, r.words, r.keeper) for r in found} == want and len(found) == len(want)
+
+
+def test_short_and_wrapped_paragraphs(spark):
+    rnd = random.Random(10)
+    short, long = words(rnd, 12), words(rnd, 60).split()
+    edited = long[:30] + ["zzzzz"] + long[31:]
+    wrap = lambda ws, n: "\n".join(" ".join(ws[k : k + n]) for k in range(0, len(ws), n))
+    rows = [(1, f"{words(rnd, 9)}\n{short}\n{words(rnd, 9)}"), (2, f"{words(rnd, 30)}\n{short}\n{words(rnd, 30)}")]
+    rows += [(3, f"{words(rnd, 9)}\n \n{wrap(long, 12)}\n\n{words(rnd, 9)}"), (4, f"{words(rnd, 9)}\n\n{wrap(edited, 10)}\n\n{words(rnd, 9)}")]
+    texts = dict(rows)
+    found = P.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.id, texts[r.id][r.begin : r.end], r.words, r.keeper) for r in found} == {(2, short, 12, 1), (4, wrap(edited, 10), 60, 3)}
