@@ -2,10 +2,10 @@
 
 A page is cut into lines at block-level tags; script, style and other unshown content, comments and markup go. Lines
 within elements that are no article by their name, role, class or id (menus, headers, footers, sidebars, notices,
-adverts, forms, reader comments) count as empty. Over the lines' text lengths (without link text) runs a window of WINDOW
-lines: where its sum rises to the surge level a text begins, where it falls to zero the text ends, and what lies between
-is kept. Where the page marks its article or main part, only that part's lines have lengths, link text included, and all
-its texts are kept; else those of a fifth or more of the longest.
+adverts, forms, reader comments) are left out. Where the page marks its article or main part, all other lines of that part
+are kept. Else over the lines' text lengths (without link text) runs a window of WINDOW lines: where its sum rises to the
+surge level a text begins, where it falls to zero the text ends, and what lies between is kept if it has a fifth or more
+of the longest text's length.
 
 Defined results: null and empty pages, and pages without text, give an empty text; unclosed elements and comments last to
 the end of the page; character references are decoded once; white space within a line becomes one space; lines are
@@ -157,12 +157,13 @@ def texts(weights: list[int]) -> Iterator[tuple[int, int]]:
 
 
 def main_text(page: str | None) -> str:
-    found = lines(page or "")
-    marked = any(text and article and not aside for text, _, aside, article in found)
-    weights = [0 if aside or (marked and not article) else len(text) if marked else plain for text, plain, aside, article in found]
+    found = [line for line in lines(page or "") if not line[2]]  # what is excluded is no position of the window either
+    if any(text and article for text, *_, article in found):
+        return " ".join(text for text, *_, article in found if text and article)
+    weights = [plain for _, plain, *_ in found]
     ranges = [(first, last, sum(weights[first:last])) for first, last in texts(weights)]
-    least = 0 if marked else SHARE * max((w for *_, w in ranges), default=0)
-    return " ".join(found[i][0] for first, last, w in ranges if w >= least for i in range(first, last) if weights[i] or (not marked and found[i][0] and not found[i][2]))
+    least = SHARE * max((w for *_, w in ranges), default=0)
+    return " ".join(found[i][0] for first, last, w in ranges if w >= least for i in range(first, last) if found[i][0])
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

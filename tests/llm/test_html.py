@@ -35,6 +35,13 @@ def test_odd_pages():
     assert len(main_text("<article>" + "<p>w</p>" * 20_000)) == 39_999
 
 
+def test_short_lines_of_a_marked_article_stay():
+    share = "<ul class='share'><li>a</li><li>b</li><li>c</li><li>d</li></ul>"
+    long = "Words of a long paragraph that goes on and on. " * 10
+    assert main_text(f"<article><h1>Short title</h1>{share}<p>{long}</p>{share}<p>The end.</p></article>") == f"Short title {long}The end."
+    assert main_text(f"<h1>Short title</h1>{share}<p>{long}</p>{share}<p>The end.</p>") == f"Short title {long}The end."
+
+
 def test_frames(spark):
     rows = [(1, "u", PAGE, "x"), (None, None, None, "y"), (2, "u", "", "z"), (2, "u", "", "z")]
     out = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
