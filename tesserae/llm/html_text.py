@@ -2,7 +2,9 @@
 
 A page is cut into lines at block-level tags; script, style and other unshown content, comments and markup go. Lines
 within elements that are no article by their name, role, class or id (menus, headers, footers, sidebars, notices,
-adverts, forms, reader comments) are left out. Where the page marks its article or main part, all other lines of that part
+adverts, forms, reader comments) are left out, unless such an element holds the marked article, or more than half of the
+page's block text and no more than a hint speaks against it; if nothing is left, only elements such as nav and footer are.
+Where the page marks its article or main part, all other lines of that part
 are kept. Else over the lines' text lengths (without link text) runs a window of WINDOW lines: where its sum rises to the
 surge level a text begins, where it falls to zero the text ends, and what lies between is kept if it has a fifth or more
 of the longest text's length.
@@ -44,57 +46,76 @@ _HINTS = {
     "subscription", "signup", "login", "sidebar", "aside", "widget", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "masthead", "footer", "comment", "comments", "disqus", "respond", "replies",
     "related", "recommended", "share", "sharing", "social", "popup", "modal", "overlay", "toolbar", "pagination", "pager", "copyright", "skip", "paywall",
 }
+#: Of these, what names reader comments; such parts are aside however long they are.
+_COMMENTS = {"comment", "comments", "disqus", "respond", "replies"}
+#: A hint after one of these tells what an element has or has not, not what it is.
+_DENIED = {"has", "have", "with", "without", "no", "not", "non", "hide", "hidden"}
+_MAIN = {"article", "main"}
+_MAIN_ROLE = re.compile(r"role\s*=\s*[\"']?main\b", re.I)
 _PAIRS = {("side", "bar"), ("site", "header"), ("page", "header"), ("top", "bar"), ("sign", "up"), ("log", "in"), ("skip", "link")}
 #: A start tag of these ends an open p.
 _ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 
 
-def _aside(tag: str, raw: str, in_article: bool) -> bool:
-    """Whether an element with these attributes is no part of the article."""
-    if tag in _ASIDE or tag in _UNSHOWN or (tag == "header" and not in_article):
-        return True
+def _kind(tag: str, raw: str, in_article: bool) -> str:
+    """"unshown", or how an element tells that it is no part of the article: "tag", "comments" or "hint"; else empty."""
+    if tag in _UNSHOWN:
+        return "unshown"
+    kind = "hint" if tag == "form" else "tag" if tag in _ASIDE or (tag == "header" and not in_article) else ""
     if not raw or tag in ("html", "body"):
-        return False
+        return kind
+    part = tag in _MAIN or _MAIN_ROLE.search(raw) is not None
     for m in _ATTRIBUTE.finditer(raw):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
+            return "unshown"
+        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            return "unshown"
+        if kind or part:
+            continue
         if name in ("class", "id"):
             for one in value.split():
                 parts = [p.lower() for p in _NAME_PART.findall(one)]
-                if not _HINTS.isdisjoint(parts) or not _PAIRS.isdisjoint(zip(parts, parts[1:], strict=False)):
-                    return True
+                told = [k for k, p in enumerate(parts) if p in _HINTS or tuple(parts[k : k + 2]) in _PAIRS]
+                told = [k for k in told if _DENIED.isdisjoint(parts[:k])]
+                if told:
+                    kind = "comments" if any(parts[k] in _COMMENTS for k in told) else "hint"
+                    break
         elif name == "role" and value.lower() in _ROLES:
-            return True
-        elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            kind = "hint"
+    return kind
+
 
+def lines(page: str, sure: bool = True) -> list[tuple[str, int, bool, bool]]:
+    """Each shown line's text, its length (without spaces and links; 0 if half or more is links), whether it is aside, and whether it is in a marked article.
 
-def lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """Each line's text, its length (without spaces and links; 0 if half or more is links), whether it is aside, and whether it is in a marked article."""
-    out: list[tuple[str, int, bool, bool]] = []
+    An element is not aside if it holds more than half of the text of marked articles that begin in it, or if only a hint
+    tells so and it holds more than half of the page's block text; with sure off, hints and comments count for nothing.
+    """
+    out: list[tuple[str, int, tuple[int, ...], int | None]] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool, bool]] = []  # open elements: name, aside, in an article, in a link
-    aside = article = link = False
+    # Open elements: name, whether unshown, numbers of the open elements that may be aside, how many of them are around the article, in a link.
+    stack: list[tuple[str, bool, tuple[int, ...], int | None, bool]] = []
+    kinds: list[str] = []
+    shut, marks, article, link = False, (), None, False
 
     def flush() -> None:
         nonlocal linked
-        text = " ".join(html.unescape("".join(parts)).split())
-        if text or aside:
+        text = "" if shut else " ".join(html.unescape("".join(parts)).split())
+        if text:
             plain = len(text) - text.count(" ") - linked
-            out.append((text, plain if plain > linked else 0, aside, article))
+            out.append((text, plain if plain > linked else 0, marks, article))
         parts.clear()
         linked = 0
 
     def close(name: str) -> None:
         """The nearest open element of that name ends, with those in it; nothing if there is none."""
-        nonlocal aside, article, link
+        nonlocal shut, marks, article, link
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] == name:
                 del stack[k:]
-                _, aside, article, link = stack[-1] if stack else ("", False, False, False)
+                _, shut, marks, article, link = stack[-1] if stack else ("", False, (), None, False)
                 return
 
     at, n = 0, len(page)
@@ -122,16 +143,31 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
                 continue
             if tag in _VOID or m[2].endswith("/") and tag in ("svg", "path"):
                 continue
-            inside = article or tag in ("article", "main") or ("role" in m[2] and re.search(r"role\s*=\s*[\"']?main\b", m[2], re.I) is not None)
-            aside, article, link = aside or _aside(tag, m[2], inside), inside, link or tag == "a"
-            stack.append((tag, aside, article, link))
+            inside = article is not None or tag in _MAIN or ("role" in m[2] and _MAIN_ROLE.search(m[2]) is not None)
+            kind = _kind(tag, m[2], inside)
+            if inside and article is None:
+                article = len(marks)
+            if kind and kind != "unshown":
+                marks = (*marks, len(kinds))
+                kinds.append(kind)
+            shut, link = shut or kind == "unshown", link or tag == "a"
+            stack.append((tag, shut, marks, article, link))
         elif m[3]:
             tag = m[3].lower()
             if tag not in _INLINE:
                 flush()
             close(tag)
     flush()
-    return out
+    around, held = [0] * len(kinds), [0] * len(kinds)
+    for text, plain, within, depth in out:
+        for k in within:
+            held[k] += plain
+        for k in within[: depth or 0]:
+            around[k] += len(text)
+    marked = sum(len(text) for text, *_, depth in out if depth is not None)
+    total = sum(plain for _, plain, *_ in out)
+    aside = [(sure or kind == "tag") and not (marked and 2 * around[k] > marked) and not (kind == "hint" and 2 * held[k] > total) for k, kind in enumerate(kinds)]
+    return [(text, plain, any(aside[k] for k in within), depth is not None) for text, plain, within, depth in out]
 
 
 def texts(weights: list[int]) -> Iterator[tuple[int, int]]:
@@ -156,14 +192,23 @@ def texts(weights: list[int]) -> Iterator[tuple[int, int]]:
         i = last
 
 
-def main_text(page: str | None) -> str:
-    found = [line for line in lines(page or "") if not line[2]]  # what is excluded is no position of the window either
-    if any(text and article for text, *_, article in found):
-        return " ".join(text for text, *_, article in found if text and article)
+def _of_lines(found: list[tuple[str, int, bool, bool]]) -> str:
+    found = [line for line in found if not line[2]]  # what is excluded is no position of the window either
+    if any(article for *_, article in found):
+        return " ".join(text for text, *_, article in found if article)
     weights = [plain for _, plain, *_ in found]
     ranges = [(first, last, sum(weights[first:last])) for first, last in texts(weights)]
     least = SHARE * max((w for *_, w in ranges), default=0)
-    return " ".join(found[i][0] for first, last, w in ranges if w >= least for i in range(first, last) if found[i][0])
+    return " ".join(found[i][0] for first, last, w in ranges if w >= least for i in range(first, last))
+
+
+def main_text(page: str | None) -> str:
+    got = _of_lines(lines(page or ""))
+    if got or not page:
+        return got
+    # Names and roles left nothing: only elements such as nav and footer are left out, unless the article is marked and empty.
+    found = lines(page, sure=False)
+    return _of_lines(found) if any(article for *_, article in found) or not re.search(r"<(?:article|main)[\s>]", page, re.I) else ""
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

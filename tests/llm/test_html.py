@@ -42,6 +42,20 @@ def test_short_lines_of_a_marked_article_stay():
     assert main_text(f"<h1>Short title</h1>{share}<p>{long}</p>{share}<p>The end.</p>") == f"Short title {long}The end."
 
 
+def test_wrappers_named_like_boilerplate_stay():
+    long = "Words of a long paragraph that goes on and on."
+    text = f"<p>{long}</p>" * 5
+    want = " ".join([long] * 5)
+    side = "<div class='sidebar'>Side words</div>"
+    for head, tail in [("<div class='layout has-sidebar'>", "</div>"), ("<div class='widget page'>", "</div>"), ("<main class='no-banner'>", "</main>"), ("<article class='post comment-open'>", "</article>"), ("<form id=aspnetForm>", "</form>"), ("<form><main>", "</main></form>"), ("<div role=form><article>", "</article></div>"), ("<div class='comments'>", "</div>")]:
+        assert main_text(f"{head}{text}{tail}") == want
+        if "comments" not in head:
+            assert main_text(f"{head}{side}{text}{tail}{side}") == want
+    assert main_text(f"<article><p>{long}</p><div id=comments>{text}</div></article>") == long
+    assert main_text(f"<article><p>{long}</p></article><aside><article>Other</article></aside>") == long
+    assert main_text("<div hidden>Not shown</div>") == main_text("<nav>Home</nav><article></article><div class=ad>Buy</div>") == ""
+
+
 def test_frames(spark):
     rows = [(1, "u", PAGE, "x"), (None, None, None, "y"), (2, "u", "", "z"), (2, "u", "", "z")]
     out = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
