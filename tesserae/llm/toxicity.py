@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A word's input is its hashed word vector beside the mean of its character n-gram vectors (n-grams of the bytes between
-marks for the word's ends). Two gated recurrent passes read each window of WINDOW words, which overlap by half;
+marks for the word's ends). A word of more than LONGEST bytes counts as several
+that overlap by half, so that all its bytes are read. Two gated recurrent passes read each window of WINDOW words, which overlap by half;
 attention pools their states, a logit follows, and a document scores its highest window. Every window of the whole text
 is scored.
 
@@ -35,10 +36,24 @@ GRAMS = (3, 4)
 POSITIVES, NEGATIVES, TRAIN_BYTES = 1200, 2400, 12_000
 STEPS, BATCH, RATE = 260, 384, 0.01
 CUT = 0.3
+#: A word of more than LONGEST bytes is read in parts of PART bytes, each APART bytes after the one before.
+LONGEST, PART, APART = 64, 24, 12
 BLOCK = 4096
 _F = np.float32
 
 
+def bounded(words: W.Words) -> W.Words:
+    """words with the parts of each long word in its place."""
+    sizes = words.ends - words.starts
+    if not len(sizes) or sizes.max() <= LONGEST:
+        return words
+    counts = np.where(sizes > LONGEST, 1 - (PART - sizes) // APART, 1)
+    first = np.cumsum(counts) - counts
+    starts = np.repeat(words.starts, counts) + (np.arange(counts.sum()) - np.repeat(first, counts)) * APART
+    ends = np.minimum(starts + np.repeat(np.where(counts > 1, PART, sizes), counts), np.repeat(words.ends, counts))
+    return W.Words(words.buf, words.offsets, starts, ends, np.append(first, counts.sum())[words.bounds])
+
+
 class Features:
     """Distinct words of some documents: word buckets, and flat n-gram buckets with offsets; token holds each word's row."""
 
@@ -46,7 +61,7 @@ class Features:
         h = words.hashes()
         _, first, self.token = np.unique(h, return_index=True, return_inverse=True)
         self.word = (h[first] % np.uint64(WORD_BUCKETS)).astype(np.int32)
-        starts, sizes = words.starts[first], np.minimum(words.ends[first] - words.starts[first], 64)
+        starts, sizes = words.starts[first], words.ends[first] - words.starts[first]
         at = np.concatenate([[0], np.cumsum(sizes + 2)])
         n = len(sizes)
         code = np.zeros(at[-1], np.uint32)
@@ -153,6 +168,7 @@ class Network:
 
     def logits(self, words: W.Words) -> np.ndarray:
         """Each document's highest window."""
+        words = bounded(words)
         f = Features(words)
         gates = self.gates(self.inputs(f))
         at, first = windows(words.bounds)
@@ -256,7 +272,7 @@ def train(texts: list[bytes], labels: list[int], steps: int = STEPS, seed: int =
         net.constant = float(label.mean()) if len(label) else 0.0
         return net
     buf = np.frombuffer(b"".join(texts), np.uint8)
-    words = W.split(buf, np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    words = bounded(W.split(buf, np.concatenate([[0], np.cumsum([len(t) for t in texts])])))
     f = Features(words)
     starts = f.gram_starts()
 

@@ -71,6 +71,18 @@ def test_every_window_counts(net):
     assert b > 0.5 > a
 
 
+def test_every_byte_of_a_long_word_counts(net):
+    clean = "tari_nosel_muta_" * 200
+    a, b, c = net.scores(split([clean, clean + "grukta_grukri_gruksel", clean + "grukta_grukri_gruksel_" + clean]))
+    assert b > 0.5 > a and c > 0.5
+    w = split(["x" * 64 + " " + "".join(map(chr, range(200, 291))), "", "y" * 65])
+    parts = toxicity.bounded(w)
+    for d in (0, 1, 2):
+        at = {p for x, y in list(zip(parts.starts, parts.ends, strict=True))[parts.bounds[d] : parts.bounds[d + 1]] for p in range(x, y)}
+        assert at == {p for x, y in list(zip(w.starts, w.ends, strict=True))[w.bounds[d] : w.bounds[d + 1]] for p in range(x, y)}
+    assert (parts.ends - parts.starts).max() == 64 and toxicity.bounded(parts) is parts
+
+
 def test_scores_do_not_depend_on_the_batch(net):
     texts = corpus(40, 3)[0] + ["", "  "]
     alone = np.concatenate([net.scores(split([t])) for t in texts])
