@@ -2,8 +2,9 @@
 
 store() puts each payload into a binary column as a mono 8-bit WAV file, lossless; read_back() parses it again.
 features() resamples by a polyphase filter, takes overlapped log-mel frames, and finds active spans by energy with
-hysteresis. patches() gives fixed-shape (PATCH_FRAMES x MELS) rows with their time spans, which tensors() turns into
-Arrow fixed-shape tensors.
+hysteresis. with_tensors() keeps each file's fixed-shape (PATCH_FRAMES x MELS) Arrow tensors with their time spans in a
+binary column, as an Arrow stream; read_back() stores them, reads them again, and takes the features from them. patches()
+gives them as rows, which tensors() turns into Arrow fixed-shape tensors again.
 
 Defined results: a null or empty text is a payload of 64 zero bytes; equal texts give equal values, whatever the batch;
 an empty table gives an empty table; extra input columns are ignored. Samples are handled in blocks of BLOCK, so memory
@@ -33,6 +34,8 @@ PATCH_FRAMES = 64
 ENTER_DB, LEAVE_DB = 0.5, -0.5
 BLOCK = 1 << 20
 UNIT = 64
+#: Files whose tensors are in memory at once.
+PART = 256
 
 
 def payload(text: bytes) -> bytes:
@@ -171,44 +174,91 @@ def store(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     return df.select(F.col(key).alias("key"), F.encode(F.col(text), "UTF-8").alias("raw")).mapInArrow(run, f"key {kind}, n_bytes long, media binary")
 
 
-def read_back(media: DataFrame) -> DataFrame:
-    """Digests and features from the stored bytes alone."""
+def patch_batch(media: bytes) -> pa.RecordBatch:
+    """Of a file, a row for each PATCH_FRAMES frames: its span in seconds, whether it holds an active frame, starts and ends of
+    the active spans cut to it, and the fixed-shape tensor, the last filled with zeros."""
+    mel, spans = features(media)
+    n = -(-len(mel) // PATCH_FRAMES)
+    full = np.zeros((n * PATCH_FRAMES, MELS), np.float32)
+    full[: len(mel)] = mel
+    first = np.arange(n) * PATCH_FRAMES
+    last = np.minimum(first + PATCH_FRAMES, len(mel))
+    within: list[list[float]] = [[] for _ in range(n)]
+    for begin, end in spans.tolist():
+        for k in range(begin // PATCH_FRAMES, (end - 1) // PATCH_FRAMES + 1):
+            within[k] += [seconds(max(begin, int(first[k]))), seconds(min(end, int(last[k])))]
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(full.ravel()), PATCH_FRAMES * MELS)
+    tensor = pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (PATCH_FRAMES, MELS)), flat)
+    columns = [pa.array(range(n), pa.int32()), pa.array(seconds(first)), pa.array(seconds(last)), pa.array([bool(x) for x in within]), pa.array(within, pa.list_(pa.float64())), tensor]
+    return pa.RecordBatch.from_arrays(columns, ["patch", "start_s", "end_s", "active", "spans", "tensor"])
+
+
+def packed(batch: pa.RecordBatch) -> bytes:
+    """An Arrow stream of one batch."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(stream: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Log-mel frames and active spans from the tensors of a stream that packed() made."""
+    (batch,) = pa.ipc.open_stream(stream)
+    frame = lambda s: np.rint(np.asarray(s, np.float64) / seconds(1)).astype(np.int64)
+    mel = batch["tensor"].to_numpy_ndarray().reshape(-1, MELS)[: int(frame(batch["end_s"].to_numpy()[-1]))]
+    spans: list[list[int]] = []
+    for begin, end in frame(batch["spans"].flatten().to_numpy()).reshape(-1, 2).tolist():
+        if spans and spans[-1][1] == begin:  # one span that two patches share
+            spans[-1][1] = end
+        else:
+            spans.append([begin, end])
+    return mel, np.array(spans, np.int64).reshape(-1, 2)
+
+
+def with_tensors(media: DataFrame) -> DataFrame:
+    """Digests from the stored bytes, and each file's patch_batch() as an Arrow stream."""
     kind = media.schema["key"].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, PART):
+                b = whole.slice(first, PART)
+                out: list[tuple] = []
+                for i in range(b.num_rows):
+                    stored_bytes = b.column(2)[i].as_py()
+                    data = samples(stored_bytes)
+                    out.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(stored_bytes), hashlib.sha256(stored_bytes).hexdigest(), packed(patch_batch(stored_bytes))))
+                cols = zip(*out, strict=True)
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "tensors"])
+
+    return media.mapInArrow(run, f"key {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tensors binary")
+
+
+def read_back(media: DataFrame) -> DataFrame:
+    """Digests from the stored bytes alone, and features from the tensors, which are stored too and read again."""
+    kept = stored(with_tensors(media), "tensors")
+    kind = kept.schema["key"].dataType.simpleString()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = []
-            for i in range(b.num_rows):
-                stored_bytes = b.column(2)[i].as_py()
-                data = samples(stored_bytes)
-                out.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(stored_bytes), hashlib.sha256(stored_bytes).hexdigest(), feature_text(*features(stored_bytes))))
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            found = [feature_text(*unpacked(x.as_py())) for x in b.column(7)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:7], pa.array(found, pa.string())], [*b.schema.names[:7], "feature"])
 
-    return media.mapInArrow(run, f"key {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return kept.mapInArrow(run, f"key {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def patches(media: DataFrame) -> DataFrame:
-    """A row for each PATCH_FRAMES frames: its span in seconds, whether it holds an active frame, and the flat tensor, the last filled with zeros."""
+    """A row for each row of a file's patch_batch(), without the active spans, its tensor flat."""
     kind = media.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                mel, spans = features(b.column(2)[i].as_py())
-                on = np.zeros(len(mel), bool)
-                for s, e in spans:
-                    on[s:e] = True
-                n = -(-len(mel) // PATCH_FRAMES)
-                full = np.zeros((n * PATCH_FRAMES, MELS), np.float32)
-                full[: len(mel)] = mel
-                firsts = range(0, n * PATCH_FRAMES, PATCH_FRAMES)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([b.column(0)[i].as_py()] * n, b.schema.field(0).type), pa.array(range(n), pa.int32()),
-                    pa.array([seconds(f) for f in firsts], pa.float64()), pa.array([seconds(min(f + PATCH_FRAMES, len(mel))) for f in firsts], pa.float64()),
-                    pa.array([bool(on[f : f + PATCH_FRAMES].any()) for f in firsts]), pa.array(list(full.reshape(n, -1)), pa.list_(pa.float32())),
-                ], ["key", "patch", "start_s", "end_s", "active", "tensor"])
+                found = patch_batch(b.column(2)[i].as_py())
+                keys = pa.array([b.column(0)[i].as_py()] * found.num_rows, b.schema.field(0).type)
+                flat = found["tensor"].storage.cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([keys, *found.columns[:4], flat], ["key", "patch", "start_s", "end_s", "active", "tensor"])
 
     return media.mapInArrow(run, f"key {kind}, patch int, start_s double, end_s double, active boolean, tensor array<float>")
 

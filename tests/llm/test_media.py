@@ -64,6 +64,23 @@ def test_tensors_with_spans(spark):
         assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
+def test_features_come_from_stored_tensors(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(media, "stored", lambda df, name, f=media.stored: kept.append(f(df, name)) or kept[-1])
+    texts = {1: "", 2: "some words " * 3000, 3: "é" * 40, 4: "".join(map(chr, range(32, 127))) * 400}
+    got = media.read_back(media.store(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))).collect()
+    for r in got:
+        assert r.feature == media.feature_text(*media.features(media.wav(media.payload(texts[r.key].encode()))))
+    (table,) = kept
+    assert table.count() == len(texts)
+    for r in table.collect():
+        (batch,) = pa.ipc.open_stream(r.tensors)
+        assert batch.schema.field("tensor").type == pa.fixed_shape_tensor(pa.float32(), (media.PATCH_FRAMES, media.MELS))
+        assert batch["start_s"].to_pylist() == [0.0, *batch["end_s"].to_pylist()[:-1]]
+        mel, spans = media.features(media.wav(media.payload(texts[r.key].encode())))
+        assert all(np.array_equal(x, y) for x, y in zip(media.unpacked(r.tensors), (mel, spans), strict=True))
+
+
 def test_wrong_files():
     with pytest.raises(ValueError):
         media.samples(b"RIFF0000WAVX")
