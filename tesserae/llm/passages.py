@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tesserae.llm import words as W
 from tesserae.llm.common import stored, table, text_bytes
@@ -92,8 +93,8 @@ def runs(docs: DataFrame, once: bool = False) -> DataFrame:
     return docs.mapInArrow(run, "h long, id long, place long")
 
 
-def paragraphs(docs: DataFrame, banded: bool = True) -> DataFrame:
-    """(digest, id, at, size, word, words, bands, raw) of each paragraph of MIN_WORDS words or more; the last two null unless banded. docs: id, raw.
+def paragraphs(docs: DataFrame, texts: bool = True) -> DataFrame:
+    """(digest, id, at, size, word, words, raw) of each paragraph of MIN_WORDS words or more; raw is null unless texts. docs: id, raw.
 
     Paragraphs are lines, and the blocks of two or more lines that blank lines part; word is the number of the first word.
     """
@@ -121,25 +122,34 @@ def paragraphs(docs: DataFrame, banded: bool = True) -> DataFrame:
                 if not len(lo):
                     continue
                 begin, end = w.starts[lo], w.ends[hi - 1]
-                bands = raw = None
-                if banded:
-                    count = hi - lo - SHINGLE + 1
-                    edge = np.cumsum(count) - count
-                    s = W.shingles(hashes, SHINGLE)[np.repeat(lo - edge, count) + np.arange(count.sum())]
-                    keys = np.empty((len(lo), BANDS), _U)
-                    for j in range(BANDS):
-                        key = np.full(len(lo), j + 1, _U)
-                        for seed in _SEEDS[j * ROWS : (j + 1) * ROWS]:
-                            key = W.mix((key ^ np.minimum.reduceat(s * seed, edge)) * _U(0x9FB21C651E98DF25))
-                        keys[:, j] = key
-                    bands = pa.ListArray.from_arrays(pa.array(np.arange(len(lo) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel().view(np.int64)))
-                    raw = pa.array([buf[x:y].tobytes() for x, y in zip(begin, end, strict=True)], pa.binary())
+                raw = pa.array([buf[x:y].tobytes() for x, y in zip(begin, end, strict=True)], pa.binary()) if texts else pa.nulls(len(lo), pa.binary())
                 of_doc = np.searchsorted(w.starts, offsets[doc])
                 cols = [_range_hashes(hashes, lo, hi).view(np.int64), ids[first + doc], begin - offsets[doc], end - begin, lo - of_doc, hi - lo]
-                empty = lambda kind: pa.nulls(len(lo), kind)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), empty(pa.list_(pa.int64())) if bands is None else bands, empty(pa.binary()) if raw is None else raw], ["digest", "id", "at", "size", "word", "words", "bands", "raw"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), raw], ["digest", "id", "at", "size", "word", "words", "raw"])
 
-    return docs.mapInArrow(run, "digest long, id long, at long, size long, word long, words long, bands array<long>, raw binary")
+    return docs.mapInArrow(run, "digest long, id long, at long, size long, word long, words long, raw binary")
+
+
+def with_bands(texts: DataFrame) -> DataFrame:
+    """texts (digest, first, last, raw) with the hashes of their bands; every raw has SHINGLE words or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, last, buf, offsets in W.chunks(b.column(3)):
+                w = W.split(buf, offsets)
+                count = np.diff(w.bounds) - SHINGLE + 1
+                edge = np.cumsum(count) - count
+                s = W.shingles(w.hashes(), SHINGLE)[np.repeat(w.bounds[:-1] - edge, count) + np.arange(count.sum())]
+                keys = np.empty((len(count), BANDS), _U)
+                for j in range(BANDS):
+                    key = np.full(len(count), j + 1, _U)
+                    for seed in _SEEDS[j * ROWS : (j + 1) * ROWS]:
+                        key = W.mix((key ^ np.minimum.reduceat(s * seed, edge)) * _U(0x9FB21C651E98DF25))
+                    keys[:, j] = key
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(count) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(c.slice(first, last - first) for c in b.columns), bands], [*b.schema.names, "bands"])
+
+    return texts.mapInArrow(run, T.StructType([*texts.schema.fields, T.StructField("bands", T.ArrayType(T.LongType()))]))
 
 
 def similar(pairs: DataFrame) -> DataFrame:
@@ -160,8 +170,8 @@ def similar(pairs: DataFrame) -> DataFrame:
 
 def near_lines(docs: DataFrame) -> DataFrame:
     """(id, begin, end, word, words, keeper): paragraphs to remove, as another document has a near-equal one. docs: id, raw."""
-    texts = paragraphs(docs).groupBy("digest").agg(F.min(F.struct("id", "at")).alias("first"), F.max("id").alias("last"), F.min("bands").alias("bands"), F.first("raw").alias("raw"))
-    texts = stored(texts, "texts")
+    texts = paragraphs(docs).groupBy("digest").agg(F.min(F.struct("id", "at")).alias("first"), F.max("id").alias("last"), F.first("raw").alias("raw"))
+    texts = stored(with_bands(texts.select("digest", "first", "last", "raw")), "texts")
     banded = texts.select("digest", F.explode("bands").alias("band"))
     leads = banded.groupBy("band").agg(F.min("digest").alias("x"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = stored(banded.join(leads, "band"), "members")
@@ -182,7 +192,7 @@ def near_lines(docs: DataFrame) -> DataFrame:
     keepers = of.groupBy("component").agg(F.min("first").alias("keep"))
     removed = of.join(keepers, "component").select("digest", F.col("keep.id").alias("keeper"))
     # A second scan finds the lines' places; it is cheaper than a table of all lines.
-    return paragraphs(docs, banded=False).drop("bands", "raw").join(removed, "digest").filter("id <> keeper").select("id", F.col("at").alias("begin"), (F.col("at") + F.col("size")).alias("end"), "word", "words", "keeper")
+    return paragraphs(docs, texts=False).drop("raw").join(removed, "digest").filter("id <> keeper").select("id", F.col("at").alias("begin"), (F.col("at") + F.col("size")).alias("end"), "word", "words", "keeper")
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
