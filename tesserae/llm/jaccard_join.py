@@ -8,7 +8,9 @@
    (or as many as they need to share at all, if fewer). A list
    is sorted by set size; a set is held against those after it until the sizes differ too much, which skips the rest of
    the list in one block, and pairs are skipped by position: what may still follow in both sets can't reach the needed
-   overlap. Pairs within a component are skipped, as their answer is known, and so are pairs with fewer shared tokens.
+   overlap. Pairs within a component are skipped, as their answer is known. So are pairs whose parity signatures differ in
+   too many bits: a bit is the parity of the tokens that fall on it, hence sets differ in as many tokens at least; and
+   pairs with fewer shared tokens.
 4. Verification goes by answers of similar sets: candidates y of several sets x of one star are compared with the star's
    leader L once, |L & y|; for each x the answer follows from the few tokens in which it differs,
    |x & y| = |L & y| - |(L - x) & y| + |(x - L) & y|. One pair for two components is verified first; once it links
@@ -43,6 +45,10 @@ KEYS, KEY_HASHES = 5, 2
 #: Tokens of their listed ones that two sets have to share; each costs a listing more for every set.
 SHARED = 6
 SKETCH_BITS = 20
+#: Sets of up to so many tokens carry a parity signature of so many 64-bit words: half of its bits, less four deviations, are
+#: more than linked sets of that size differ by. Larger sets carry none, as a signature as long as they need would outweigh the rest.
+SIGNED = ((72, 1), (189, 2), (432, 4), (950, 8))
+WORDS = SIGNED[-1][1]
 _CHUNK = 1 << 12
 _U = np.uint64
 _SEEDS = W.mix(np.arange(1, KEYS * KEY_HASHES + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
@@ -63,6 +69,34 @@ def _min_hash_keys(s: np.ndarray) -> list[int]:
     return [int.from_bytes(hashlib.blake2b(bytes([k]) + m.tobytes(), digest_size=8).digest(), "little", signed=True) for k, m in enumerate(mins)]
 
 
+def signature(s: np.ndarray) -> np.ndarray:
+    """The parity signature of a set: 1, 2, 4, 8 or no words."""
+    words = next((w for most, w in SIGNED if len(s) <= most), 0)
+    bits = np.bincount(((s >> _U(16)) & _U(max(1, 64 * words) - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(bits.astype(bool), bitorder="little").view(_U) if words else s[:0]
+
+
+def _folded(signs: np.ndarray, words: np.ndarray, to: int) -> np.ndarray:
+    """Signatures of the given words each as signatures of to words: a parity of half the bits is that of two bits together."""
+    signs = signs.copy()
+    for w in (8, 4, 2):
+        if w > to:
+            wide = words >= w
+            signs[wide, : w // 2] ^= signs[wide, w // 2 : w]
+    return signs[:, :to]
+
+
+def may_link(nx: np.ndarray, ny: np.ndarray, sx: np.ndarray, sy: np.ndarray, wx: np.ndarray, wy: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes nx and ny with these signatures (rows of WORDS words, of which the first wx and wy hold) can link."""
+    out, width = np.ones(len(nx), bool), np.minimum(wx, wy)
+    for w in (1, 2, 4, 8):
+        at = np.flatnonzero(width == w)
+        if len(at):
+            apart = np.bitwise_count(_folded(sx[at], wx[at], w) ^ _folded(sy[at], wy[at], w)).sum(axis=1).astype(np.int64)
+            out[at] = (nx[at] + ny[at] - apart) // 2 >= needed(nx[at], ny[at])
+    return out
+
+
 def _sets(raw: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     for first, _, buf, offsets in W.chunks(raw):
         w = W.split(buf, offsets)
@@ -164,6 +198,18 @@ def _count(some: np.ndarray, s: np.ndarray) -> int:
     return int((s[np.minimum(np.searchsorted(s, some), len(s) - 1)] == some).sum())
 
 
+def _signs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each signature, and the signatures as rows of WORDS words."""
+    column = column.cast(pa.large_binary())
+    n = len(column)
+    _, offs, data = column.buffers()
+    offsets = np.frombuffer(offs, np.int64, n + 1, column.offset * 8) // 8
+    width, flat = np.diff(offsets), np.frombuffer(data, _U) if data is not None and data.size else np.zeros(0, _U)
+    out = np.zeros((n, WORDS), _U)
+    out[np.arange(WORDS)[None, :] < width[:, None]] = flat[offsets[0] : offsets[-1]]
+    return width, out
+
+
 def candidates(listed: DataFrame) -> DataFrame:
     """Pairs (x, y, cx, cy) of different components that share a listed token and may link. listed: rows of listings()."""
 
@@ -172,16 +218,17 @@ def candidates(listed: DataFrame) -> DataFrame:
         if not got:
             return
         token, ident, size, comp = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in range(4))
+        width, sign = (np.concatenate(x) for x in zip(*(_signs(b.column(4)) for b in got), strict=True))
         del got
         size, at, comp = size >> 32, size & 0xFFFFFFFF, comp + ident
         order = np.lexsort((ident, size, token))
-        token, ident, size, at, comp = (v[order] for v in (token, ident, size, at, comp))
+        token, ident, size, at, comp, width, sign = (v[order] for v in (token, ident, size, at, comp, width, sign))
         # Lists of one token, or of one component, have no answers to give.
         edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         lo, hi = np.minimum.reduceat(comp, edge), np.maximum.reduceat(comp, edge)
         length = np.diff(np.append(edge, len(token)))
         keep = np.repeat(lo != hi, length)
-        token, ident, size, at, comp = (v[keep] for v in (token, ident, size, at, comp))
+        token, ident, size, at, comp, width, sign = (v[keep] for v in (token, ident, size, at, comp, width, sign))
         names, own = np.unique(ident, return_inverse=True)
         comp_of = np.zeros(len(names), np.int64)
         comp_of[own] = comp
@@ -209,7 +256,10 @@ def candidates(listed: DataFrame) -> DataFrame:
             # The first SHARED common tokens of sets that link leave at least this much to come.
             rest = np.minimum(size[left] - at[left], size[right] - at[right])
             good = (comp[left] != comp[right]) & (own[left] != own[right]) & (rest >= needed(size[left], size[right]) - SHARED + 1)
-            if good.any():
+            good = np.flatnonzero(good)
+            x, y = left[good], right[good]
+            good = good[may_link(size[x], size[y], sign[x], sign[y], width[x], width[y])]
+            if len(good):
                 a, b = own[left[good]], own[right[good]]
                 keys.append(np.minimum(a, b) * len(names) + np.maximum(a, b))
                 held += len(a)
@@ -225,17 +275,24 @@ def candidates(listed: DataFrame) -> DataFrame:
 
 
 def listings(sets: DataFrame, places: np.ndarray) -> DataFrame:
-    """(token, id, place, comp) for the first tokens of each set in the global order. sets: id, comp, raw.
+    """(token, id, place, comp, sign) for the first tokens of each set in the global order. sets: id, comp, raw.
 
     place is n << 32 | position, comp is less the id: small numbers, which a shuffle compresses.
     """
     shared = sets.sparkSession.sparkContext.broadcast(places)  # a byte a cell of the sketch
 
+    def batch(out: list[np.ndarray], signs: list[tuple[bytes, int]]) -> pa.RecordBatch:
+        ends = np.cumsum(np.repeat([len(s) for s, _ in signs], [p for _, p in signs]))
+        data = b"".join(s * p for s, p in signs)
+        sign = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data)])
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in np.concatenate(out, axis=1)), sign], ["token", "id", "place", "comp", "sign"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = shared.value
         for b in batches:
             ids, comps = b.column(0).to_numpy(), b.column(1).to_numpy()
             out: list[np.ndarray] = []
+            signs: list[tuple[bytes, int]] = []
             rows = 0
             for i, s in _sets(b.column(2)):
                 n = len(s)
@@ -248,14 +305,15 @@ def listings(sets: DataFrame, places: np.ndarray) -> DataFrame:
                 if len(first) < p:
                     first = np.argsort(place, kind="stable")[:p]
                 out.append(np.stack([s[first].view(np.int64), np.full(p, ids[i]), (n << 32) + np.arange(p), np.full(p, comps[i] - ids[i])]))
+                signs.append((signature(s).tobytes(), p))
                 rows += p
                 if rows > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], ["token", "id", "place", "comp"])
-                    out, rows = [], 0
+                    yield batch(out, signs)
+                    out, signs, rows = [], [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], ["token", "id", "place", "comp"])
+                yield batch(out, signs)
 
-    return sets.mapInArrow(run, "token long, id long, place long, comp long")
+    return sets.mapInArrow(run, "token long, id long, place long, comp long, sign binary")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
