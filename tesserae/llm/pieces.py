@@ -9,7 +9,9 @@ if merging each two neighbours by themselves gives back these two (merges inside
 stands outside), so exactly one piece can end each boundary's path, and the same pass gives SentencePiece's own ids.
 
 Where no piece has a space mark after another character, paths always converge at a mark that follows a word, and the
-ids of a word depend on the word alone; they are then kept in a bounded table.
+ids of a word depend on the word alone. Texts still go through the pass part by part; at such a boundary, where one path is
+left, it looks the next word up in a bounded table of words whose ids it has found before, and runs its window if there is
+none.
 
 Defined results: null and empty texts have no ids; equal texts have equal ids; a character outside the vocabulary gives
 its byte pieces, or the unknown id where there are none. Decoding gives the text back, except that U+2581 and white
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,7 +36,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-KEPT_WORDS = 200_000
+#: Words, and neighbouring pieces (and beginnings of texts), whose answers a worker keeps; the longest such word and beginning.
+KEPT_WORDS, KEPT_PAIRS, KEPT_LENGTH, KEPT_START = 150_000, 300_000, 64, 8
+#: Characters of a text that are normalised at once.
+PART = 1 << 16
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -103,10 +109,16 @@ class Model:
         self.bytes = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == BYTE}
         self.unknown = next((i for i, t in enumerate(self.types) if t == UNKNOWN), 0)
         self.by_word = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
+        # By its last three characters, the lengths of the pieces that can end a text, longest first.
+        lengths: dict[str, set[int]] = {}
+        for p in self.ids:
+            if len(p) > 2:
+                lengths.setdefault(p[-3:], {2, 1}).add(len(p))
+        self._sizes = {end: tuple(sorted(of, reverse=True)) for end, of in lengths.items()}
         self.worst = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10
-        self._fits: dict[tuple[str, str], bool] = {}
+        self._fits: dict[int, bool] = {}
+        self._starts: dict[str, tuple[str, int]] = {}
         self._kept: dict[str, bytes] = {}
-        self._last: dict[str, str] = {}
         self._text = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else p.replace(MARK, " ").encode() for p, t in zip(self.pieces, self.types, strict=True)]
         if self.types:
             self._text[self.unknown] = " ⁇ ".encode()
@@ -128,82 +140,128 @@ class Model:
 
     def fits(self, left: str, right: str) -> bool:
         """Whether merging leaves right as one piece after left, or by itself where left is empty."""
-        pair = (left, right)
-        known = self._fits.get(pair)
-        if known is None:
-            if len(self._fits) > 4 * KEPT_WORDS:
-                self._fits.clear()
-            known = self._fits[pair] = self.merged(left + right) == ([left, right] if left else [right])
-        return known
-
-    def stream(self, parts: Iterable[str]) -> Iterator[str]:
+        return self.merged(left + right) == ([left, right] if left else [right])
+
+    def window(self, parts: Iterable[str]) -> Iterator[str]:
         """Pieces of the text whose consecutive parts are given, each emitted as soon as it is final."""
-        bpe, ids, scores, longest = self.kind == BPE, self.ids, self.scores, self.longest
-        # Of the window: characters, the piece that ends at each boundary, its path's score; low: the first live boundary.
-        text, back, total, low = "", [""], [0.0], 0
+        return (self._bpe_window if self.kind == BPE else self._unigram_window)(parts)
+
+    def _bpe_window(self, parts: Iterable[str]) -> Iterator[str]:
+        ids, fits, sizes, few, starts, longest, outside = self.ids, self._fits, self._sizes.get, (2, 1), self._starts, self.longest, len(self.pieces) + 1
+        # Of the window: characters, the piece that ends at each boundary (null where nothing has asked for it) and its number
+        # (a character outside the vocabulary has one beyond it); low: the first live boundary.
+        text, back, code, low = "", [""], [outside - 1], 0
+        opening = KEPT_START  # until the first cut, the back pointers of the text's first boundaries may be known
+
+        def find(end: int) -> None:
+            if end <= opening and (known := starts.get(text[:end])):
+                back[end], code[end] = known
+                if back[end - len(known[0])] is None:
+                    find(end - len(known[0]))
+                return
+            for size in sizes(text[max(0, end - 3) : end], few):
+                begin = end - size
+                if begin < low:
+                    continue
+                piece = text[begin:end]
+                number = ids.get(piece)
+                if number is None:
+                    if size > 1:
+                        continue
+                    number = outside + ord(piece)
+                if back[begin] is None:
+                    find(begin)
+                pair = code[begin] << 24 | number
+                ok = fits.get(pair)
+                if ok is None:
+                    if len(fits) >= KEPT_PAIRS:
+                        fits.clear()
+                    ok = fits[pair] = self.fits(back[begin], piece)
+                if ok:
+                    back[end], code[end] = piece, number
+                    break
+            if end <= opening:
+                if len(starts) >= KEPT_PAIRS:
+                    starts.clear()
+                starts[text[:end]] = back[end], code[end]
+
+        for part in parts:
+            for at in range(0, len(part), 4 * longest):
+                more = part[at : at + 4 * longest]
+                text += more
+                back += [None] * len(more)
+                code += [0] * len(more)
+                if len(text) <= 6 * longest:
+                    continue
+                for end in range(len(text) - longest + 1, len(text) + 1):
+                    if back[end] is None:
+                        find(end)
+                common = self._common(back, longest)
+                if common:
+                    path = self._path(back, common)
+                    yield from path[:-1]
+                    # The last final piece stays before the window, as the next is held against it.
+                    low = len(path[-1])
+                    cut, opening = common - low, 0
+                    text, code = text[cut:], code[cut:]
+                    back[:] = [None] * low + back[common:]
+                    back[low] = path[-1]
+        if back[len(text)] is None:
+            find(len(text))
+        yield from self._path(back, len(text))
+
+    def _unigram_window(self, parts: Iterable[str]) -> Iterator[str]:
+        ids, scores, sizes, few, longest = self.ids, self.scores, self._sizes.get, (2, 1), self.longest
+        # Of the window: characters, the piece that ends at each boundary, and its path's score.
+        text, back, total = "", [""], [0.0]
         for part in parts:
             for at in range(0, len(part), 4 * longest):
                 text += part[at : at + 4 * longest]
                 for end in range(len(back), len(text) + 1):
                     best, score = None, -np.inf
-                    for begin in range(max(low, end - longest), end):
+                    for size in sizes(text[max(0, end - 3) : end], few):
+                        begin = end - size
+                        if begin < 0 or back[begin] is None:
+                            continue
                         piece = text[begin:end]
                         known = ids.get(piece)
-                        if known is None and end - begin > 1:
+                        if known is None and size > 1:
                             continue
-                        if bpe:
-                            if back[begin] is not None and self.fits(back[begin], piece):
-                                best = piece
-                                break
-                        elif back[begin] is not None:
-                            s = total[begin] + (self.worst if known is None else scores[known])
-                            if s > score:
-                                best, score = piece, s
+                        s = total[begin] + (self.worst if known is None else scores[known])
+                        if s > score:
+                            best, score = piece, s
                     back.append(best)
                     total.append(score)
                 if len(text) > 2 * longest:
                     common = self._common(back, longest)
                     if common:
-                        path = self._path(back, common)
-                        # For BPE the last final piece stays before the window, as the next is held against it.
-                        low = len(path[-1]) if bpe else 0
-                        yield from path[:-1] if bpe else path
-                        cut = common - low
-                        text, back = text[cut:], back[cut:]
-                        total = [t - total[common] for t in total[cut:]]
-                        back[:low] = [None] * low
-                        back[low] = path[-1] if bpe else ""
+                        yield from self._path(back, common)
+                        text, back, total = text[common:], back[common:], [t - total[common] for t in total[common:]]
+                        back[0] = ""
         yield from self._path(back, len(text))
 
-    def last(self, text: str) -> str:
-        """The piece that ends the BPE path of a short text; boundaries are looked at only where a piece of the vocabulary starts."""
-        known = self._last.get(text)
-        if known is not None:
-            return known
-        ids, fits, n = self.ids, self._fits, len(text)
-        out = text[-1:]
-        for begin in range(max(0, n - self.longest), n - 1):
-            piece = text[begin:]
-            if piece in ids:
-                left = self.last(text[:begin]) if begin else ""
-                ok = fits.get((left, piece))
-                if ok or (ok is None and self.fits(left, piece)):
-                    out = piece
-                    break
-        if len(self._last) >= 2 * KEPT_WORDS:
-            self._last.clear()
-        self._last[text] = out
-        return out
-
-    def word(self, text: str) -> list[str]:
-        """Pieces of one word: by its prefixes' kept back pointers if it is short, else in a stream."""
-        if self.kind != BPE or len(text) > 48:
-            return list(self.stream([text]))
-        out = []
-        while text:
-            out.append(self.last(text))
-            text = text[: -len(out[-1])]
-        return out[::-1]
+    def stream(self, parts: Iterable[str]) -> Iterator[bytes]:
+        """Ids (as 32-bit numbers) of the normalised text whose consecutive parts are given, each as soon as it is final."""
+        if not self.by_word or not self.bytes:
+            yield np.array(self._ids_of(self.window(parts)), np.int32).tobytes()
+            return
+        kept, words, rest = self._kept, re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall, ""
+        for part in parts:
+            found = words(rest + part)
+            rest = found.pop()  # goes on, unless a mark follows
+            for word in found:
+                yield kept.get(word) or self._settled(word)
+        if rest:
+            yield kept.get(rest) or self._settled(rest)
+
+    def _settled(self, word: str) -> bytes:
+        """Ids of a text between two boundaries on which all paths converge."""
+        ids = array("i", self._ids_of(self.window([word]))).tobytes()
+        if len(word) <= KEPT_LENGTH:
+            if len(self._kept) >= KEPT_WORDS:
+                self._kept.clear()
+            self._kept[word] = ids
+        return ids
 
     @staticmethod
     def _path(back: list[str | None], end: int) -> list[str]:
@@ -225,12 +283,24 @@ class Model:
 
     # -- encoding -----------------------------------------------------------------------------------------------------
 
-    def normalised(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
-        if not text:
-            return ""
-        return ((" " if self.prefix else "") + text).replace(" ", MARK if self.escape else " ")
+    def normalised(self, text: str) -> Iterator[str]:
+        """Parts, none empty, of the normalised text."""
+        begun = gap = False
+        for at in range(0, len(text), PART):
+            part = text[at : at + PART]
+            if self.squeeze:
+                lead, tail = part[0] == " ", part[-1] == " "
+                part = re.sub(" +", " ", part).strip(" ")
+                if not part:
+                    gap = True
+                    continue
+                if begun and (gap or lead):
+                    part = " " + part
+                gap = tail
+            if self.prefix and not begun:
+                part = " " + part
+            begun = True
+            yield part.replace(" ", MARK) if self.escape else part
 
     def _ids_of(self, pieces: Iterable[str]) -> list[int]:
         out: list[int] = []
@@ -245,20 +315,7 @@ class Model:
         return out
 
     def encode(self, text: str) -> np.ndarray:
-        text = self.normalised(text)
-        if not self.by_word or not self.bytes:
-            return np.array(self._ids_of(self.stream([text])), np.int32)
-        kept, out = self._kept, []
-        for word in re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", text):
-            ids = kept.get(word)
-            if ids is None:
-                ids = np.array(self._ids_of(self.word(word)), np.int32).tobytes()
-                if len(word) <= 64:
-                    if len(kept) >= KEPT_WORDS:
-                        kept.clear()
-                    kept[word] = ids
-            out.append(ids)
-        return np.frombuffer(b"".join(out), np.int32)
+        return np.frombuffer(b"".join(self.stream(self.normalised(text))), np.int32)
 
     def decode(self, ids: Iterable[int]) -> str:
         out = b"".join(map(self._text.__getitem__, ids))

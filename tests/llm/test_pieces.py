@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import math
 import random
+import re
 
+import numpy as np
 import pytest
 
 from tesserae.llm import pieces as P
@@ -34,9 +36,29 @@ def test_ids_are_the_library_s(model, library):
 
 def test_stream_by_parts_is_the_same(model, library):
     for t in texts()[:60]:
-        x = model.normalised(t)
+        x = "".join(model.normalised(t))
         for step in (1, 7, 1000):
-            assert model._ids_of(model.stream([x[i : i + step] for i in range(0, len(x), step)])) == library.encode(t)
+            parts = [x[i : i + step] for i in range(0, len(x), step)]
+            assert model._ids_of(model.window(parts)) == library.encode(t)
+            assert np.frombuffer(b"".join(model.stream(parts)), np.int32).tolist() == library.encode(t)
+
+
+def test_every_text_goes_through_the_stream(model, monkeypatch):
+    calls, inner = [], model.stream
+    monkeypatch.setattr(model, "stream", lambda parts: calls.append(1) or inner(parts))
+    for t in texts():
+        model.encode(t)
+    assert len(calls) == len(texts())
+
+
+def test_normalised_parts(monkeypatch):
+    rnd = random.Random(7)
+    m = P.Model.of([("<unk>", 0.0, P.UNKNOWN), ("▁", -1.0, P.NORMAL)], P.UNIGRAM, squeeze=True)
+    for _ in range(300):
+        t = "".join(rnd.choice("  ab") for _ in range(rnd.randrange(0, 25)))
+        monkeypatch.setattr(P, "PART", rnd.randrange(1, 9))
+        want = re.sub(" +", " ", t).strip(" ")
+        assert "".join(m.normalised(t)) == (f" {want}".replace(" ", "▁") if want else "")
 
 
 def test_unigram_against_full_viterbi():
@@ -51,7 +73,7 @@ def test_unigram_against_full_viterbi():
             for b in range(max(0, e - m.longest), e):
                 if t[b:e] in m.ids or e - b == 1:
                     best[e] = max(best[e], best[b] + score.get(t[b:e], m.worst))
-        got = list(m.stream(t[i : i + 5] for i in range(0, len(t), 5)))
+        got = list(m.window(t[i : i + 5] for i in range(0, len(t), 5)))
         assert "".join(got) == t and math.isclose(sum(score.get(p, m.worst) for p in got), best[-1], abs_tol=1e-9)
 
 
@@ -64,7 +86,7 @@ def test_window_stays_bounded(model):
         return inner(back, longest)
 
     model._common = watch
-    list(model.stream(["abcdefgh" * 2000]))
+    list(model.window(["abcdefgh" * 2000]))
     del model._common
     assert max(seen) < 12 * model.longest
 
