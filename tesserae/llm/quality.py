@@ -3,13 +3,17 @@
 One weight vector is shared by all grades: over hashed words (log counts, unit length) and over buckets of shape measures
 (shares of capitals, digits, symbols and non-ASCII bytes, word length, repetition). Grade thresholds t_1 < ... < t_K-1,
 kept in order by positive steps, cut the same line: P(grade <= k) = sigmoid(t_k - score). The expected grade and the tail
-probability P(grade >= tail) follow, and documents of tail probability KEEP or more are selected.
+probabilities P(grade >= k) follow, and documents of tail probability KEEP or more at the grade asked for are selected.
 
-Training (driver, bounded): at most SAMPLE rated documents of at most TRAIN_BYTES, chosen by a hash of their id among
+Grades come from the labels together: 0 for low quality, 1 for good quality that is toxic, 2 for good quality that is not;
+where there is no word on toxicity, 2. The query selects by P(grade >= 1).
+
+Training (one task, bounded): at most SAMPLE rated documents of at most TRAIN_BYTES, chosen by a hash of their id among
 those whose crc32(id) mod 4 is not 2. Any distinct ratings serve as grades; with one grade or none the model is constant.
 
 Defined results: null and empty texts have no features and get the base score; equal texts get equal values (6
-decimals); null ratings and ratings without a document are ignored; repeated rows are scored each.
+decimals); null ratings and ratings without a document are ignored, of clashing ones the lowest holds; repeated rows are
+scored each.
 """
 
 from __future__ import annotations
@@ -18,11 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import words as W
-from tesserae.llm.common import table, text_bytes
+from tesserae.llm.common import table, text_bytes, trained_in_a_task
 from tesserae.llm.toxicity import held_out
 
 BUCKETS = 1 << 17
@@ -96,13 +100,19 @@ class Ordinal:
 
     def judged(self, words: W.Words, tail: float | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Expected grade, and probability of grade tail (the highest, if not given) or more."""
+        expected, tails = self.graded(words)
+        if len(self.grades) < 2:
+            return expected, np.ones(len(expected))
+        k = int(np.searchsorted(self.grades, self.grades[-1] if tail is None else tail))
+        return expected, tails[:, k] if k < len(self.grades) else np.zeros(len(expected))
+
+    def graded(self, words: W.Words) -> tuple[np.ndarray, np.ndarray]:
+        """Expected grade, and the probability of each grade or a higher one (a column a grade; the first is 1)."""
         n = len(words.offsets) - 1
         if len(self.grades) < 2:
-            return np.full(n, self.grades[0] if len(self.grades) else 0.0), np.ones(n)
+            return np.full(n, self.grades[0] if len(self.grades) else 0.0), np.ones((n, len(self.grades)))
         most = self.at_most(self.line(words))
-        k = int(np.searchsorted(self.grades, self.grades[-1] if tail is None else tail))
-        above = 1 - most[:, k - 1] if k else np.ones(n)
-        return np.round(np.diff(most, axis=1, prepend=0) @ self.grades, 6), np.round(above, 6)
+        return np.round(np.diff(most, axis=1, prepend=0) @ self.grades, 6), np.round(np.concatenate([np.ones((n, 1)), 1 - most[:, :-1]], axis=1), 6)
 
 
 def train(texts: list[bytes], ratings: list[float], steps: int = STEPS, seed: int = 3) -> Ordinal:
@@ -147,31 +157,43 @@ def train(texts: list[bytes], ratings: list[float], steps: int = STEPS, seed: in
     return model
 
 
-def fit(docs: DataFrame, ratings: DataFrame, rating: str = "quality") -> Ordinal:
-    """docs: doc_id, text; ratings: doc_id and a number."""
-    known = ratings.select("doc_id", F.col(rating).cast("double").alias("grade")).filter(F.col("grade").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+def grade(quality: str = "quality", toxic: str = "toxic") -> Column:
+    """0 for low quality, 1 for good but toxic, 2 for good."""
+    return F.when(F.col(quality) == 0, 0.0).when((F.col(quality) == 1) & (F.col(toxic) == 1), 1.0).when(F.col(quality) == 1, 2.0)
+
+
+def sample(docs: DataFrame, ratings: DataFrame, rating: str | Column = "quality") -> DataFrame:
+    """(raw, grade) of the bounded sample of rated documents. docs: doc_id, text; ratings: doc_id and a number."""
+    rating = F.col(rating) if isinstance(rating, str) else rating
+    known = ratings.select("doc_id", rating.cast("double").alias("grade")).filter(F.col("grade").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("grade").alias("grade"))
     share = min(1.0, SAMPLE / max(1, known.count()))
-    sample = F.broadcast(known.filter(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000)) < share * 1_000_000))  # about SAMPLE rows of two numbers
-    rows = docs.select("doc_id", text_bytes(F.col("text")).alias("raw")).filter(F.octet_length("raw") <= TRAIN_BYTES).join(sample, "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["raw"])))
-    return train([bytes(r["raw"]) for r in rows], [r["grade"] for r in rows])
+    drawn = F.broadcast(known.filter(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000)) < share * 1_000_000))  # about SAMPLE rows of two numbers
+    return docs.select("doc_id", text_bytes(F.col("text")).alias("raw")).filter(F.octet_length("raw") <= TRAIN_BYTES).join(drawn, "doc_id").select("raw", "grade")
+
+
+def fit(docs: DataFrame, ratings: DataFrame, rating: str | Column = "quality") -> Ordinal:
+    return trained_in_a_task(sample(docs, ratings, rating), train)
 
 
-def score(docs: DataFrame, model: Ordinal, key: str = "doc_id", text: str = "text", tail: float | None = None) -> DataFrame:
-    """docs' key, expected_grade and tail_probability."""
+def score(docs: DataFrame, model: Ordinal, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs' key, expected_grade and tails, the probability of each of the model's grades or a higher one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, last, buf, offsets in W.chunks(b.column(1)):
-                grade, above = shared.value.judged(W.split(buf, offsets), tail)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), pa.array(grade, pa.float64()), pa.array(above, pa.float64())], ["key", "expected_grade", "tail_probability"])
+                expected, tails = shared.value.graded(W.split(buf, offsets))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(tails) + 1, dtype=np.int32) * tails.shape[1]), pa.array(tails.ravel(), pa.float64()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), pa.array(expected, pa.float64()), lists], ["key", "expected_grade", "tails"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), text_bytes(F.col(text)).alias("raw")).mapInArrow(run, f"key {kind}, expected_grade double, tail_probability double").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), text_bytes(F.col(text)).alias("raw")).mapInArrow(run, f"key {kind}, expected_grade double, tails array<double>").withColumnRenamed("key", key)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tail_probability is P(grade >= 1), top_probability P(grade >= 2); with fewer grades the probability of the highest one."""
     docs = table(spark, sf_dir, "documents")
-    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "expected_grade", "tail_probability", (F.col("tail_probability") >= KEEP).alias("selected"))
+    model = fit(docs, table(spark, sf_dir, "labels"), grade())
+    tail = lambda k: F.coalesce(F.get("tails", F.lit(min(k, max(0, len(model.grades) - 1)))), F.lit(1.0))
+    scored = score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "expected_grade", tail(1).alias("tail_probability"), tail(2).alias("top_probability"))
+    return scored.withColumn("selected", F.col("tail_probability") >= KEEP)

@@ -1,23 +1,26 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word's input is its hashed word vector beside the mean of its character n-gram vectors (n-grams of the bytes between
-marks for the word's ends). A word of more than LONGEST bytes counts as several
-that overlap by half, so that all its bytes are read. Two gated recurrent passes read each window of WINDOW words, which overlap by half;
+A word's input is its hashed word vector, plus vectors of its openings (its first 5, 7 and 9 bytes, or all if fewer), beside
+the mean of its character n-gram vectors (n-grams of the bytes between marks for the word's ends). A word of more than LONGEST bytes is cut after marks,
+and what is longer still counts as several that overlap by half, so that all its bytes are read. Two gated recurrent passes read each window of WINDOW words, which overlap by half;
 attention pools their states, a logit follows, and a document scores its highest window. Every window of the whole text
 is scored.
 
-Training (driver, bounded): at most POSITIVES and NEGATIVES labelled documents of at most TRAIN_BYTES, chosen by a hash
+Training (one task, bounded): at most POSITIVES and NEGATIVES labelled documents of at most TRAIN_BYTES, chosen by a hash
 of their id among those whose crc32(id) mod 4 is not 2; only text enters the network. A document of label 1 is told by
 its highest window, one of label 0 by all its windows. The first components of the input vectors start at the log odds
-of the sample. A last shift places CUT where the F1 of the sample's documents is highest.
+of the sample. A fifth of the sample, chosen by its texts, is kept for the last shift, which places CUT where the F1 of those
+documents is highest; a sample with too few of either label there serves whole.
 
 Defined results: null and empty texts get the score of an empty window; a text of fewer than WINDOW words is one window;
 equal texts get equal scores (6 decimals); without labels of both kinds every score is the share of label 1, or 0;
-labels that are null or without a document are ignored; repeated rows are scored each.
+labels that are null or without a document are ignored; a document with clashing labels counts as toxic; repeated rows are
+scored each.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,23 +30,47 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesserae.llm import words as W
-from tesserae.llm.common import fresh, table, text_bytes
+from tesserae.llm.common import fresh, table, text_bytes, trained_in_a_task
 
 WINDOW, STRIDE = 24, 12
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 15, 1 << 15
 WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 6, 6, 8, 8
 GRAMS = (3, 4)
+OPENINGS = (5, 7, 9)
 POSITIVES, NEGATIVES, TRAIN_BYTES = 1200, 2400, 12_000
 STEPS, BATCH, RATE = 260, 384, 0.01
 CUT = 0.3
+#: Share of words that lose their own vector at a training step.
+UNSEEN = 0.5
+#: Documents of average share that each bucket's log odds start from.
+PRIOR = 20
+#: Documents of each label that suffice to place CUT.
+FEW = 12
 #: A word of more than LONGEST bytes is read in parts of PART bytes, each APART bytes after the one before.
 LONGEST, PART, APART = 64, 24, 12
 BLOCK = 4096
 _F = np.float32
+_MARK = np.zeros(256, bool)
+_MARK[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+
+
+def unglued(words: W.Words) -> W.Words:
+    """words, with those of more than LONGEST bytes cut after runs of ASCII marks."""
+    sizes = words.ends - words.starts
+    if not len(sizes) or sizes.max() <= LONGEST:
+        return words
+    cut = np.flatnonzero(_MARK[words.buf[:-1]] & ~_MARK[words.buf[1:]]) + 1
+    word = np.searchsorted(words.starts, cut, side="right") - 1
+    cut = cut[(word >= 0) & (cut < words.ends[word]) & (cut > words.starts[word]) & (sizes[word] > LONGEST)]
+    starts = np.sort(np.concatenate([words.starts, cut]))
+    of = np.searchsorted(words.starts, starts, side="right") - 1
+    ends = np.minimum(np.append(starts[1:], len(words.buf)), words.ends[of])
+    return W.Words(words.buf, words.offsets, starts, ends, np.searchsorted(starts, np.append(words.starts, len(words.buf))[words.bounds]))
 
 
 def bounded(words: W.Words) -> W.Words:
     """words with the parts of each long word in its place."""
+    words = unglued(words)
     sizes = words.ends - words.starts
     if not len(sizes) or sizes.max() <= LONGEST:
         return words
@@ -55,11 +82,13 @@ def bounded(words: W.Words) -> W.Words:
 
 
 class Features:
-    """Distinct words of some documents: word buckets, and flat n-gram buckets with offsets; token holds each word's row."""
+    """Distinct words of some documents: word buckets, buckets of their openings (in the same table), and flat n-gram buckets with counts; token holds each word's row."""
 
     def __init__(self, words: W.Words) -> None:
         h = words.hashes()
-        _, first, self.token = np.unique(h, return_index=True, return_inverse=True)
+        _, first, token = np.unique(h, return_index=True, return_inverse=True)
+        self.token = token.astype(np.int32)
+        del token
         self.word = (h[first] % np.uint64(WORD_BUCKETS)).astype(np.int32)
         starts, sizes = words.starts[first], words.ends[first] - words.starts[first]
         at = np.concatenate([[0], np.cumsum(sizes + 2)])
@@ -72,6 +101,13 @@ class Features:
         code[at[:-1]] = 1
         code[at[1:] - 1] = 2
         code[at[owner] + 1 + inner] = letters
+        v, opens = np.full(n, 7, np.uint32), []
+        for k in range(max(OPENINGS)):
+            v = np.where(k < sizes, (v ^ code[at[:-1] + np.minimum(k, sizes - 1) + 1]) * np.uint32(0x01000193), v)
+            v ^= v >> np.uint32(15)
+            if k + 1 in OPENINGS:
+                opens.append((v ^ np.uint32(k + 1)) * np.uint32(0x9E3779B1) >> np.uint32(8))
+        self.opening = (np.stack(opens, axis=1) % np.uint32(WORD_BUCKETS)).astype(np.int32)
         flat, who = [], []
         for g in GRAMS:
             counts = np.maximum(sizes + 2 - g + 1, 0)
@@ -99,8 +135,9 @@ def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first = np.concatenate([[0], np.cumsum(counts)])
     doc = np.repeat(np.arange(len(sizes)), counts)
     begin = bounds[doc] + (np.arange(first[-1]) - first[doc]) * STRIDE
-    at = begin[:, None] + np.arange(WINDOW)
-    return np.where(at < bounds[doc + 1][:, None], at, -1), first[:-1]
+    at = begin.astype(np.int32)[:, None] + np.arange(WINDOW, dtype=np.int32)
+    at[at >= bounds[doc + 1].astype(np.int32)[:, None]] = -1
+    return at, first[:-1]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -122,12 +159,17 @@ class Network:
         self.shift = 0.0
         self.constant: float | None = None
 
-    def inputs(self, f: Features) -> np.ndarray:
-        """A row for each distinct word."""
+    def inputs(self, f: Features, unseen: np.ndarray | None = None) -> np.ndarray:
+        """A row for each distinct word; unseen ones lack their own vector."""
         if not len(f.word):
             return np.zeros((0, WORD_DIM + GRAM_DIM), _F)
         grams = np.add.reduceat(self.p["gram"][f.gram], f.gram_starts(), axis=0) / f.counts[:, None].astype(_F)
-        return np.concatenate([self.p["word"][f.word], grams], axis=1)
+        own = self.p["word"][f.word]
+        if unseen is not None:
+            own[unseen] = 0
+        for k in range(f.opening.shape[1]):
+            own += self.p["word"][f.opening[:, k]]
+        return np.concatenate([own, grams], axis=1)
 
     def forward(self, gates: np.ndarray, rows: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """Logits of windows. gates: (2, distinct words + 1, 3 HIDDEN) input parts, the last row unused; rows: (windows x WINDOW), -1 for none."""
@@ -183,11 +225,9 @@ class Network:
         return np.round(1 / (1 + np.exp(-x)), 6)
 
     def gradients(self, f: Features, rows: np.ndarray, target: np.ndarray, unseen: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean log loss of windows and its gradients; word and gram get (rows, values) pairs. unseen: words told by their n-grams alone."""
+        """Mean log loss of windows and its gradients; word and gram get (rows, values) pairs. unseen: words told by openings and n-grams alone."""
         p, H, n, keep = self.p, HIDDEN, len(rows), {}
-        x = self.inputs(f)
-        if unseen is not None:
-            x[unseen, :WORD_DIM] = 0
+        x = self.inputs(f, unseen)
         logit = self.forward(self.gates(x), rows, keep)
         prob = _sigmoid(logit)
         loss = float(np.mean(np.logaddexp(0, logit) - target * logit))
@@ -226,9 +266,9 @@ class Network:
         g["b"] = dgates.sum(axis=1, keepdims=True)
         g["x"] = x.T @ dgates
         dinput = (dgates @ p["x"].transpose(0, 2, 1)).sum(axis=0)
-        if unseen is not None:
-            dinput[unseen, :WORD_DIM] = 0
-        g["word"] = (f.word, dinput[:, :WORD_DIM])
+        dword = dinput[:, :WORD_DIM]
+        own = dword if unseen is None else np.where(unseen[:, None], _F(0), dword)
+        g["word"] = (np.concatenate([f.word, f.opening.T.ravel()]), np.concatenate([own, *[dword] * f.opening.shape[1]]))
         g["gram"] = (f.gram, np.repeat(dinput[:, WORD_DIM:] / f.counts[:, None].astype(_F), f.counts, axis=0))
         return loss, g
 
@@ -262,15 +302,33 @@ def _log_odds(per_doc: Iterator[np.ndarray], label: np.ndarray, buckets: int) ->
         held[c, np.unique(keys)] += 1
     neg, pos = held
     share = (label == 1).mean()
-    return (np.log((pos + 4 * share) / (neg + 4 * (1 - share))) - np.log(share / (1 - share))).clip(-3, 3).astype(_F)
+    return (np.log((pos + PRIOR * share) / (neg + PRIOR * (1 - share))) - np.log(share / (1 - share))).clip(-3, 3).astype(_F)
 
 
-def train(texts: list[bytes], labels: list[int], steps: int = STEPS, seed: int = 5) -> Network:
+def train(texts: list[bytes], labels: list[int], steps: int | None = None, seed: int = 5) -> Network:
     """A network for documents with labels 0 and 1."""
-    net, label = Network(), np.array(labels, np.int64)
+    label = np.array(labels, np.int64)
     if not len(label) or label.min() == label.max():
+        net = Network()
         net.constant = float(label.mean()) if len(label) else 0.0
         return net
+    kept = np.array([zlib.crc32(t) % 5 == 0 for t in texts])
+    if min(np.bincount(label[kept], minlength=2)) < FEW:
+        kept[:] = False
+    net = _learned([t for t, k in zip(texts, kept, strict=True) if not k], label[~kept], STEPS if steps is None else steps, seed)
+    judge, label = ([t for t, k in zip(texts, kept, strict=True) if k], label[kept]) if kept.any() else (texts, label)
+    logit = np.concatenate([net.logits(W.split(buf, offsets)) for *_, buf, offsets in W.chunks(pa.array(judge, pa.binary()))]).astype(np.float64)
+    order = np.argsort(-logit, kind="stable")
+    hits = np.cumsum(label[order])
+    f1 = 2 * hits / (np.arange(1, len(hits) + 1) + label.sum())
+    k = int(np.argmax(f1))
+    edge = (logit[order[k]] + logit[order[min(k + 1, len(order) - 1)]]) / 2
+    net.shift = float(edge - np.log(CUT / (1 - CUT)))
+    return net
+
+
+def _learned(texts: list[bytes], label: np.ndarray, steps: int, seed: int) -> Network:
+    net = Network()
     buf = np.frombuffer(b"".join(texts), np.uint8)
     words = bounded(W.split(buf, np.concatenate([[0], np.cumsum([len(t) for t in texts])])))
     f = Features(words)
@@ -282,16 +340,19 @@ def train(texts: list[bytes], labels: list[int], steps: int = STEPS, seed: int =
         return f.gram[np.repeat(starts[tokens], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
 
     in_doc = [np.unique(f.token[a:b]) for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
-    net.p["word"][:, 0] = _log_odds((f.word[t] for t in in_doc), label, WORD_BUCKETS)
+    net.p["word"][:, 0] = _log_odds((np.append(f.word[t], f.opening[t].ravel()) for t in in_doc), label, WORD_BUCKETS)
     net.p["gram"][:, 0] = 2 * _log_odds((grams(t) for t in in_doc), label, GRAM_BUCKETS)
-    at, first = windows(words.bounds)
-    doc = np.repeat(np.arange(len(texts)), np.diff(np.append(first, len(at))))
-    rows = np.append(f.token, -1)[at]
+    del in_doc
+    rows, first = windows(words.bounds)
+    doc = np.repeat(np.arange(len(texts)), np.diff(np.append(first, len(rows))))
+    token = np.append(f.token, np.int32(-1))
+    for k in range(0, len(rows), BLOCK):
+        rows[k : k + BLOCK] = token[rows[k : k + BLOCK]]
     rng, adam = np.random.default_rng(seed), _Adam(net.p, RATE)
     negatives = np.flatnonzero(label[doc] == 0)
     # Before the first pass, a document's window with the largest log odds of words and n-grams stands for it.
     hint = np.append(net.inputs(f)[:, [0, WORD_DIM]].sum(axis=1), -9)
-    score = np.sort(hint[rows], axis=1)[:, -3:].sum(axis=1)
+    score = np.concatenate([np.partition(hint[rows[k : k + BLOCK]], -3, axis=1)[:, -3:].sum(axis=1) for k in range(0, len(rows), BLOCK)])
 
     def top() -> np.ndarray:
         order = np.lexsort((score, doc))
@@ -310,19 +371,12 @@ def train(texts: list[bytes], labels: list[int], steps: int = STEPS, seed: int =
         local = local.reshape(-1, WINDOW) - (used[0] < 0)
         used = used[used >= 0]
         part = Features.__new__(Features)
-        part.word, part.counts = f.word[used], f.counts[used]
+        part.word, part.opening, part.counts = f.word[used], f.opening[used], f.counts[used]
         part.gram = grams(used)
         adam.rate = RATE * (1 - step / steps) + 1e-4
-        # Half of the words lose their own vector at each step, so that n-grams learn to tell words never met.
-        _, g = net.gradients(part, local, (label[doc[pick]] == 1).astype(_F), rng.random(len(used)) < 0.5)
+        # Some words lose their own vector at each step, so that openings and n-grams learn to tell words never met.
+        _, g = net.gradients(part, local, (label[doc[pick]] == 1).astype(_F), rng.random(len(used)) < UNSEEN)
         adam.step(g)
-    logit = net.logits(words).astype(np.float64)
-    order = np.argsort(-logit, kind="stable")
-    hits = np.cumsum(label[order])
-    f1 = 2 * hits / (np.arange(1, len(hits) + 1) + label.sum())
-    k = int(np.argmax(f1))
-    edge = (logit[order[k]] + logit[order[min(k + 1, len(order) - 1)]]) / 2
-    net.shift = float(edge - np.log(CUT / (1 - CUT)))
     return net
 
 
@@ -330,16 +384,19 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Network:
-    """A network trained on the bounded sample; docs: doc_id, text; labels: doc_id, toxic."""
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(raw, toxic) of the bounded sample of labelled documents. docs: doc_id, text; labels: doc_id, toxic."""
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = {c: min(1.0, most / counts[c]) if counts.get(c) else 0.0 for c, most in ((1, POSITIVES), (0, NEGATIVES))}
     draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]) * 1_000_000
-    sample = F.broadcast(known.filter(draw))  # about POSITIVES + NEGATIVES rows of two numbers, whatever the input
-    rows = docs.select("doc_id", text_bytes(F.col("text")).alias("raw")).filter(F.octet_length("raw") <= TRAIN_BYTES).join(sample, "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["raw"])))
-    return train([bytes(r["raw"]) for r in rows], [r["toxic"] for r in rows])
+    drawn = F.broadcast(known.filter(draw))  # about POSITIVES + NEGATIVES rows of two numbers, whatever the input
+    return docs.select("doc_id", text_bytes(F.col("text")).alias("raw")).filter(F.octet_length("raw") <= TRAIN_BYTES).join(drawn, "doc_id").select("raw", "toxic")
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Network:
+    """A network trained on the bounded sample."""
+    return trained_in_a_task(sample(docs, labels), train)
 
 
 def score(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text") -> DataFrame:

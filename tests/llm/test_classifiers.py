@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import quality, toxicity
 from tesserae.llm import words as W
+from tesserae.llm.common import trained_in_a_task
 
 
 def split(texts):
@@ -114,18 +115,62 @@ def test_toxicity_frames(spark, net):
     assert len({r.score for r in toxicity.score(df.filter("doc_id = 2"), net).collect()}) == 1
 
 
-def test_fit_never_sees_held_out_rows(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(toxicity, "train", lambda texts, labels: seen.append((texts, labels)))
+def test_fit_never_sees_held_out_rows(spark):
     docs = spark.createDataFrame([(i, f"t{i}") for i in range(200)] + [(None, "n")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(150)] + [(None, 1), (7, None), (999, 1), (3, 1)], "doc_id long, toxic int")
-    toxicity.fit(docs, labels)
+    seen = trained_in_a_task(toxicity.sample(docs, labels), lambda texts, labels: (texts, labels))
     want = {i for i in range(150) if zlib.crc32(str(i).encode()) % 4 != 2}
-    assert {int(t[1:]) for t in seen[0][0]} == want and len(seen[0][0]) == len(want)
+    assert {int(t[1:]) for t in seen[0]} == want and len(seen[0]) == len(want)
+    assert dict(zip(seen[0], seen[1], strict=True)) == {f"t{i}".encode(): i % 2 for i in want}
     got = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).collect()
     assert all(r.h == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
 
 
+def test_forward_pass_by_brute_force(net):
+    """Logits of whole documents from plain loops over windows, words and gates."""
+    texts = ["", "gruk", "tari gruksel " * 30 + "sel", corpus(1, 5)[0][0]]
+    p, H, sig = {k: v.astype(np.float64) for k, v in net.p.items()}, toxicity.HIDDEN, lambda x: 1 / (1 + np.exp(-x))
+    f = toxicity.Features(split(texts))
+    x, at = net.inputs(f).astype(np.float64), 0
+    for t, got in zip(texts, net.logits(split(texts)), strict=True):
+        ws = [x[f.token[at + k]] for k in range(len(t.split()))]
+        at += len(ws)
+        best = -np.inf
+        for lo in range(0, max(1, len(ws) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+            part, states = ws[lo : lo + toxicity.WINDOW], []
+            for d in (0, 1):
+                h, out = np.zeros(H), []
+                for v in part[:: -1 if d else 1]:
+                    i, u = v @ p["x"][d] + p["b"][d, 0], h @ p["h"][d]
+                    z, r = sig(i[:H] + u[:H]), sig(i[H : 2 * H] + u[H : 2 * H])
+                    c = np.tanh(i[2 * H :] + r * u[2 * H :])
+                    h = (1 - z) * c + z * h
+                    out.append(h)
+                states.append(out[:: -1 if d else 1])
+            s = [np.concatenate(pair) for pair in zip(*states, strict=True)]
+            e = [np.exp(np.tanh(v @ p["a"] + p["ab"]) @ p["v"]) for v in s]
+            best = max(best, (sum(w * v for w, v in zip(e, s, strict=True)) / sum(e) @ p["o"] if s else 0.0) + p["ob"][0])
+        assert abs(best - got) < 1e-3
+
+
+def test_three_grades(spark):
+    rnd = random.Random(4)
+    rows, labels = [], []
+    for i in range(400):
+        k = i % 3
+        rows.append((i, " ".join(rnd.choice(("good", "fine", "text", *[("odd", "junk"), ("nasty", "fine"), ("good", "nice")][k] * 2)) for _ in range(40))))
+        labels.append((i, int(k > 0), int(k == 1)))
+    docs = spark.createDataFrame([*rows, (900, None), (None, "x")], "doc_id long, text string")
+    ratings = spark.createDataFrame([*labels, (7, None, 1), (None, 1, 0), (5000, 1, 0)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, ratings, quality.grade())
+    assert model.grades.tolist() == [0, 1, 2] and (np.diff(model.thresholds) > 0).all()
+    got = {r.doc_id: r for r in quality.score(docs, model).collect()}
+    assert all(1 == r.tails[0] >= r.tails[1] >= r.tails[2] >= 0 for r in got.values()) and len(got) == 402
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]
+    guess = {i: int(np.argmax(-np.diff([*got[i].tails, 0]))) for i in held}
+    assert np.mean([guess[i] == i % 3 for i in held]) > 0.9
+
+
 def test_ordinal_grades_in_order():
     rnd = random.Random(0)
     texts, grades = [], []
