@@ -1,17 +1,22 @@
 """Main text of web pages by line-block distribution.
 
-A page is cut into lines at block-level tags; script, style and other unshown content, comments and markup go. Lines
-within elements that are no article by their name, role, class or id (menus, headers, footers, sidebars, notices,
-adverts, forms, reader comments) are left out, unless such an element holds the marked article, or more than half of the
-page's block text and no more than a hint speaks against it; if nothing is left, only elements such as nav and footer are.
-Where the page marks its article or main part, all other lines of that part
-are kept. Else over the lines' text lengths (without link text) runs a window of WINDOW lines: where its sum rises to the
-surge level a text begins, where it falls to zero the text ends, and what lies between is kept if it has a fifth or more
-of the longest text's length.
+Markup is stripped first: a page is cut into lines at block-level tags; script, style and other unshown content, comments and
+tags go. Each line then has a weight, and over the weights runs a window of WINDOW lines: where its sum rises to the surge
+level a text begins, where it falls to zero the text ends, and the lines between are kept if they have a fifth or more of
+the longest text's weight.
+
+A line weighs as many characters as it has outside of links (nothing, if half or more are links). Tags only change weights.
+Lines within elements that are no article by their name, role, class or id (menus, headers, footers, sidebars, notices,
+adverts, forms, reader comments) weigh nothing and are no position of the window, unless such an element holds the marked
+article, or more than half of the page's block text and no more than a hint speaks against it; if that leaves nothing, only
+elements such as nav and footer count as such. A class or id is a hint if all of its words are hints or say nothing of the
+content (box, left, inner). Where a page marks its article or main part, each of its lines weighs SURGE or more, so that no
+window over it falls, and lines outside weigh nothing.
 
 Defined results: null and empty pages, and pages without text, give an empty text; unclosed elements and comments last to
-the end of the page; character references are decoded once; white space within a line becomes one space; lines are
-joined by one space in page order; equal pages give equal texts; extra columns are ignored.
+the end of the page, but for end tags that may be left out (of head, p, li, dt, dd, and of tables' parts); quotes in tags
+count after an equals sign only; character references are decoded once; white space within a line becomes one space; lines
+are joined by one space in page order; equal pages give equal texts; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +35,9 @@ WINDOW = 3
 SURGE = 60
 SHARE = 0.2
 
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_NAME_PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+|\d+")
+_NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Elements whose content up to their own end tag is no markup and isn't shown.
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 _UNSHOWN = {"head", "template", "svg", "math", "object", "canvas", "audio", "video", "dialog", "select", "datalist", "button"}
@@ -46,6 +51,12 @@ _HINTS = {
     "subscription", "signup", "login", "sidebar", "aside", "widget", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "masthead", "footer", "comment", "comments", "disqus", "respond", "replies",
     "related", "recommended", "share", "sharing", "social", "popup", "modal", "overlay", "toolbar", "pagination", "pager", "copyright", "skip", "paywall",
 }
+#: Parts that say nothing of the content, beside which a hint still is one.
+_PLAIN = {
+    "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "center", "column", "col", "container", "content", "contents", "count", "desktop", "form", "global", "group", "header", "heading", "holder", "icon", "icons", "inline", "inner", "item",
+    "items", "label", "large", "left", "link", "links", "list", "main", "message", "mobile", "outer", "overlay", "page", "pane", "panel", "primary", "reader", "readers", "right", "row", "secondary", "section", "site", "slot", "small", "space", "sticky",
+    "text", "title", "top", "unit", "user", "view", "wrap", "wrapper", "zone", "article", "articles", "post", "posts", "stories", "media", "policy", "a", "b", "c", "js", "l", "m", "s", "x",
+}
 #: Of these, what names reader comments; such parts are aside however long they are.
 _COMMENTS = {"comment", "comments", "disqus", "respond", "replies"}
 #: A hint after one of these tells what an element has or has not, not what it is.
@@ -78,7 +89,7 @@ def _kind(tag: str, raw: str, in_article: bool) -> str:
                 parts = [p.lower() for p in _NAME_PART.findall(one)]
                 told = [k for k, p in enumerate(parts) if p in _HINTS or tuple(parts[k : k + 2]) in _PAIRS]
                 told = [k for k in told if _DENIED.isdisjoint(parts[:k])]
-                if told:
+                if told and all(p in _HINTS or p in _PLAIN or p.isdigit() or len(p) == 1 or any(tuple(parts[j : j + 2]) in _PAIRS for j in (k - 1, k) if j >= 0) for k, p in enumerate(parts)):
                     kind = "comments" if any(parts[k] in _COMMENTS for k in told) else "hint"
                     break
         elif name == "role" and value.lower() in _ROLES:
@@ -86,45 +97,81 @@ def _kind(tag: str, raw: str, in_article: bool) -> str:
     return kind
 
 
+#: What an open element of the first kind ends with: a start tag of the second; and elements that keep it open from outside.
+_ENDS = {
+    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option", "optgroup"}, {"select"}), "td": ({"td", "th", "tr", "tbody", "thead", "tfoot"}, {"table"}),
+    "th": ({"td", "th", "tr", "tbody", "thead", "tfoot"}, {"table"}), "tr": ({"tr", "tbody", "thead", "tfoot"}, {"table"}), "tbody": ({"tbody", "tfoot"}, {"table"}), "thead": ({"tbody", "tfoot"}, {"table"}), "p": (_ENDS_P, {"table", "button", "object"}),
+}
+_ENDED_BY: dict[str, list[str]] = {}
+for _name, (_by, _) in _ENDS.items():
+    for _tag in _by:
+        _ENDED_BY.setdefault(_tag, []).append(_name)
+#: What a head may hold; another start tag ends it.
+_IN_HEAD = {"base", "basefont", "bgsound", "head", "link", "meta", "noscript", "script", "style", "template", "title"}
+
+
+class _Open:
+    """The open elements of a page. Each has a name, whether it is unshown, the innermost element around that may be aside (its number, or -1), that of the article's beginning (None outside of articles), and whether it is in a link."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, int, int | None, bool]] = []
+        self.places: dict[str, list[int]] = {}
+
+    def state(self) -> tuple[bool, int, int | None, bool]:
+        return self.stack[-1][1:] if self.stack else (False, -1, None, False)
+
+    def push(self, name: str, *state) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, *state))
+
+    def place(self, name: str) -> int:
+        """Of the nearest one of that name; -1 if there is none."""
+        found = self.places.get(name)
+        return found[-1] if found else -1
+
+    def close(self, place: int) -> None:
+        """The element there ends, with those in it."""
+        while len(self.stack) > place:
+            self.places[self.stack.pop()[0]].pop()
+
+    def implied_ends(self, tag: str) -> None:
+        """A start tag ends elements whose end tags may be left out."""
+        if tag not in _IN_HEAD and (head := self.place("head")) >= 0:
+            self.close(head)
+        for name in _ENDED_BY.get(tag, ()):
+            at = self.place(name)
+            if at >= 0 and all(self.place(around) < at for around in _ENDS[name][1]):
+                self.close(at)
+
+
 def lines(page: str, sure: bool = True) -> list[tuple[str, int, bool, bool]]:
     """Each shown line's text, its length (without spaces and links; 0 if half or more is links), whether it is aside, and whether it is in a marked article.
 
     An element is not aside if it holds more than half of the text of marked articles that begin in it, or if only a hint
     tells so and it holds more than half of the page's block text; with sure off, hints and comments count for nothing.
     """
-    out: list[tuple[str, int, tuple[int, ...], int | None]] = []
+    out: list[tuple[str, int, int, int | None]] = []
     parts: list[str] = []
     linked = 0
-    # Open elements: name, whether unshown, numbers of the open elements that may be aside, how many of them are around the article, in a link.
-    stack: list[tuple[str, bool, tuple[int, ...], int | None, bool]] = []
-    kinds: list[str] = []
-    shut, marks, article, link = False, (), None, False
+    now, kinds, parents = _Open(), [], []  # how each element that may be aside tells so, and the number of the next one around it
 
     def flush() -> None:
         nonlocal linked
+        shut, mark, article, _ = now.state()
         text = "" if shut else " ".join(html.unescape("".join(parts)).split())
         if text:
             plain = len(text) - text.count(" ") - linked
-            out.append((text, plain if plain > linked else 0, marks, article))
+            out.append((text, plain if plain > linked else 0, mark, article))
         parts.clear()
         linked = 0
 
-    def close(name: str) -> None:
-        """The nearest open element of that name ends, with those in it; nothing if there is none."""
-        nonlocal shut, marks, article, link
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name:
-                del stack[k:]
-                _, shut, marks, article, link = stack[-1] if stack else ("", False, (), None, False)
-                return
-
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else n]
         if text:
             parts.append(text)
-            if link:
+            if now.state()[3]:
                 linked += len("".join(html.unescape(text).split()))
         if not m:
             break
@@ -133,41 +180,47 @@ def lines(page: str, sure: bool = True) -> list[tuple[str, int, bool, bool]]:
             tag = m[1].lower()
             if tag not in _INLINE:
                 flush()
-            if tag in _ENDS_P and any(s[0] == "p" for s in stack):
-                close("p")
-            elif tag == "li" and any(s[0] == "li" for s in stack) and next(s[0] for s in reversed(stack) if s[0] in ("li", "ul", "ol", "menu")) == "li":
-                close("li")
+            now.implied_ends(tag)
             if tag in _RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else n
                 continue
             if tag in _VOID or m[2].endswith("/") and tag in ("svg", "path"):
                 continue
+            shut, mark, article, link = now.state()
             inside = article is not None or tag in _MAIN or ("role" in m[2] and _MAIN_ROLE.search(m[2]) is not None)
             kind = _kind(tag, m[2], inside)
             if inside and article is None:
-                article = len(marks)
+                article = mark
             if kind and kind != "unshown":
-                marks = (*marks, len(kinds))
+                parents.append(mark)
+                mark = len(kinds)
                 kinds.append(kind)
-            shut, link = shut or kind == "unshown", link or tag == "a"
-            stack.append((tag, shut, marks, article, link))
+            now.push(tag, shut or kind == "unshown", mark, article, link or tag == "a")
         elif m[3]:
             tag = m[3].lower()
             if tag not in _INLINE:
                 flush()
-            close(tag)
+            if (place := now.place(tag)) >= 0:
+                now.close(place)
     flush()
     around, held = [0] * len(kinds), [0] * len(kinds)
-    for text, plain, within, depth in out:
-        for k in within:
-            held[k] += plain
-        for k in within[: depth or 0]:
-            around[k] += len(text)
-    marked = sum(len(text) for text, *_, depth in out if depth is not None)
+    for text, plain, mark, start in out:
+        if mark >= 0:
+            held[mark] += plain
+        if start is not None and start >= 0:
+            around[start] += len(text)
+    for k in range(len(kinds) - 1, -1, -1):  # an element's number is above that of the one around it
+        if parents[k] >= 0:
+            held[parents[k]] += held[k]
+            around[parents[k]] += around[k]
+    marked = sum(len(text) for text, *_, start in out if start is not None)
     total = sum(plain for _, plain, *_ in out)
-    aside = [(sure or kind == "tag") and not (marked and 2 * around[k] > marked) and not (kind == "hint" and 2 * held[k] > total) for k, kind in enumerate(kinds)]
-    return [(text, plain, any(aside[k] for k in within), depth is not None) for text, plain, within, depth in out]
+    aside: list[bool] = []
+    for k, kind in enumerate(kinds):
+        own = (sure or kind == "tag") and not (marked and 2 * around[k] > marked) and not (kind == "hint" and 2 * held[k] > total)
+        aside.append(own or (parents[k] >= 0 and aside[parents[k]]))
+    return [(text, plain, mark >= 0 and aside[mark], start is not None) for text, plain, mark, start in out]
 
 
 def texts(weights: list[int]) -> Iterator[tuple[int, int]]:
@@ -194,12 +247,11 @@ def texts(weights: list[int]) -> Iterator[tuple[int, int]]:
 
 def _of_lines(found: list[tuple[str, int, bool, bool]]) -> str:
     found = [line for line in found if not line[2]]  # what is excluded is no position of the window either
-    if any(article for *_, article in found):
-        return " ".join(text for text, *_, article in found if article)
-    weights = [plain for _, plain, *_ in found]
+    marked = any(article for *_, article in found)
+    weights = [(max(SURGE, plain) if article else 0) if marked else plain for _, plain, _, article in found]
     ranges = [(first, last, sum(weights[first:last])) for first, last in texts(weights)]
-    least = SHARE * max((w for *_, w in ranges), default=0)
-    return " ".join(found[i][0] for first, last, w in ranges if w >= least for i in range(first, last))
+    least = 0 if marked else SHARE * max((w for *_, w in ranges), default=0)
+    return " ".join(found[i][0] for first, last, w in ranges if w >= least for i in range(first, last) if weights[i] or not marked)
 
 
 def main_text(page: str | None) -> str:

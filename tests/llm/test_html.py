@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html
 import re
+import time
 
 from tesserae.llm.html_text import extract, main_text, texts
 
@@ -56,6 +57,60 @@ def test_wrappers_named_like_boilerplate_stay():
     assert main_text("<div hidden>Not shown</div>") == main_text("<nav>Home</nav><article></article><div class=ad>Buy</div>") == ""
 
 
+def test_omitted_end_tags_wrappers_and_quotes():
+    long = "Words of a long paragraph that goes on and on."
+    assert main_text(f"<html><head><meta charset=x><title>T</title><link rel=y><body><p>{long}</p>") == long
+    assert main_text(f"<html><head><title>T</title><p>{long}</p>") == long
+    assert main_text(f"<div id=page class=has-sidebar><p>{long}</p><div class=sidebar>Side</div></div>") == long
+    assert main_text(f"<article><p>{long}</p><div class=related-work><p>Earlier work</p></div><div class=related-posts>More</div></article>") == f"{long} Earlier work"
+    assert main_text(f"<table><tr><td class=menu>Menu<td>{long}<tr><td class=menu>Menu<td>{long}</table>") == f"{long} {long}"
+    assert main_text(f"<article><p title=it's>{long}</p><p>It's <a href=\"x>y\">here</a></p></article>") == f"{long} It's here"
+    assert main_text(f"<article><p>{long} <a href=\"foo>link</a></p></article>") == f"{long} link"
+    assert main_text(f"<article><ul><li>{long}<ul><li>Inner</ul><li>Next</ul><dl><dt>T<dd>D<dt>U</dl></article>") == f"{long} Inner Next T D U"
+
+
+def test_time_follows_the_length():
+    for piece in ("<div>", "<p><span>", "<nav>", "<li><b>", "<div class=ad>", "<td>", "<a href='", "<!--", "</p>", "<div class=\""):
+        began = time.process_time()
+        main_text(piece * 40_000 + "x")
+        assert time.process_time() - began < 6
+
+
+def by_windows(page):
+    """The line-block rule in plain steps, for pages of p, h1, li, br and div without nested boilerplate."""
+    for shut in ("head", "script", "style", "nav", "footer"):
+        page = re.sub(rf"<{shut}\b.*?</{shut}>", "\n", page, flags=re.S)
+    page = re.sub(r'<div class="ad">.*?</div>', "\0", page, flags=re.S)
+    ls = [" ".join(html.unescape(t).split()) for t in re.split("<[^>]*>|\0", re.sub("</?b>", "", page))]
+    ls = [t for t in ls if t]
+    w = [len(t.replace(" ", "")) for t in ls]
+    sums = [sum(w[i : i + 3]) for i in range(len(w))]
+    level = min(60, max(sums, default=0) / 4)
+    keep, i = [], 0
+    while i < len(w):
+        if sums[i] >= level and sums[i]:
+            last = next((j for j in range(i, len(w)) if not sums[j]), len(w))
+            first = i
+            while first and w[first - 1]:
+                first -= 1
+            while not w[first]:
+                first += 1
+            keep.append((first, last))
+            i = last
+        else:
+            i += 1
+    most = max((sum(w[a:b]) for a, b in keep), default=0)
+    return " ".join(t for a, b in keep if sum(w[a:b]) >= most / 5 for t in ls[a:b])
+
+
+def test_windows_decide_on_unmarked_pages(spark, small):
+    rows = spark.read.parquet(f"{small}/pages.parquet").collect()
+    for r in rows:
+        bare = re.sub("<(/?)article>", r"<\1div>", r.html)
+        assert "<article" not in bare and main_text(bare) == by_windows(bare) == main_text(r.html)
+    assert len(rows) > 20
+
+
 def test_frames(spark):
     rows = [(1, "u", PAGE, "x"), (None, None, None, "y"), (2, "u", "", "z"), (2, "u", "", "z")]
     out = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
