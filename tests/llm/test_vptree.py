@@ -53,6 +53,40 @@ def test_all_equal_vectors(spark):
     assert found(spark, data, every=100) == brute(data, 10, 100)
 
 
+@pytest.mark.parametrize("shard_rows", [10_000, 60])
+def test_repeated_rows(spark, shard_rows):
+    data = rows(300, 4)
+    twice = [*data, (100, data[100][1]), (100, data[100][1]), (200, data[31][1])]
+    got = found(spark, twice, every=100, shard_rows=shard_rows)
+    assert {x for x in got if x[0] == 0} == {x for x in brute([*data, *data[100:101] * 2, (200, data[31][1])], 10, 100) if x[0] == 0}
+    assert sorted(x[1] for x in got if x[0] == 100) == sorted(x[1] for x in got if x[0] == 200) == list(range(1, 11))
+    assert {x for x in got if x[0] == 100} == {x for x in brute([*data[:100], (100, data[100][1]), *data[101:], (200, data[31][1])], 10, 100) if x[0] == 100}
+
+
+def test_a_query_leaves_regions_out(spark):
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(16, 8)) * 20
+    x = (centres[np.arange(4000) % 16] + r.normal(size=(4000, 8)))
+    tree = vptree.Regions(x[::3], 16)
+    q = x[::100]
+    d = np.sort(np.sqrt(((q[:, None] - x[None]) ** 2).sum(axis=2)), axis=1)[:, 10]
+    row, region = tree.reached(q, d, 1.0)
+    assert tree.leaves == 16 and len(row) < len(q) * 4
+    of = tree.of(x)
+    for k in range(len(q)):  # nothing within a query's limit lies elsewhere
+        near = np.sqrt(((x - q[k]) ** 2).sum(axis=1)) <= d[k]
+        assert set(of[near]) <= set(region[row == k])
+    data = [(i, v.tolist()) for i, v in enumerate(x[:1600])]
+    assert found(spark, data, every=100, shard_rows=100) == brute(data, 10, 100)
+
+
+def test_relaxed_recall_on_the_table(spark, small):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()]
+    want = {(q, j) for q, _, j, _ in brute(rows, 10, 10)}
+    got = {(q, j) for q, _, j, _ in found(spark, rows, every=10, relax=1.2, shard_rows=100)}
+    assert len(want & got) >= 0.9 * len(want)
+
+
 def test_query_is_exact_on_the_table(spark, small):
     data = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()]
     got = {(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in vptree.op4_nearest(spark, small).collect()}
