@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,10 +43,23 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within, a query's shuffle files go as soon as it has ended: for writes of plans that run once."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder as Parquet and read again."""
     path = scratch(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    with brief_shuffles(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -55,7 +69,8 @@ def bucketed(df: DataFrame, label: str, key: str, buckets: int) -> tuple[DataFra
     Call that once nothing reads the table any more; at the latest, it goes when the driver's Python ends.
     """
     spark, name = df.sparkSession, f"tesserae_{label}_{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").bucketBy(buckets, key).saveAsTable(name)
+    with brief_shuffles(spark):
+        df.write.option("compression", "zstd").bucketBy(buckets, key).saveAsTable(name)
 
     def drop() -> None:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
