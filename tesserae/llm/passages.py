@@ -1,13 +1,17 @@
 """Substring deduplication: paragraphs by MinHash banding, and passages inside paragraphs.
 
-Paragraphs (lines, and blocks of lines between blank lines) of MIN_WORDS words or more are compared approximately: BANDS bands of ROWS min-hashes
-over their word shingles (a pair at similarity 0.8 shares no band in about 7 of 10000 cases), each member of a band
-against the band's smallest, then all pairs of a band that this left in different components, exact Jaccard of 0.8 or more
-to link, and connected components as clusters. Because shared passages
-also start and end inside lines, texts are cut at content-defined anchors too (the smallest k-word hash of each window
-of WINDOW words), so that a passage of more than 50 words is cut alike wherever it stands. From each anchor, the least run
-of whole pieces with RUN words or more is hashed as one: equal runs are clusters. Runs of one keeper that follow each other
-are joined by word numbers, held against the keeper's text, and extended word by word to the ends of the match.
+Paragraphs (lines, and blocks of lines between blank lines) of MIN_WORDS words or more are compared by MinHash: BANDS bands
+of ROWS min-hashes over their word shingles (a pair at similarity 0.8 shares no band in 7 of 1000 cases; paragraphs of
+three shingles or fewer, which only link where their sets are equal, need one band). Each member of a band is held against
+the band's smallest, then, in bands whose members this left in different components, against each other, unless parity
+signatures tell that two differ too much. Exact Jaccard of 0.8 or more links; connected components are clusters. Because
+shared passages also start and end inside lines, texts are cut at content-defined anchors too (the smallest k-word hash of
+each window of WINDOW words), so that a passage of more than 50 words is cut alike wherever it stands. From each anchor, the
+least run of whole pieces with RUN words or more is hashed as one: equal runs are clusters. Runs of one keeper that follow
+each other are joined by word numbers, held against the keeper's text, and extended word by word to the ends of the match.
+
+One scan of the texts makes both, as narrow rows (runs, and paragraphs with their bands); a second one reads what the
+verification needs: shingles of paragraphs that collide, and the words around repeated runs.
 
 A cluster keeps its copy in the smallest document id; copies in other documents are removed. Repetition within one
 document is left alone. Paragraphs of fewer than MIN_WORDS words are removed only as part of a passage or block.
@@ -24,23 +28,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tesserae.llm import words as W
-from tesserae.llm.common import stored, table, text_bytes
+from tesserae.llm.common import fresh, stored, table, text_bytes
 from tesserae.operators.graph import components
 
 MIN_WORDS, RUN = 5, 18
 #: A passage's first common anchor lies less than BEFORE words behind its start, its last run ends at most AFTER words before its end.
 BEFORE, AFTER = 18, 36
-BITS = 24
+#: Two numbers of a document's words or bytes in one long: the first before the lowest BITS bits, the second in them.
+BITS = 31
+LOW = (1 << BITS) - 1
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 WINDOW, GRAM = 16, 3
-SHINGLE, BANDS, ROWS = 5, 10, 3
+SHINGLE, BANDS, ROWS = 5, 7, 3
 NUM, DEN = 80, 100
 _U = np.uint64
+#: What spot holds of runs: the first of equal ones in a text, or a later one.
+FIRST, AGAIN = -1, -2
+#: Parity signatures have 64 bits for each of these columns.
+_SIGNS = [f"s{j}" for j in range(4)]
+_KEYS = [f"b{j}" for j in range(BANDS)]
 _SEEDS = W.mix(np.arange(1, BANDS * ROWS + 1, dtype=_U) * _U(0xD1342543DE82EF95)) | _U(1)
 
 
@@ -63,196 +74,218 @@ def _range_hashes(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndar
     return W.mix((total[last] - total[first]) * down[first] + (last - first).astype(_U))
 
 
-def runs(docs: DataFrame, once: bool = False) -> DataFrame:
-    """(h, id, place): of each anchor, the least run of whole pieces from there with RUN words or more: its hash, document, and words.
-
-    place is the number of the run's first word and, in the lowest BITS bits, its words. once: of equal runs in a text only the first.
-    docs: id, raw.
+def _runs(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first word and number of words of each least run of whole pieces with RUN words or more."""
+    cut = np.append(anchors(hashes), len(hashes))
+    end = np.searchsorted(cut, cut + RUN)
+    start, end = cut[end < len(cut)], cut[end[end < len(cut)]]
+    return _range_hashes(hashes, start, end).view(np.int64), start, end - start
+
+
+def _paragraphs(w: W.Words, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first word and last word (exclusive) of lines, and of blocks of two or more lines; w is split at line breaks too."""
+    full = np.flatnonzero(np.diff(w.bounds))
+    doc = np.searchsorted(offsets, w.offsets[full], side="right") - 1
+    head = np.flatnonzero(np.append(True, (np.diff(full) > 1) | (np.diff(doc) > 0)))[: len(full)]
+    tail = np.append(head[1:], len(full)) - 1
+    head, tail = head[tail > head], tail[tail > head]
+    lo = np.concatenate([w.bounds[full], w.bounds[full[head]]])
+    hi = np.concatenate([w.bounds[full + 1], w.bounds[full[tail] + 1]])
+    doc = np.concatenate([doc, doc[head]])
+    long = hi - lo >= MIN_WORDS
+    return doc[long], lo[long], hi[long]
+
+
+def _bands(hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """BANDS keys of each paragraph of SHINGLE words or more (a row each)."""
+    count = hi - lo - SHINGLE + 1
+    edge = np.cumsum(count) - count
+    s = W.shingles(hashes, SHINGLE)[np.repeat(lo - edge, count) + np.arange(count.sum())]
+    keys = np.empty((len(count), BANDS), _U)
+    for j in range(BANDS):
+        key = np.full(len(count), j + 1, _U)
+        for seed in _SEEDS[j * ROWS : (j + 1) * ROWS]:
+            key = W.mix((key ^ np.minimum.reduceat(s * seed, edge)) * _U(0x9FB21C651E98DF25))
+        keys[:, j] = key
+    return keys
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """(h, id, place, spot, b0, ...) of runs and paragraphs. docs: id, raw.
+
+    h is the hash of their words, place the number of their first word and their words. spot is the first byte and the bytes
+    of a paragraph, and FIRST or AGAIN for a run. Keys of bands: null for runs; of the shortest paragraphs only the first.
     """
+    names = ["h", "id", "place", "spot", *_KEYS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
             for first, _, buf, offsets in W.chunks(b.column(1)):
-                w = W.split(buf, offsets)
-                hashes, out = w.hashes(), []
-                for k, (lo, hi) in enumerate(zip(w.bounds[:-1], w.bounds[1:], strict=True)):
-                    if hi - lo < RUN:
-                        continue
-                    cut = np.append(anchors(hashes[lo:hi]), hi - lo)
-                    end = np.searchsorted(cut, cut + RUN)
-                    start, end = cut[end < len(cut)], cut[end[end < len(cut)]]
-                    h = _range_hashes(hashes[lo:hi], start, end).view(np.int64)
-                    if once:
-                        h, at = np.unique(h, return_index=True)
-                        start, end = start[at], end[at]
-                    out.append(np.stack([h, np.full(len(h), ids[first + k]), (start << BITS) + np.minimum(end - start, (1 << BITS) - 1)]))
+                w = W.split(buf, np.unique(np.concatenate([offsets, np.flatnonzero(buf == 10) + 1])))
+                hashes, at = w.hashes(), np.searchsorted(w.starts, offsets)
+                out = []
+                for k, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                    if hi - lo >= RUN:
+                        h, start, size = _runs(hashes[lo:hi])
+                        spot = np.full(len(h), AGAIN)
+                        spot[np.unique(h, return_index=True)[1]] = FIRST
+                        out.append(np.stack([h, np.full(len(h), ids[first + k]), (start << BITS) + size, spot]))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], ["h", "id", "place"])
-
-    return docs.mapInArrow(run, "h long, id long, place long")
+                    cols = np.concatenate(out, axis=1)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), *[pa.nulls(cols.shape[1], pa.int64())] * BANDS], names)
+                doc, lo, hi = _paragraphs(w, offsets)
+                if not len(doc):
+                    continue
+                begin, end = w.starts[lo], w.ends[hi - 1]
+                cols = [_range_hashes(hashes, lo, hi).view(np.int64), ids[first + doc], (lo - at[doc] << BITS) + hi - lo, (begin - offsets[doc] << BITS) + end - begin]
+                keys, few = _bands(hashes, lo, hi).view(np.int64), hi - lo < SHINGLE + 3
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), *(pa.array(keys[:, j], mask=few if j else None) for j in range(BANDS))], names)
 
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
-def paragraphs(docs: DataFrame, texts: bool = True) -> DataFrame:
-    """(digest, id, at, size, word, words, raw) of each paragraph of MIN_WORDS words or more; raw is null unless texts. docs: id, raw.
 
-    Paragraphs are lines, and the blocks of two or more lines that blank lines part; word is the number of the first word.
-    """
+def places(runs: DataFrame) -> DataFrame:
+    """(id, word, words, keeper, there): runs of words that a document of a smaller id has too, from its word there on. runs: rows of scan()."""
+    shared = runs.filter(F.col("spot") == FIRST).groupBy("h").agg(F.min("id").alias("keeper"), F.min_by("place", "id").alias("there"), F.max("id").alias("top")).filter("keeper < top").drop("top")
+    found = runs.select("h", "id", "place").join(shared, "h").filter("id <> keeper")
+    # Bounded by the document's own length. Begin and keeper's distance tell which runs are one.
+    per_doc = found.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("place", "keeper", "there"))).alias("marks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs that overlap or touch, in one keeper at the same distance, become one."""
         for b in batches:
-            ids = b.column(0).to_numpy()
-            for first, last, buf, offsets in W.chunks(b.column(1)):
-                breaks = np.flatnonzero(buf == 10) + 1
-                cuts = np.unique(np.concatenate([offsets, breaks]))
-                w = W.split(buf, cuts)
-                hashes = w.hashes()
-                full = np.flatnonzero(np.diff(w.bounds))
-                if not len(full):
-                    continue
-                doc = np.searchsorted(offsets, cuts[full], side="right") - 1
-                head = np.flatnonzero(np.append(True, (np.diff(full) > 1) | (np.diff(doc) > 0)))
-                tail = np.append(head[1:], len(full)) - 1
-                head, tail = head[tail > head], tail[tail > head]
-                lo = np.concatenate([w.bounds[full], w.bounds[full[head]]])
-                hi = np.concatenate([w.bounds[full + 1], w.bounds[full[tail] + 1]])
-                doc = np.concatenate([doc, doc[head]])
-                long = hi - lo >= MIN_WORDS
-                lo, hi, doc = lo[long], hi[long], doc[long]
-                if not len(lo):
-                    continue
-                begin, end = w.starts[lo], w.ends[hi - 1]
-                raw = pa.array([buf[x:y].tobytes() for x, y in zip(begin, end, strict=True)], pa.binary()) if texts else pa.nulls(len(lo), pa.binary())
-                of_doc = np.searchsorted(w.starts, offsets[doc])
-                cols = [_range_hashes(hashes, lo, hi).view(np.int64), ids[first + doc], begin - offsets[doc], end - begin, lo - of_doc, hi - lo]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), raw], ["digest", "id", "at", "size", "word", "words", "raw"])
+            marks = b.column(1)
+            ident = np.repeat(b.column(0).to_numpy(), pa.compute.list_value_length(marks).to_numpy())
+            place, keeper, there = (marks.flatten().field(k).to_numpy() for k in range(3))
+            begin, end, by = place >> BITS, (place >> BITS) + (place & LOW), (there >> BITS) - (place >> BITS)
+            order = np.lexsort((begin, by, keeper, ident))
+            ident, keeper, by, begin, end = (v[order] for v in (ident, keeper, by, begin, end))
+            # Of equal key, runs ascend by begin; ends ascend with them, as each is the least run from its anchor.
+            new = np.ones(len(ident), bool)
+            new[1:] = (ident[1:] != ident[:-1]) | (keeper[1:] != keeper[:-1]) | (by[1:] != by[:-1]) | (begin[1:] > end[:-1])
+            head = np.flatnonzero(new)
+            if len(head):
+                last = np.maximum.reduceat(end, head)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ident[head], begin[head], last - begin[head], keeper[head], begin[head] + by[head])], ["id", "word", "words", "keeper", "there"])
 
-    return docs.mapInArrow(run, "digest long, id long, at long, size long, word long, words long, raw binary")
+    return per_doc.mapInArrow(run, "id long, word long, words long, keeper long, there long")
 
 
-def with_bands(texts: DataFrame) -> DataFrame:
-    """texts (digest, first, last, raw) with the hashes of their bands; every raw has SHINGLE words or more."""
+def looked_up(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """What the verification needs of the texts. asked: (id, word, words, keeper, there) of runs, or (id, digest, spot) of paragraphs.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for first, last, buf, offsets in W.chunks(b.column(3)):
-                w = W.split(buf, offsets)
-                count = np.diff(w.bounds) - SHINGLE + 1
-                edge = np.cumsum(count) - count
-                s = W.shingles(w.hashes(), SHINGLE)[np.repeat(w.bounds[:-1] - edge, count) + np.arange(count.sum())]
-                keys = np.empty((len(count), BANDS), _U)
-                for j in range(BANDS):
-                    key = np.full(len(count), j + 1, _U)
-                    for seed in _SEEDS[j * ROWS : (j + 1) * ROWS]:
-                        key = W.mix((key ^ np.minimum.reduceat(s * seed, edge)) * _U(0x9FB21C651E98DF25))
-                    keys[:, j] = key
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(count) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(c.slice(first, last - first) for c in b.columns), bands], [*b.schema.names, "bands"])
-
-    return texts.mapInArrow(run, T.StructType([*texts.schema.fields, T.StructField("bands", T.ArrayType(T.LongType()))]))
-
-
-def similar(pairs: DataFrame) -> DataFrame:
-    """Of rows (x, y, raw_x, raw_y), the (x, y) whose shingle sets have a Jaccard similarity of NUM / DEN or more."""
+    For paragraphs: digest, shingles (ascending), and a signature, the parities of the shingles that fall on each bit. For runs:
+    their asked columns, hash h, byte range, and the texts of BEFORE words before and AFTER words after.
+    """
+    numbers = ["word", "words", "keeper", "there", "digest", "spot"]
+    grouped = asked.groupBy("id").agg(F.collect_list(F.struct(*numbers)).alias("asked"))
+    names = ["digest", "shingles", *_SIGNS, "id", "word", "words", "keeper", "there", "h", "begin", "end", "left", "right"]
+    of_set = 2 + len(_SIGNS)
+    kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * (len(_SIGNS) + 8), pa.binary(), pa.binary()]
+
+    def of_paragraphs(raw: bytes, digest: np.ndarray, spot: np.ndarray) -> pa.RecordBatch:
+        sets = [W.text_shingle_set(raw[p >> BITS : (p >> BITS) + (p & LOW)], SHINGLE) for p in spot.tolist()]
+        bits = 64 * len(_SIGNS)
+        signs = np.stack([np.packbits((np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).view(np.int64) for s in sets])
+        cols = [pa.array(digest), pa.array([s.view(np.int64) for s in sets], kinds[1]), *(pa.array(x) for x in signs.T.copy())]
+        return pa.RecordBatch.from_arrays([*cols, *(pa.nulls(len(sets), k) for k in kinds[of_set:])], names)
+
+    def of_runs(raw: bytes, ident: int, rows: list[pa.Array]) -> pa.RecordBatch | None:
+        w = W.split(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        n = len(w.starts)
+        word, words = rows[0].to_numpy(), rows[1].to_numpy()
+        held = np.flatnonzero(word + words <= n)  # rows that share an id may have other texts
+        if not len(held):
+            return None
+        word, words = word[held], words[held]
+        h = _range_hashes(w.hashes(), word, word + words).view(np.int64)
+        begin, end = w.starts[word], w.ends[word + words - 1]
+        lead, trail = w.starts[np.maximum(word - BEFORE, 0)], w.ends[np.minimum(word + words + AFTER, n) - 1]
+        left, right = (pa.array([raw[x:y] for x, y in zip(a.tolist(), z.tolist(), strict=True)], pa.binary()) for a, z in ((lead, begin), (end, trail)))
+        cols = [np.full(len(held), ident), word, words, *(r.take(held) for r in rows[2:4]), h, begin, end]
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(held), k) for k in kinds[:of_set]), *(pa.array(c, pa.int64()) for c in cols), left, right], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
-            for p, q in zip(b.column(2), b.column(3), strict=True):
-                s, t = W.text_shingle_set(p.as_py(), SHINGLE), W.text_shingle_set(q.as_py(), SHINGLE)
-                common = len(np.intersect1d(s, t, True))
-                ok.append(DEN * common >= NUM * (len(s) + len(t) - common))
-            keep = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["x", "y"])
-
-    return pairs.mapInArrow(run, "x long, y long")
-
-
-def near_lines(docs: DataFrame) -> DataFrame:
-    """(id, begin, end, word, words, keeper): paragraphs to remove, as another document has a near-equal one. docs: id, raw."""
-    texts = paragraphs(docs).groupBy("digest").agg(F.min(F.struct("id", "at")).alias("first"), F.max("id").alias("last"), F.first("raw").alias("raw"))
-    texts = stored(with_bands(texts.select("digest", "first", "last", "raw")), "texts")
-    banded = texts.select("digest", F.explode("bands").alias("band"))
-    leads = banded.groupBy("band").agg(F.min("digest").alias("x"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = stored(banded.join(leads, "band"), "members")
-    side = lambda c: texts.select(F.col("digest").alias(c), F.col("raw").alias(f"raw_{c}"))
-    linked = lambda asked: similar(asked.join(side("x"), "x").join(side("y"), "y").select("x", "y", "raw_x", "raw_y"))
+            for k in range(b.num_rows):
+                raw, ident = b.column(1)[k].as_py(), b.column(0)[k].as_py()
+                rows = b.column(2)[k].values.flatten()
+                told = rows[4].is_valid()
+                if told.true_count:
+                    yield of_paragraphs(raw, rows[4].filter(told).to_numpy(), rows[5].filter(told).to_numpy())
+                if told.false_count and (got := of_runs(raw, ident, [r.filter(pa.compute.invert(told)) for r in rows[:4]])):
+                    yield got
+
+    schema = ", ".join(f"{n} {'array<long>' if n == 'shingles' else 'binary' if n in ('left', 'right') else 'long'}" for n in names)
+    return docs.join(grouped, "id").select("id", "raw", "asked").mapInArrow(_merged(run), schema)
+
+
+def _merged(run):
+    """run with its small batches put together to a few MB each."""
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in run(batches):
+            held.append(b)
+            size += b.nbytes
+            if size > 4 << 20:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    return several
+
+
+def colliding(paragraphs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct paragraphs (digest, id and spot of one place, last id, keys), and (band, digest, x) of those that share a band, x its smallest.
+
+    paragraphs: rows of scan().
+    """
+    texts = paragraphs.groupBy(F.col("h").alias("digest")).agg(F.min("id").alias("id"), F.min_by("spot", "id").alias("spot"), F.max("id").alias("last"), *(F.min(k).alias(k) for k in _KEYS))
+    texts = stored(texts, "texts")
+    banded = texts.select("digest", F.explode(F.array(*_KEYS)).alias("band")).filter("band is not null")
+    leads = banded.groupBy("band").agg(F.min("digest").alias("x"), F.max("digest").alias("top")).filter("x < top").drop("top")
+    return texts, stored(banded.join(leads, "band"), "members")
+
+
+def clusters(texts: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(digest, keeper): paragraphs of clusters that span documents, and the smallest document of their cluster. sets: digest, shingles, signature."""
+    sets = sets.dropDuplicates(["digest"])
+    size = F.size("shingles").cast("long").alias("n")
+    brief = lambda c: sets.select(F.col("digest").alias(c), *(F.col(s).alias(f"{s}_{c}") for s in _SIGNS), size.alias(f"n_{c}"))
+    side = lambda c: sets.select(F.col("digest").alias(c), F.col("shingles").alias(f"of_{c}"))
+    apart = " + ".join(f"bit_count({s}_x ^ {s}_y)" for s in _SIGNS)  # sets differ in as many shingles as parities at least
+    needed = F.expr(f"{DEN + NUM} * ((n_x + n_y - ({apart})) div 2) >= {NUM} * (n_x + n_y)")
+    common = F.size(F.array_intersect("of_x", "of_y"))
+    alike = DEN * common >= NUM * (F.size("of_x") + F.size("of_y") - common)
+    linked = lambda pairs: pairs.join(side("x"), "x").join(side("y"), "y").filter(alike).select("x", "y")
     led = members.filter("x <> digest").select("x", F.col("digest").alias("y")).distinct()
-    links = stored(linked(led), "led")
+    links = stored(linked(led.join(brief("x"), "x").join(brief("y"), "y").filter(needed).select("x", "y")), "led")
     # Members that the leader did not bring into one component are held against each other, each pair once.
     held = members.join(components(links, "x", "y").withColumnRenamed("node", "digest"), "digest", "left").select("band", "digest", F.coalesce("component", "digest").alias("component"))
-    apart = held.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
-    held = stored(held.join(apart, "band", "left_semi"), "held")
-    a, b = (held.select("band", F.col("digest").alias(c), F.col("component").alias(f"of_{c}")) for c in "xy")
-    rest = a.join(b, "band").filter("x < y and of_x <> of_y").select("x", "y").distinct().join(led, ["x", "y"], "left_anti")
+    open_bands = held.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("digest").alias("lead")).filter("low < high").select("band", "lead")
+    held = stored(held.join(open_bands, "band").join(sets.select("digest", *_SIGNS, size), "digest"), "held")
+    a, b = (held.select("band", "lead", F.col("digest").alias(c), *(F.col(v).alias(f"{v}_{c}") for v in ("component", *_SIGNS, "n"))) for c in "xy")
+    rest = a.drop("lead").join(b, "band").filter("x < y and x <> lead and component_x <> component_y").filter(needed).select("x", "y").distinct()
     links = links.unionByName(linked(rest))
-    clusters = components(links, "x", "y")
-    of = texts.select("digest", "first", "last").join(clusters.withColumnRenamed("node", "digest"), "digest", "left").filter("component is not null or first.id < last")
+    found = components(links, "x", "y")
+    of = texts.select("digest", "id", "last").join(found.withColumnRenamed("node", "digest"), "digest", "left").filter("component is not null or id < last")
     of = of.withColumn("component", F.coalesce("component", "digest"))
-    keepers = of.groupBy("component").agg(F.min("first").alias("keep"))
-    removed = of.join(keepers, "component").select("digest", F.col("keep.id").alias("keeper"))
-    # A second scan finds the lines' places; it is cheaper than a table of all lines.
-    return paragraphs(docs, texts=False).drop("raw").join(removed, "digest").filter("id <> keeper").select("id", F.col("at").alias("begin"), (F.col("at") + F.col("size")).alias("end"), "word", "words", "keeper")
+    return of.join(of.groupBy("component").agg(F.min("id").alias("keeper")), "component").select("digest", "keeper")
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(id, word, words, keeper, there): runs of words that a document of a smaller id has too, from its word there on. docs: id, raw."""
-    shared = runs(docs, once=True).groupBy("h").agg(F.min("id").alias("keeper"), F.min_by("place", "id").alias("there"), F.max("id").alias("top")).filter("keeper < top").drop("top")
-    found = runs(docs).join(shared, "h").filter("id <> keeper")  # computed for both sides: a table of all runs would be large
-    per_doc = found.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("place", "keeper", "there"))).alias("marks"))  # bounded by the document's own length
+def near_lines(paragraphs: DataFrame, texts: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, begin, end, word, words, keeper): paragraphs to remove, as another document has a near-equal one."""
+    removed = clusters(texts, members, sets)
+    marks = paragraphs.withColumnRenamed("h", "digest").join(removed, "digest").filter("id <> keeper")
+    begin, size = F.shiftright("spot", BITS), F.col("spot").bitwiseAND(LOW)
+    return marks.select("id", begin.alias("begin"), (begin + size).alias("end"), F.shiftright("place", BITS).alias("word"), F.col("place").bitwiseAND(LOW).alias("words"), "keeper")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs that overlap or touch, in one keeper at the same distance, become one."""
-        for b in batches:
-            rows: list[tuple] = []
-            for ident, marked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                now: dict[tuple[int, int], list[int]] = {}
-                for m in marked:
-                    begin, n, there = m["place"] >> BITS, m["place"] & (1 << BITS) - 1, m["there"] >> BITS
-                    key = (m["keeper"], there - begin)
-                    last = now.get(key)
-                    if last and begin <= last[1]:
-                        last[1] = max(last[1], begin + n)
-                        continue
-                    if last:
-                        rows.append((ident, last[0], last[1] - last[0], key[0], last[0] + key[1]))
-                    now[key] = [begin, begin + n]
-                rows += [(ident, x, y - x, keeper, x + by) for (keeper, by), (x, y) in now.items()]
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["id", "word", "words", "keeper", "there"])
-
-    return per_doc.mapInArrow(run, "id long, word long, words long, keeper long, there long")
-
-
-def surroundings(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """places (id, word, words, keeper, there) with the run's hash, byte range, and the texts of BEFORE words before and AFTER words after it."""
-    asked = places.groupBy("id").agg(F.collect_list(F.struct("word", "words", "keeper", "there")).alias("places"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                raw = b.column(1)[k].as_py()
-                w = W.split(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-                n = len(w.starts)
-                rows = [(p["word"], p["words"], p["keeper"], p["there"]) for p in b.column(2)[k].as_py() if p["word"] + p["words"] <= n]
-                if not rows:
-                    continue
-                word, words = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-                h = _range_hashes(w.hashes(), word, word + words).view(np.int64)
-                begin, end = w.starts[word], w.ends[word + words - 1]
-                lead, trail = w.starts[np.maximum(word - BEFORE, 0)], w.ends[np.minimum(word + words + AFTER, n) - 1]
-                cols = [np.full(len(rows), b.column(0)[k].as_py()), word, words, [r[2] for r in rows], [r[3] for r in rows], h, begin, end]
-                texts = [[raw[x:y] for x, y in zip(*ends, strict=True)] for ends in ((lead, begin), (end, trail))]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), *(pa.array(t, pa.binary()) for t in texts)], ["id", "word", "words", "keeper", "there", "h", "begin", "end", "left", "right"])
-
-    return docs.join(asked, "id").select("id", "raw", "places").mapInArrow(run, "id long, word long, words long, keeper long, there long, h long, begin long, end long, left binary, right binary")
-
-
-def extended(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(id, begin, end, word, words, keeper) of the runs found that their keeper holds word by word, to the true ends of the match."""
-    found = stored(found, "runs")
-    kept = found.select(F.col("keeper").alias("id"), F.col("there").alias("word"), "words", F.lit(None).cast("long").alias("keeper"), F.lit(None).cast("long").alias("there")).distinct()
-    seen = stored(surroundings(docs, found.unionByName(kept)), "surroundings")
+def extended(seen: DataFrame) -> DataFrame:
+    """(id, begin, end, word, words, keeper) of the runs that their keeper holds word by word, to the true ends of the match. seen: rows of looked_up()."""
     other = seen.filter("keeper is null").select(F.col("id").alias("keeper"), F.col("word").alias("there"), "words", "h", F.col("left").alias("left_there"), F.col("right").alias("right_there"))
     pairs = seen.filter("keeper is not null").join(other, ["keeper", "there", "words", "h"])
 
@@ -286,7 +319,17 @@ def removals(docs: DataFrame) -> DataFrame:
     overlap, the later one starts at the end of the earlier.
     """
     docs = docs.filter("id is not null")
-    marks = extended(docs, repeated_runs(docs)).unionByName(near_lines(docs))
+    rows = stored(scan(docs), "scan")
+    runs, paragraphs = rows.filter("spot < 0"), rows.filter("spot >= 0")
+    found = stored(places(runs), "runs")
+    texts, members = colliding(paragraphs)
+    none = lambda *names: [F.lit(None).cast("long").alias(n) for n in names]
+    kept = found.select(F.col("keeper").alias("id"), F.col("there").alias("word"), "words", *none("keeper", "there")).distinct()
+    wanted = texts.join(members.select("digest").distinct(), "digest", "left_semi")
+    asked = found.unionByName(kept).select("*", *none("digest", "spot")).unionByName(wanted.select("id", *none("word", "words", "keeper", "there"), "digest", "spot"))
+    seen = stored(looked_up(docs, asked), "seen")
+    sets, around = seen.filter("digest is not null").select("digest", "shingles", *_SIGNS), seen.filter("digest is null").drop("digest", "shingles", *_SIGNS)
+    marks = extended(around).unionByName(near_lines(paragraphs, texts, members, sets))
     per_doc = marks.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("begin", (-F.col("end")).alias("end"), "keeper", "word", "words"))).alias("marks"))  # bounded by the document's own length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,25 +350,27 @@ def removals(docs: DataFrame) -> DataFrame:
 
 
 def without(docs: DataFrame, ranges: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the ranges cut out of the text, each with its white space after it; texts without a range stay as they are."""
-    grouped = ranges.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("_cuts"))
-    joined = docs.join(grouped.withColumnRenamed("id", "_cut_id"), F.col(key).cast("long") == F.col("_cut_id"), "left").drop("_cut_id")
+    """docs with the ranges cut out of the text, each with the white space after it, and the ends trimmed; texts without a range stay as they are."""
+    cuts, of = fresh(docs, "cuts", "cut_id")
+    grouped = ranges.groupBy(F.col("id").alias(of)).agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias(cuts))
+    joined = docs.join(grouped, F.col(key).cast("long") == F.col(of), "left").drop(of)
 
     @F.pandas_udf("string")
-    def cut(texts, cuts):  # noqa: ANN001, ANN202
+    def cut(texts, ranges):  # noqa: ANN001, ANN202
         def one(t: str | None, c) -> str:  # noqa: ANN001
             raw, out, at = (t or "").encode(), [], 0
             for r in c:
                 out.append(raw[at : r["begin"]])
                 at = r["end"]
-            rest = raw[at:]
-            out.append(rest)
+                while at < len(raw) and raw[at] in b" \t\n\x0b\x0c\r":
+                    at += 1
+            out.append(raw[at:])
             return b"".join(out).decode("utf-8", "replace").strip()
 
-        return texts.combine(cuts, one)
+        return texts.combine(ranges, one)
 
-    touched = joined.filter("_cuts is not null").withColumn(text, cut(F.col(text), F.col("_cuts"))).drop("_cuts")
-    return joined.filter("_cuts is null").drop("_cuts").unionByName(touched)
+    touched = joined.filter(F.col(cuts).isNotNull()).withColumn(text, cut(F.col(text), F.col(cuts))).drop(cuts)
+    return joined.filter(F.col(cuts).isNull()).drop(cuts).unionByName(touched)
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tesserae.llm import jaccard_join as J
@@ -80,6 +81,25 @@ def test_prefix_and_needed_overlap_are_exact():
                 assert min(n, n - least + J.SHARED) <= J.prefix_size(n) and min(m, m - least + J.SHARED) <= J.prefix_size(m)
 
 
+def test_signatures_skip_no_pair_that_links():
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in (1, 3, 71, 72, 73, 188, 190, 431, 433, 949, 951, 1200):
+        s = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        for change in (0, 0.05, 0.1, 0.13, 0.3, 1):
+            t = s.copy()
+            t[: round(n * change)] = rng.integers(0, 1 << 64, round(n * change), dtype=np.uint64)
+            sets += [np.unique(t), np.unique(t[round(n * change / 2) :])]
+    signs = [J.signature(s) for s in sets]
+    width = np.array([len(g) for g in signs])
+    rows = np.stack([np.append(g, np.zeros(J.WORDS - len(g), np.uint64)) for g in signs])
+    x, y = (v.ravel() for v in np.indices((len(sets), len(sets))))
+    n = np.array([len(s) for s in sets])
+    may = J.may_link(n[x], n[y], rows[x], rows[y], width[x], width[y])
+    links = np.array([100 * len(c := np.intersect1d(sets[i], sets[j])) >= 80 * (n[i] + n[j] - len(c)) and len(c) > 0 for i, j in zip(x, y, strict=True)])
+    assert may[links].all() and links.sum() > len(sets) and (~may).sum() > len(x) / 4
+
+
 def test_no_documents(spark):
     assert J.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -129,6 +149,12 @@ def test_copies_and_many_groups(spark):
     assert {r.id for r in found} == set(range(1, 300)) and {r.keeper for r in found} == {0} and {(r.begin, r.end) for r in found} == {(0, len(t))}
 
 
+def test_cuts_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "abc   def\n\nghi", 5, "x"), (2, None, 6, "y"), (None, "abc", 7, "z")], "doc_id long, text string, cuts int, cut_id string")
+    got = P.without(df, spark.createDataFrame([(1, 6, 9)], "id long, begin long, end long"))
+    assert got.columns == df.columns and {tuple(r) for r in got.collect()} == {(1, "abc   ghi", 5, "x"), (2, None, 6, "y"), (None, "abc", 7, "z")}
+
+
 def test_no_paragraphs(spark):
     assert P.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert P.find(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")).count() == 0
@@ -148,8 +174,34 @@ def test_members_of_a_band_that_its_smallest_does_not_link(spark):
     rnd.shuffle(texts)
     want = {i for i, _, head in brute(list(enumerate(texts))) if i != head}
     docs = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "id long, raw binary")
-    found = {r.id for r in P.near_lines(docs).collect()}
-    assert len(want) >= 120 and found == want
+    assert len(want) >= 120 and {r.id for r in removed_lines(docs)} == want
+
+
+def removed_lines(docs):
+    rows = P.scan(docs).filter("spot >= 0").cache()
+    paragraphs, members = P.colliding(rows)
+    asked = paragraphs.join(members.select("digest").distinct(), "digest", "left_semi").selectExpr("id", "digest", "spot", *(f"cast(null as long) {n}" for n in ("word", "words", "keeper", "there")))
+    return P.near_lines(rows, paragraphs, members, P.looked_up(docs, asked)).collect()
+
+
+def test_recall_of_similar_lines_by_brute_force(spark):
+    rnd = random.Random(12)
+    texts = []
+    for n in (5, 6, 8, 9, 12, 20, 45, 80):
+        for _ in range(25):
+            base = words(rnd, n).split()
+            texts.append(" ".join(base))
+            for _ in range(4):
+                t = list(base)
+                for k in rnd.sample(range(n), rnd.randrange(0, max(2, n // 30 + 1))):
+                    t[k] = words(rnd, 1)
+                t = t[: n - rnd.randrange(0, 2)]
+                texts.append("  ".join(t).title() if rnd.random() < 0.2 else " ".join(t))
+    texts = [t for t in texts if len(t.split()) >= P.MIN_WORDS]
+    rnd.shuffle(texts)
+    want = {i for i, _, head in brute(list(enumerate(texts))) if i != head}
+    found = {r.id for r in removed_lines(spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "id long, raw binary"))}
+    assert found <= want and len(found) >= 0.98 * len(want) > 300
 
 
 def test_a_removed_passage_stands_in_its_keeper(spark):
