@@ -45,9 +45,9 @@ KEYS, KEY_HASHES = 5, 2
 #: Tokens of their listed ones that two sets have to share; each costs a listing more for every set.
 SHARED = 6
 SKETCH_BITS = 20
-#: Sets of up to so many tokens carry a parity signature of so many 64-bit words: half of its bits, less four deviations, are
-#: more than linked sets of that size differ by. Larger sets carry none, as a signature as long as they need would outweigh the rest.
-SIGNED = ((72, 1), (189, 2), (432, 4), (950, 8))
+#: Sets of up to so many tokens carry a parity signature of so many 64-bit words: a quarter of its bits, less four deviations, is
+#: about what linked sets of that size differ by. Larger sets carry none, as a signature as long as they need would outweigh the rest.
+SIGNED = ((72, 2), (189, 4), (950, 8))
 WORDS = SIGNED[-1][1]
 _CHUNK = 1 << 12
 _U = np.uint64
