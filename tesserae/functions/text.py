@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tesserae.functions.fixed import STOP_WORDS
+from tesserae.functions.fixed import STOP_WORDS, VIETNAMESE_LETTERS
 
 
 def _folds() -> tuple[str, str]:
@@ -102,8 +102,8 @@ def title_key(title: Column) -> Column:
 
 
 def is_vietnamese(c: Column) -> Column:
-    """Whether the text has a letter that only Vietnamese uses."""
-    return F.lower(c).rlike("[ăđơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]")
+    """Whether the text has a letter of Vietnamese that English lacks."""
+    return F.lower(c).rlike(f"[{VIETNAMESE_LETTERS}]")
 
 
 def clean_html(c: Column) -> Column:

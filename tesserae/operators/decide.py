@@ -1,7 +1,7 @@
 """Ordered decision cascades as single Column expressions: event resolution, lineage, materiality, confidence, strength.
 
 Each gives a struct with the decision and the rule that made it, so that every outcome can be explained; all rules of a
-row are evaluated in one projection.
+row are evaluated in one projection. Names of paths and reasons are fixed values, listed in functions.fixed.
 """
 
 from __future__ import annotations
@@ -37,16 +37,16 @@ def resolve(f: dict[str, Column]) -> Column:
         (s >= 0.55, _verdict("merge", "headline")),
         (f["rare"] & (s >= 0.2), _verdict("merge", "rare_token")),
         (f["person"] & (s >= 0.2), _verdict("merge", "person")),
-        ((s >= 0.1) & f["bigram"] & core, _verdict("merge", "bigram_core")),
-        (f["number_agreement"] & (f["core_shared"] >= 2), _verdict("merge", "numbers")),
+        ((s >= 0.1) & f["bigram"] & core, _verdict("merge", "bigram_entity")),
+        (f["number_agreement"] & (f["core_shared"] >= 2), _verdict("merge", "num_entity")),
         ((s < 0.1) & ~clash & core & (f["shared"] >= 2) & (f["core_sim"] >= 0.4), _verdict("merge", "cross_lingual")),
-        (f["claim_overlap"] >= 0.5, _verdict("merge", "claims")),
-        (open_ & (cos >= 0.87), _verdict("merge", "semantic")),
-        (open_ & f["other_language"] & (cos >= 0.78) & (f["shared"] >= 1), _verdict("merge", "semantic_language")),
-        (open_ & (cos >= 0.72) & f["anchor"], _verdict("merge", "semantic_anchor")),
-        (open_ & (cos >= 0.77) & f["bigram"] & (f["core_shared"] >= 1), _verdict("merge", "semantic_bigram")),
-        (~blocked & (f["core_sim"] >= 0.5) & (f["shared"] >= 2) & ~(clash & ((s < 0.2) | ~core)), _verdict("merge", "entities")),
-        (~blocked & (f["generic_overlap"] >= 0.5) & ((f["shared"] >= 1) | (s >= 0.1)), _verdict("merge", "generic_claims")),
+        (f["claim_overlap"] >= 0.5, _verdict("merge", "distinctive_claim")),
+        (open_ & (cos >= 0.87), _verdict("merge", "semantic_strong")),
+        (open_ & f["other_language"] & (cos >= 0.78) & (f["shared"] >= 1), _verdict("merge", "semantic_xlang")),
+        (open_ & (cos >= 0.72) & f["anchor"], _verdict("merge", "semantic_anchored")),
+        (open_ & (cos >= 0.77) & f["bigram"] & (f["core_shared"] >= 1), _verdict("merge", "semantic_facet")),
+        (~blocked & (f["core_sim"] >= 0.5) & (f["shared"] >= 2) & ~(clash & ((s < 0.2) | ~core)), _verdict("merge", "entity")),
+        (~blocked & (f["generic_overlap"] >= 0.5) & ((f["shared"] >= 1) | (s >= 0.1)), _verdict("merge", "generic_claim")),
         (cos >= 0.72, _verdict("ambiguous", "semantic_ambiguous")),
         (blocked, _verdict("split", "entity_blocked")),
     ]
@@ -83,11 +83,11 @@ def lineage(c: dict[str, Column]) -> Column:
         (c["quotes_primary"], say("press_release_based", "primary_phrase", 0.85)),
         (c["named_outlet"], say("quoted", "named_outlet", 0.9)),
         (near & ((m >= 0.35) | ((t >= 0.65) & (c["shared_numbers"] >= 1)) | (t >= 0.7)), say("rewritten", "close_text", 0.65)),
-        (~c["has_candidates"], say("unknown", "no_candidates", 0.3)),
+        (~c["has_candidates"], say("unknown", "no_evidence", 0.3)),
         (c["dangling"], say("unknown", "dangling_attribution", 0.35)),
-        (c["foreign_numbers"], say("unknown", "other_language", 0.4)),
-        (c["disjoint_numbers"], say("unknown", "other_numbers", 0.4)),
-        (F.coalesce(c["best_senior"], F.lit(0.0)) >= 0.35, say("unknown", "some_likeness", 0.4)),
+        (c["foreign_numbers"], say("unknown", "possible_translation", 0.4)),
+        (c["disjoint_numbers"], say("unknown", "conflicting_figures", 0.4)),
+        (F.coalesce(c["best_senior"], F.lit(0.0)) >= 0.35, say("unknown", "conflicting_similarity", 0.4)),
     ]
     return first_rule(rules, say("original", "nothing_close", 0.6))
 

@@ -46,3 +46,17 @@ def roots(edges: DataFrame, max_hops: int = 8) -> DataFrame:
         up = up.join(nxt, F.col("root") == F.col("_c"), "left").select("child", F.coalesce("_r", "root").alias("root"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"))
         span *= 2
     return up
+
+
+def ancestors(edges: DataFrame, max_hops: int = 8) -> DataFrame:
+    """child, ancestor and depth of all ancestors within max_hops. edges: one row (child, parent) a child, parent null at an origin.
+
+    Each pass follows the farthest ancestors one edge up, as a frontier that shrinks; a child has max_hops rows at most.
+    """
+    up = edges.filter("parent is not null").select(F.col("child").alias("ancestor"), F.col("parent").alias("_next"))
+    frontier = edges.filter("parent is not null").select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
+    out = frontier
+    for depth in range(2, max_hops + 1):
+        frontier = frontier.join(up, "ancestor").select("child", F.col("_next").alias("ancestor"), F.lit(depth).alias("depth"))
+        out = out.unionByName(frontier)
+    return out

@@ -35,10 +35,10 @@ def _features(spark: SparkSession, d: str) -> tuple[DataFrame, dict]:
 
 _F = """f AS (SELECT event_id, event_id % 17 <> 0 AS in_window, (event_id % 16) / 16 AS s, event_id % 7 = 0 AS rare, event_id % 11 = 0 AS person, event_id % 3 = 0 AS bigram, user_id % 4 = 0 AS other_language, user_id % 4 AS shared, user_id % 3 AS core_shared, event_id % 2 AS hub,
   (user_id % 8) / 8 AS core_sim, (event_id % 32) / 64 AS claim_overlap, (user_id % 16) / 16 AS generic_overlap, CASE WHEN event_id % 13 <> 0 THEN (event_id % 64) / 64 ELSE 0 END AS cos, event_id % 5 = 0 AS clash, event_id % 23 = 0 AS agree, user_id % 5 = 0 AS anchor, user_id % 6 = 0 AS blocked FROM events)"""
-_PATH = """CASE WHEN NOT in_window THEN 'time_window' WHEN s >= 0.55 THEN 'headline' WHEN rare AND s >= 0.2 THEN 'rare_token' WHEN person AND s >= 0.2 THEN 'person' WHEN s >= 0.1 AND bigram AND hub > 0 THEN 'bigram_core' WHEN agree AND core_shared >= 2 THEN 'numbers'
-  WHEN s < 0.1 AND NOT clash AND hub > 0 AND shared >= 2 AND core_sim >= 0.4 THEN 'cross_lingual' WHEN claim_overlap >= 0.5 THEN 'claims' WHEN NOT blocked AND NOT clash AND cos >= 0.87 THEN 'semantic' WHEN NOT blocked AND NOT clash AND other_language AND cos >= 0.78 AND shared >= 1 THEN 'semantic_language'
-  WHEN NOT blocked AND NOT clash AND cos >= 0.72 AND anchor THEN 'semantic_anchor' WHEN NOT blocked AND NOT clash AND cos >= 0.77 AND bigram AND core_shared >= 1 THEN 'semantic_bigram' WHEN NOT blocked AND core_sim >= 0.5 AND shared >= 2 AND NOT (clash AND (s < 0.2 OR NOT hub > 0)) THEN 'entities'
-  WHEN NOT blocked AND generic_overlap >= 0.5 AND (shared >= 1 OR s >= 0.1) THEN 'generic_claims' WHEN cos >= 0.72 THEN 'semantic_ambiguous' WHEN blocked THEN 'entity_blocked' ELSE 'no_path' END"""
+_PATH = """CASE WHEN NOT in_window THEN 'time_window' WHEN s >= 0.55 THEN 'headline' WHEN rare AND s >= 0.2 THEN 'rare_token' WHEN person AND s >= 0.2 THEN 'person' WHEN s >= 0.1 AND bigram AND hub > 0 THEN 'bigram_entity' WHEN agree AND core_shared >= 2 THEN 'num_entity'
+  WHEN s < 0.1 AND NOT clash AND hub > 0 AND shared >= 2 AND core_sim >= 0.4 THEN 'cross_lingual' WHEN claim_overlap >= 0.5 THEN 'distinctive_claim' WHEN NOT blocked AND NOT clash AND cos >= 0.87 THEN 'semantic_strong' WHEN NOT blocked AND NOT clash AND other_language AND cos >= 0.78 AND shared >= 1 THEN 'semantic_xlang'
+  WHEN NOT blocked AND NOT clash AND cos >= 0.72 AND anchor THEN 'semantic_anchored' WHEN NOT blocked AND NOT clash AND cos >= 0.77 AND bigram AND core_shared >= 1 THEN 'semantic_facet' WHEN NOT blocked AND core_sim >= 0.5 AND shared >= 2 AND NOT (clash AND (s < 0.2 OR NOT hub > 0)) THEN 'entity'
+  WHEN NOT blocked AND generic_overlap >= 0.5 AND (shared >= 1 OR s >= 0.1) THEN 'generic_claim' WHEN cos >= 0.72 THEN 'semantic_ambiguous' WHEN blocked THEN 'entity_blocked' ELSE 'no_path' END"""
 
 
 @query(f"WITH {_F} SELECT event_id, {_PATH} AS path, CASE WHEN {_PATH} IN ('time_window', 'entity_blocked', 'no_path') THEN 'split' WHEN {_PATH} = 'semantic_ambiguous' THEN 'ambiguous' ELSE 'merge' END AS action FROM f")
@@ -57,9 +57,9 @@ def counterfactual_replay(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH c AS (SELECT event_id, event_id % 19 = 0 AS prim, event_id % 8 <> 0 AS has, CASE WHEN event_id % 8 <> 0 THEN (event_id % 32) / 32 END AS t, CASE WHEN event_id % 8 <> 0 THEN (user_id % 16) / 16 END AS m, user_id % 2 = 0 AS other, event_id % 9 = 0 AS clash, event_id % 3 AS nums, event_id % 29 = 0 AS quotes, event_id % 31 = 0 AS named, event_id % 12 = 1 AS dangling, event_id % 12 = 2 AS foreign_n, event_id % 12 = 3 AS disjoint, (user_id % 8) / 8 AS senior FROM events),
   r AS (SELECT event_id, t, CASE WHEN prim THEN 'primary_source' WHEN coalesce(t, 0) >= 0.8 AND NOT clash AND other AND (nums >= 1 OR m >= 0.3 OR t >= 0.9) THEN 'wire_copy' WHEN quotes THEN 'primary_phrase' WHEN named THEN 'named_outlet' WHEN coalesce(t, 0) >= 0.55 AND NOT clash AND (coalesce(m, 0) >= 0.35 OR (t >= 0.65 AND nums >= 1) OR t >= 0.7) THEN 'close_text'
-  WHEN NOT has THEN 'no_candidates' WHEN dangling THEN 'dangling_attribution' WHEN foreign_n THEN 'other_language' WHEN disjoint THEN 'other_numbers' WHEN senior >= 0.35 THEN 'some_likeness' ELSE 'nothing_close' END AS rule FROM c)
+  WHEN NOT has THEN 'no_evidence' WHEN dangling THEN 'dangling_attribution' WHEN foreign_n THEN 'possible_translation' WHEN disjoint THEN 'conflicting_figures' WHEN senior >= 0.35 THEN 'conflicting_similarity' ELSE 'nothing_close' END AS rule FROM c)
   SELECT event_id, rule, CASE rule WHEN 'primary_source' THEN 'original' WHEN 'nothing_close' THEN 'original' WHEN 'wire_copy' THEN 'syndicated' WHEN 'primary_phrase' THEN 'press_release_based' WHEN 'named_outlet' THEN 'quoted' WHEN 'close_text' THEN 'rewritten' ELSE 'unknown' END AS relation,
-  round(CAST(CASE rule WHEN 'primary_source' THEN 0.9 WHEN 'wire_copy' THEN least(0.95, t + 0.05) WHEN 'primary_phrase' THEN 0.85 WHEN 'named_outlet' THEN 0.9 WHEN 'close_text' THEN 0.65 WHEN 'no_candidates' THEN 0.3 WHEN 'dangling_attribution' THEN 0.35 WHEN 'nothing_close' THEN 0.6 ELSE 0.4 END AS DOUBLE), 6) AS confidence FROM r""")
+  round(CAST(CASE rule WHEN 'primary_source' THEN 0.9 WHEN 'wire_copy' THEN least(0.95, t + 0.05) WHEN 'primary_phrase' THEN 0.85 WHEN 'named_outlet' THEN 0.9 WHEN 'close_text' THEN 0.65 WHEN 'no_evidence' THEN 0.3 WHEN 'dangling_attribution' THEN 0.35 WHEN 'nothing_close' THEN 0.6 ELSE 0.4 END AS DOUBLE), 6) AS confidence FROM r""")
 def lineage_cascade(spark: SparkSession, d: str) -> DataFrame:
     i, u = F.col("event_id"), F.col("user_id")
     c = {
@@ -118,7 +118,10 @@ def story_greedy(spark: SparkSession, d: str) -> DataFrame:
     return stories.greedy_stories(head, "block")
 
 
-@query(None)
+@query("""WITH e AS (SELECT user_id AS claim, ts AS t, event_id AS seq, event_type AS voter, CAST(floor(value / 50) AS BIGINT) AS pos, event_type = 'signup' AS prim FROM events),
+  w AS (SELECT *, count(*) OVER b AS n, max(t) OVER (PARTITION BY claim ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest, last_value(pos) OVER (PARTITION BY claim, voter ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mine, coalesce(list_contains(list(pos) OVER b, pos), FALSE) AS seen
+    FROM e WINDOW b AS (PARTITION BY claim ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  SELECT claim, t AS "at", seq, voter, pos, CASE WHEN n = 0 THEN 'new' WHEN newest > t THEN 'stale' WHEN prim THEN 'confirm' WHEN mine <> pos THEN 'self_revise' WHEN seen THEN 'corroborate' ELSE 'dispute' END AS change FROM w""")
 def claim_changes(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(F.col("user_id").alias("claim"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.col("event_type").alias("voter"), F.floor(F.col("value") / 50).alias("pos"), (F.col("event_type") == "signup").alias("is_primary"))
     return stories.claim_fold(e)

@@ -53,7 +53,7 @@ def number_tokens(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.sort_array(text.number_tokens(F.col("text"))).alias("numbers"))
 
 
-@query("""SELECT doc_id, regexp_matches(lower(text), '[ăđơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]') AS vietnamese, CASE WHEN regexp_matches(lower(text), 'licen[sc]e|copyright|rights reserved') THEN 'legal' WHEN regexp_matches(lower(text), '@|http') THEN 'contact' WHEN regexp_matches(text, '[0-9]{4,}') THEN 'figures' ELSE 'other' END AS domain FROM documents""")
+@query("""SELECT doc_id, regexp_matches(lower(text), '[ăâđêôơưáàảãạấầẩẫậắằẳẵặéèẻẽẹếềểễệíìỉĩịóòỏõọốồổỗộớờởỡợúùủũụứừửữựýỳỷỹỵ]') AS vietnamese, CASE WHEN regexp_matches(lower(text), 'licen[sc]e|copyright|rights reserved') THEN 'legal' WHEN regexp_matches(lower(text), '@|http') THEN 'contact' WHEN regexp_matches(text, '[0-9]{4,}') THEN 'figures' ELSE 'other' END AS domain FROM documents""")
 def classify_domain(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     domain = F.when(F.lower(t).rlike("licen[sc]e|copyright|rights reserved"), "legal").when(F.lower(t).rlike("@|http"), "contact").when(t.rlike("[0-9]{4,}"), "figures").otherwise("other")

@@ -1,14 +1,17 @@
 """Provider payloads to rows, and sinks.
 
 Each parser takes a DataFrame with a payload column (and any other columns, which it keeps) and gives rows; where a payload
-can be an error, parse_result() gives (rows, quarantine) with error_class and detail. Everything is from_json, regular
-expressions and explode: no Python runs, and fields that a query doesn't use are not parsed.
+can be an error, parse_result() gives (rows, quarantine) with error_class and detail. All but CSV with quoted
+line breaks is from_json, regular expressions and explode, where no Python runs and fields that a query doesn't use are not parsed.
 """
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,11 +37,13 @@ def parse_result(df: DataFrame, error: Column, rows: Callable[[DataFrame], DataF
 
 
 def decode_bytes(raw: Column) -> Column:
-    """Text of feed bytes: UTF-16 by its byte order mark or, without one, where a NUL stands in the first two bytes; else UTF-8 without its mark."""
-    head = F.hex(F.substring(raw, 1, 2))
-    utf16 = F.when(head == "FFFE", F.decode(raw, "UTF-16")).when(head == "FEFF", F.decode(raw, "UTF-16"))
-    utf16 = utf16.when(head.rlike("^[0-9A-F]{2}00$"), F.decode(raw, "UTF-16LE")).when(head.rlike("^00"), F.decode(raw, "UTF-16BE"))
-    return utf16.otherwise(F.regexp_replace(F.decode(raw, "UTF-8"), "^﻿", ""))
+    """Text of feed bytes: UTF-16 by its byte order mark, or by more than 8 NULs among the first 64 bytes (at odd places little-endian, unless more are at even ones), else UTF-8 without its mark."""
+    head = F.hex(F.substring(raw, 1, 64))
+    at = F.sequence(F.lit(0), F.greatest(F.length(head) / 2 - 1, F.lit(0)).cast("int"))
+    nuls = lambda rest: F.size(F.filter(at, lambda k: (k % 2 == rest) & (F.substr(head, 2 * k + 1, F.lit(2)) == "00")))
+    odd, even = nuls(1), nuls(0)
+    utf16 = F.when(head.rlike("^(FFFE|FEFF)"), F.decode(raw, "UTF-16")).when((odd > 8) & (odd > even), F.decode(raw, "UTF-16LE")).when(even > 8, F.decode(raw, "UTF-16BE"))
+    return utf16.otherwise(F.regexp_replace(F.decode(raw, "UTF-8"), "^\ufeff", ""))
 
 
 def _element(block: Column, name: str) -> Column:
@@ -120,9 +125,12 @@ def filings(df: DataFrame, forms: list[str], since: Column, per_issuer: int = 5,
 
 
 def alpha_daily(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Daily bars of one series a payload. Errors in the order in which they are told: an error message, a note or information (both tell of limits), no series, a series of another shape, an empty one."""
     schema = "`Time Series (Daily)` map<string, map<string, string>>, Note string, Information string, `Error Message` string"
-    j = F.from_json("payload", schema)
-    error = F.when(j["Error Message"].isNotNull(), "invalid_symbol").when(j["Note"].isNotNull(), "rate_limited").when(j["Information"].isNotNull(), "entitlement").when(j["Time Series (Daily)"].isNull(), "malformed")
+    j, series = F.from_json("payload", schema), F.get_json_object("payload", "$['Time Series (Daily)']")
+    days = F.map_keys(j["Time Series (Daily)"])
+    error = F.when(~F.coalesce(F.trim("payload").rlike("^[{]"), F.lit(False)) | j.isNull(), "unexpected_schema").when(j["Error Message"].isNotNull(), "invalid_symbol").when(j["Note"].isNotNull() | j["Information"].isNotNull(), "rate_limit")
+    error = error.when(series.isNull(), F.when(F.trim("payload").rlike(r"^[{]\s*[}]$"), "empty").otherwise("unexpected_schema")).when(days.isNull() | F.exists(days, lambda k: ~k.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")), "unexpected_schema").when(F.size(days) == 0, "empty")
 
     def rows(good: DataFrame) -> DataFrame:
         e = good.select(*_rest(df), F.explode(F.from_json("payload", schema)["Time Series (Daily)"]).alias("d", "m"))
@@ -132,15 +140,32 @@ def alpha_daily(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parse_result(df, error, rows)
 
 
+def csv_records(payload: str) -> Column:
+    """Records of each CSV text, quotes as in RFC 4180 (line breaks inside them too); empty lines go."""
+
+    def records(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [r for r in csv.reader(io.StringIO(t or "", newline="")) if r])
+
+    return F.pandas_udf(records, "array<array<string>>")(payload)
+
+
 def tiingo_csv(df: DataFrame) -> DataFrame:
-    """Raw and adjusted bars and corporate action hints of one CSV payload with a header, quotes as in RFC 4180."""
-    lines = df.withColumn("_l", F.explode(F.slice(F.split(F.regexp_replace("payload", "\r\n?", "\n"), "\n"), 2, 1_000_000))).filter(F.trim("_l") != "")
-    names = ["date", "close", "high", "low", "open", "volume", "adjClose", "adjHigh", "adjLow", "adjOpen", "adjVolume", "divCash", "splitFactor"]
-    c = F.from_csv("_l", ", ".join(f"{n} string" for n in names))
-    r = lines.withColumn("_c", c)
-    bars = [decimal(F.col(f"_c.{n}")).alias(n) for n in BAR]
-    adjusted = [decimal(F.col(f"_c.adj{n.title()}")).alias(f"adj_{n}") for n in BAR]
-    return r.select(*_rest(df), F.to_date(F.substring("_c.date", 1, 10)).alias("session_date"), *bars, F.col("_c.volume").try_cast("bigint").alias("volume"), *adjusted, decimal(F.col("_c.divCash")).alias("cash"), decimal(F.col("_c.splitFactor")).alias("split_factor"))
+    """Raw and adjusted bars and corporate action hints of one CSV payload with a header, whose names tell the columns."""
+    table = df.withColumn("_r", csv_records("payload")).withColumn("_h", F.get("_r", F.lit(0)))
+    r = table.select("*", F.explode(F.slice("_r", 2, F.greatest(F.size("_r"), F.lit(1)))).alias("_c"))
+    cell = lambda name: F.get("_c", F.array_position("_h", name).cast("int") - 1)
+    bars = [decimal(cell(n)).alias(n) for n in BAR]
+    adjusted = [decimal(cell(f"adj{n.title()}")).alias(f"adj_{n}") for n in BAR]
+    return r.select(*_rest(df), F.to_date(F.substring(cell("date"), 1, 10)).alias("session_date"), *bars, cell("volume").try_cast("bigint").alias("volume"), *adjusted, decimal(cell("divCash")).alias("cash"), decimal(cell("splitFactor")).alias("split_factor"))
+
+
+def tiingo_eod(df: DataFrame, status: str = "status") -> tuple[DataFrame, DataFrame]:
+    """Rows as of tiingo_csv() of responses with an HTTP status, and the others by their class."""
+    code, body = F.col(status), F.trim(F.coalesce("payload", F.lit("")))
+    error = F.when(code.isin(401, 403), "unauthorized").when(code == 404, "invalid_symbol").when(code == 429, "rate_limit").when(code.isNull() | (code < 200) | (code >= 300), "api_error")
+    error = error.when(body == "", "empty").when(body.rlike("^[{\\[]"), "unexpected_schema").when(~body.rlike(r"[\r\n]\s*\S"), "empty")
+    error = error.when(~F.split(body, r"[\r\n]")[0].rlike("(^|,)date(,|$)"), "unexpected_schema")
+    return parse_result(df, error, tiingo_csv)
 
 
 def column_arrays(df: DataFrame, scale_places: int = 0) -> DataFrame:

@@ -7,6 +7,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from tesserae.functions.fixed import ERROR_CLASSES
 from tesserae.sources import payloads as p
 
 
@@ -35,9 +36,9 @@ def test_label_values(spark):
 
 
 def test_decode_bytes(spark):
-    rows = [("xin chào".encode(),), (b"\xff\xfe" + "ab".encode("utf-16-le"),), ("ab".encode("utf-16-le"),), (b"\xef\xbb\xbfab",)]
+    rows = [("xin chào".encode(),), (b"\xff\xfe" + "ab".encode("utf-16-le"),), (("ab" * 5).encode("utf-16-le"),), (b"\xef\xbb\xbfab",)]
     got = spark.createDataFrame(rows, "raw binary").select(p.decode_bytes(F.col("raw")).alias("t")).collect()
-    assert [r.t for r in got] == ["xin chào", "ab", "ab", "ab"]
+    assert [r.t for r in got] == ["xin chào", "ab", "ab" * 5, "ab"]
 
 
 def test_alpha_daily_splits_errors(spark):
@@ -45,7 +46,28 @@ def test_alpha_daily_splits_errors(spark):
     good, bad = p.alpha_daily(frame(spark, ok, '{"Note": "slow down"}', '{"Error Message": "no"}', "{"))
     (r,) = good.collect()
     assert (r.session_date, r.open, r.low, r.volume) == (dt.date(2024, 1, 2), Decimal("1.10"), None, 7)
-    assert sorted(x.error_class for x in bad.collect()) == ["invalid_symbol", "malformed", "rate_limited"]
+    assert sorted(x.error_class for x in bad.collect()) == ["invalid_symbol", "rate_limit", "unexpected_schema"]
+
+
+def test_alpha_error_classes(spark):
+    day = '{"1. open":"1","2. high":"2","3. low":"1","4. close":"2","5. volume":"3"}'
+    cases = {'{"Information": "x"}': "rate_limit", "{}": "empty", '{"Meta": 1}': "unexpected_schema", "[]": "unexpected_schema", "null": "unexpected_schema", '{"Time Series (Daily)": 5}': "unexpected_schema", '{"Time Series (Daily)": {}}': "empty", '{"Time Series (Daily)": {"x": %s}}' % day: "unexpected_schema"}
+    good, bad = p.alpha_daily(frame(spark, *cases, '{"Time Series (Daily)": {"2024-01-02": %s}}' % day))
+    assert {r.detail: r.error_class for r in bad.collect()} == cases and good.count() == 1 and set(cases.values()) <= set(ERROR_CLASSES)
+
+
+def test_tiingo_eod_classes_and_quotes(spark):
+    ok = 'date,close,high,low,open,volume,note\n2024-01-02,2,3,1,1,9,"a, ""b""\nc"\r\n2024-01-03,2,3,1,1,9,x\n'
+    rows = [(200, ok), (401, "x"), (403, "x"), (404, "x"), (429, "x"), (500, "x"), (None, "x"), (200, " "), (200, '{"a":1}'), (200, "date,close\n"), (200, "<html>\nx")]
+    good, bad = p.tiingo_eod(spark.createDataFrame(rows, "status int, payload string"))
+    assert [str(r.session_date) for r in good.orderBy("session_date").collect()] == ["2024-01-02", "2024-01-03"]
+    assert sorted(r.error_class for r in bad.collect()) == sorted(["unauthorized", "unauthorized", "invalid_symbol", "rate_limit", "api_error", "api_error", "empty", "unexpected_schema", "empty", "unexpected_schema"])
+
+
+def test_utf16_without_a_mark(spark):
+    rows = [("ngân hàng lớn nhất và".encode("utf-16-le"),), ("ngân hàng lớn nhất và".encode("utf-16-be"),), ("\u4e00 plain letters after".encode("utf-16-le"),), ("\u4e00 utf-8 text".encode(),)]
+    got = [r.t for r in spark.createDataFrame(rows, "raw binary").select(p.decode_bytes(F.col("raw")).alias("t")).collect()]
+    assert got == ["ngân hàng lớn nhất và"] * 2 + ["\u4e00 plain letters after", "\u4e00 utf-8 text"]
 
 
 def test_tiingo_csv(spark):
