@@ -202,8 +202,9 @@ def co_occurrence(spark: SparkSession, d: str) -> DataFrame:
     """What appears with each part in an order, the 8 most frequent."""
     p = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
     a, b = p.select("l_orderkey", F.col("l_partkey").alias("part")), p.select("l_orderkey", F.col("l_partkey").alias("other"))
-    c = a.join(b, "l_orderkey").filter("part <> other").groupBy("part", "other").agg(F.count("*").alias("n"))
-    return c.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("n"), "other"))).filter("rank <= 8")
+    c = a.join(b, "l_orderkey").filter("part < other").groupBy("part", "other").agg(F.count("*").alias("n"))  # each pair is counted once, then told both ways
+    both = c.select(F.inline(F.array(F.struct("part", "other", "n"), F.struct(F.col("other").alias("part"), F.col("part").alias("other"), "n"))))
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("n"), "other"))).filter("rank <= 8")
 
 
 @query("""SELECT a.l_orderkey, a.l_linenumber AS a_line, b.l_linenumber AS b_line, round(a.l_quantity - b.l_quantity, 2) AS diff FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey

@@ -137,6 +137,23 @@ def near_dup_components(spark: SparkSession, d: str) -> DataFrame:
     return components(similar_titles(_docs(spark, d)).select("a", "b"))
 
 
+@query(f"""WITH {_PAIRS}, m AS (SELECT s.doc_id, c.rep FROM s JOIN c ON md5(array_to_string(list_sort(s.sh), '|')) = c.cls), e AS (SELECT a, b, round(i / (na + nb - i), 6) AS sim FROM p WHERE round(i / (na + nb - i), 6) >= 0.6),
+  k AS (SELECT doc_id AS child, rep AS parent, CAST(1 AS DOUBLE) AS sim FROM m WHERE rep < doc_id UNION ALL SELECT doc_id, a, sim FROM m JOIN e ON b = rep WHERE a < doc_id UNION ALL SELECT doc_id, b, sim FROM m JOIN e ON a = rep WHERE b < doc_id), r AS (SELECT *, row_number() OVER (PARTITION BY child ORDER BY sim DESC, parent) AS rn FROM k)
+  SELECT child, parent, sim, CASE WHEN sim >= 0.8 AND x.source <> y.source THEN 'syndicated' ELSE 'rewritten' END AS relation FROM r JOIN documents x ON x.doc_id = child JOIN documents y ON y.doc_id = parent WHERE rn = 1""")
+def lineage_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's best senior parent by title similarity, ties to the most senior: copied from another source, or rewritten."""
+    docs = table(spark, d, "documents")
+    t = titled(_docs(spark, d)).select("doc_id", F.sha2(F.concat_ws("|", F.sort_array("sh")), 256).alias("cls"))
+    member = t.join(t.groupBy("cls").agg(F.min("doc_id").alias("rep")), "cls").select(F.col("doc_id").alias("child"), "rep")
+    pairs = similar_titles(_docs(spark, d))
+    near = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("rep"), F.col("b").alias("parent"), "sim"), F.struct(F.col("b").alias("rep"), F.col("a").alias("parent"), "sim"))))
+    found = member.join(near, "rep").select("child", "parent", "sim").unionByName(member.select("child", F.col("rep").alias("parent"), F.lit(1.0).alias("sim"))).filter("parent < child")
+    best = found.groupBy("child").agg(F.max(F.struct("sim", (-F.col("parent")).alias("p"))).alias("b")).select("child", (-F.col("b.p")).alias("parent"), F.col("b.sim").alias("sim"))
+    source = lambda c: docs.select(F.col("doc_id").alias(c), F.col("source").alias(f"{c}_source"))
+    j = best.join(source("child"), "child").join(source("parent"), "parent")
+    return j.select("child", "parent", "sim", F.when((F.col("sim") >= 0.8) & (F.col("child_source") != F.col("parent_source")), "syndicated").otherwise("rewritten").alias("relation"))
+
+
 @query("""WITH v AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings ORDER BY label DESC, vec_id LIMIT 80) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 4) AS sim FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.e, b.e), 4) >= 0.25""")
 def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
     """The 80 best vectors (by label here) against each other: the head's size is the feature, so the join is of 80 x 80 rows whatever the table."""

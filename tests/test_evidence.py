@@ -70,3 +70,17 @@ def test_parts_of_stories(spark):
     assert tuple(one.select(*(story.canonical_value(F.col(c)).alias(c) for c in "abcdef")).first()) == ("12.5", "7", "1000", "x7", "", None)
     sig = one.select(story.event_signature(F.lit("eco"), F.lit("46 bong da nam tai viet nam 2026 gia vang"), ["gia", "vang"], ["viet_nam"]).alias("s")).first().s
     assert sig == "eco|bong gia nam nam tai vang viet|46|bong_da nam_tai tai_viet"
+
+
+def test_diverse_feed(spark, small):
+    """The feed from plain loops over the scored head."""
+    from tesserae.plans import claims
+
+    items = claims.radar_items(spark.read.parquet(f"{small}/events.parquet"), F.lit("2024-01-31").cast("timestamp_ntz")).filter("score >= 8").collect()
+    kept: list = []
+    for r in sorted(items, key=lambda r: (-r.score, r.event_id))[:500]:
+        hour = r.ts.replace(minute=0, second=0, microsecond=0)
+        if len(kept) < 40 and all(k.user_id != r.user_id or (k.event_type != r.event_type and k.ts.replace(minute=0, second=0, microsecond=0) != hour) for k in kept):
+            kept.append(r)
+    got = QUERIES["greedy_diverse_feed"](spark, small).orderBy("place").collect()
+    assert [(r.event_id, r.place) for r in got] == [(r.event_id, n) for n, r in enumerate(kept, 1)] and len(got) > 1
