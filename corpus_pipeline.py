@@ -12,21 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import jaccard_join, mixing, passages, pieces, toxicity
-from tesserae.llm.common import stored, table
+from tesserae.llm.common import fresh, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the cut; the network learns from the labelled ones."""
     net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score_rows(docs, net)
-    return scored.filter(F.col(scored.columns[-1]) < toxicity.CUT).select(*docs.columns)
+    return scored.filter(F.col(scored.columns[-1]) < toxicity.CUT).select(*docs.columns)  # the score is the last column
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-equal documents, the one with the smallest id, once."""
+    """Of each component of near-equal documents, the one with the smallest id, once; if rows of that id differ in their text, each text once."""
     groups = jaccard_join.join(docs)
-    heads = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_head")).distinct()
-    kept = docs.join(heads, F.col("doc_id") == F.col("_head"), "left_semi").dropDuplicates(["doc_id"])
+    (head,) = fresh(docs, "head")
+    heads = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(head)).distinct()
+    kept = docs.join(heads, F.col("doc_id") == F.col(head), "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
 
@@ -40,7 +41,7 @@ def cut_shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document once at least, those of small sources up to twice."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs, evenness=mixing.EVENNESS).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
