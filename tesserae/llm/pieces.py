@@ -37,7 +37,7 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words, and neighbouring pieces (and beginnings of texts), whose answers a worker keeps; the longest such word and beginning.
-KEPT_WORDS, KEPT_PAIRS, KEPT_LENGTH, KEPT_START = 150_000, 300_000, 64, 8
+KEPT_WORDS, KEPT_PAIRS, KEPT_LENGTH, KEPT_START = 200_000, 300_000, 64, 10
 #: Characters of a text that are normalised at once.
 PART = 1 << 16
 
@@ -127,16 +127,21 @@ class Model:
 
     def merged(self, text: str) -> list[str]:
         """What merging gives for a short text: the best-scored joined pair first, the leftmost of equals."""
-        parts = list(text)
+        ids, scores, parts = self.ids, self.scores, list(text)
+        joined = [ids.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
         while True:
             best, at = None, -1
-            for k in range(len(parts) - 1):
-                i = self.ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self.scores[i] > best):
-                    best, at = self.scores[i], k
+            for k, i in enumerate(joined):
+                if i is not None and (best is None or scores[i] > best):
+                    best, at = scores[i], k
             if at < 0:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del joined[at]
+            if at:
+                joined[at - 1] = ids.get(parts[at - 1] + parts[at])
+            if at < len(joined):
+                joined[at] = ids.get(parts[at] + parts[at + 1])
 
     def fits(self, left: str, right: str) -> bool:
         """Whether merging leaves right as one piece after left, or by itself where left is empty."""
@@ -144,12 +149,16 @@ class Model:
 
     def window(self, parts: Iterable[str]) -> Iterator[str]:
         """Pieces of the text whose consecutive parts are given, each emitted as soon as it is final."""
-        return (self._bpe_window if self.kind == BPE else self._unigram_window)(parts)
+        if self.kind != BPE:
+            return self._unigram_window(parts)
+        outside = len(self.pieces) + 1
+        return (self.pieces[n] if n < outside else chr(n - outside) for n in self._bpe_window(parts))
 
-    def _bpe_window(self, parts: Iterable[str]) -> Iterator[str]:
+    def _bpe_window(self, parts: Iterable[str]) -> Iterator[int]:
+        """Numbers of the pieces; a character outside the vocabulary has one beyond it."""
         ids, fits, sizes, few, starts, longest, outside = self.ids, self._fits, self._sizes.get, (2, 1), self._starts, self.longest, len(self.pieces) + 1
-        # Of the window: characters, the piece that ends at each boundary (null where nothing has asked for it) and its number
-        # (a character outside the vocabulary has one beyond it); low: the first live boundary.
+        # Of the window: characters, the piece that ends at each boundary (null where nothing has asked for it) and its number;
+        # low: the first live boundary.
         text, back, code, low = "", [""], [outside - 1], 0
         opening = KEPT_START  # until the first cut, the back pointers of the text's first boundaries may be known
 
@@ -198,17 +207,17 @@ class Model:
                         find(end)
                 common = self._common(back, longest)
                 if common:
-                    path = self._path(back, common)
-                    yield from path[:-1]
+                    yield from self._numbers(back, code, common)[:-1]
                     # The last final piece stays before the window, as the next is held against it.
-                    low = len(path[-1])
+                    last = back[common]
+                    low = len(last)
                     cut, opening = common - low, 0
                     text, code = text[cut:], code[cut:]
                     back[:] = [None] * low + back[common:]
-                    back[low] = path[-1]
+                    back[low] = last
         if back[len(text)] is None:
             find(len(text))
-        yield from self._path(back, len(text))
+        yield from self._numbers(back, code, len(text))
 
     def _unigram_window(self, parts: Iterable[str]) -> Iterator[str]:
         ids, scores, sizes, few, longest = self.ids, self.scores, self._sizes.get, (2, 1), self.longest
@@ -256,13 +265,30 @@ class Model:
 
     def _settled(self, word: str) -> bytes:
         """Ids of a text between two boundaries on which all paths converge."""
-        ids = array("i", self._ids_of(self.window([word]))).tobytes()
+        if self.kind == BPE:
+            found, outside = array("i"), len(self.pieces) + 1
+            for n in self._bpe_window([word]):
+                if n < outside:
+                    found.append(n)
+                else:
+                    found.extend(self.bytes[b] for b in chr(n - outside).encode())
+            ids = found.tobytes()
+        else:
+            ids = array("i", self._ids_of(self.window([word]))).tobytes()
         if len(word) <= KEPT_LENGTH:
             if len(self._kept) >= KEPT_WORDS:
                 self._kept.clear()
             self._kept[word] = ids
         return ids
 
+    @staticmethod
+    def _numbers(back: list[str | None], code: list[int], end: int) -> list[int]:
+        out = []
+        while end:
+            out.append(code[end])
+            end -= len(back[end])
+        return out[::-1]
+
     @staticmethod
     def _path(back: list[str | None], end: int) -> list[str]:
         out = []
