@@ -1,6 +1,6 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word's input is its hashed word vector, plus vectors of its openings (its first 5, 7 and 9 bytes, or all if fewer), beside
+A word's input is its hashed word vector, plus a vector of its opening (its first 5 bytes, or all if fewer), beside
 the mean of its character n-gram vectors (n-grams of the bytes between marks for the word's ends). A word of more than LONGEST bytes is cut after marks,
 and what is longer still counts as several that overlap by half, so that all its bytes are read. Two gated recurrent passes read each window of WINDOW words, which overlap by half;
 attention pools their states, a logit follows, and a document scores its highest window. Every window of the whole text
@@ -36,7 +36,7 @@ WINDOW, STRIDE = 24, 12
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 15, 1 << 15
 WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 6, 6, 8, 8
 GRAMS = (3, 4)
-OPENINGS = (5, 7, 9)
+OPENINGS = (5,)
 POSITIVES, NEGATIVES, TRAIN_BYTES = 1200, 2400, 12_000
 STEPS, BATCH, RATE = 260, 384, 0.01
 CUT = 0.3
@@ -102,12 +102,12 @@ class Features:
         code[at[1:] - 1] = 2
         code[at[owner] + 1 + inner] = letters
         v, opens = np.full(n, 7, np.uint32), []
-        for k in range(max(OPENINGS)):
+        for k in range(max(OPENINGS, default=0)):
             v = np.where(k < sizes, (v ^ code[at[:-1] + np.minimum(k, sizes - 1) + 1]) * np.uint32(0x01000193), v)
             v ^= v >> np.uint32(15)
             if k + 1 in OPENINGS:
                 opens.append((v ^ np.uint32(k + 1)) * np.uint32(0x9E3779B1) >> np.uint32(8))
-        self.opening = (np.stack(opens, axis=1) % np.uint32(WORD_BUCKETS)).astype(np.int32)
+        self.opening = (np.array(opens, np.uint32).reshape(len(opens), n).T % np.uint32(WORD_BUCKETS)).astype(np.int32)
         flat, who = [], []
         for g in GRAMS:
             counts = np.maximum(sizes + 2 - g + 1, 0)
