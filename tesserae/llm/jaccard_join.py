@@ -220,16 +220,18 @@ def candidates(listed: DataFrame) -> DataFrame:
         token, ident, size, comp = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in range(4))
         width, sign = (np.concatenate(x) for x in zip(*(_signs(b.column(4)) for b in got), strict=True))
         del got
+        names, seen, own = np.unique(ident, return_index=True, return_inverse=True)
+        width, sign = width[seen], sign[seen]  # of each set once
         size, at, comp = size >> 32, size & 0xFFFFFFFF, comp + ident
         order = np.lexsort((ident, size, token))
-        token, ident, size, at, comp, width, sign = (v[order] for v in (token, ident, size, at, comp, width, sign))
+        token, own, size, at, comp = (v[order] for v in (token, own, size, at, comp))
+        del ident, order
         # Lists of one token, or of one component, have no answers to give.
         edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         lo, hi = np.minimum.reduceat(comp, edge), np.maximum.reduceat(comp, edge)
         length = np.diff(np.append(edge, len(token)))
         keep = np.repeat(lo != hi, length)
-        token, ident, size, at, comp, width, sign = (v[keep] for v in (token, ident, size, at, comp, width, sign))
-        names, own = np.unique(ident, return_inverse=True)
+        token, own, size, at, comp = (v[keep] for v in (token, own, size, at, comp))
         comp_of = np.zeros(len(names), np.int64)
         comp_of[own] = comp
         keys: list[np.ndarray] = []
@@ -258,7 +260,7 @@ def candidates(listed: DataFrame) -> DataFrame:
             good = (comp[left] != comp[right]) & (own[left] != own[right]) & (rest >= needed(size[left], size[right]) - SHARED + 1)
             good = np.flatnonzero(good)
             x, y = left[good], right[good]
-            good = good[may_link(size[x], size[y], sign[x], sign[y], width[x], width[y])]
+            good = good[may_link(size[x], size[y], sign[own[x]], sign[own[y]], width[own[x]], width[own[y]])]
             if len(good):
                 a, b = own[left[good]], own[right[good]]
                 keys.append(np.minimum(a, b) * len(names) + np.maximum(a, b))

@@ -37,7 +37,7 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words, and neighbouring pieces (and beginnings of texts), whose answers a worker keeps; the longest such word and beginning.
-KEPT_WORDS, KEPT_PAIRS, KEPT_LENGTH, KEPT_START = 200_000, 300_000, 64, 10
+KEPT_WORDS, KEPT_PAIRS, KEPT_LENGTH, KEPT_START = 120_000, 200_000, 64, 10
 #: Characters of a text that are normalised at once.
 PART = 1 << 16
 
