@@ -2,9 +2,9 @@
 
 Paragraphs (lines, and blocks of lines between blank lines) of MIN_WORDS words or more are compared by MinHash: BANDS bands
 of ROWS min-hashes over their word shingles (a pair at similarity 0.8 shares no band in 7 of 1000 cases; paragraphs of
-three shingles or fewer, which only link where their sets are equal, need one band). Each member of a band is held against
-the band's smallest, then, in bands whose members this left in different components, against each other, unless parity
-signatures tell that two differ too much. Exact Jaccard of 0.8 or more links; connected components are clusters. Because
+three shingles or fewer, which only link where their sets are equal, need one band). Each paragraph is held against
+the smallest of one of its bands, then, in bands whose members this left in different components, against the others, unless
+parity signatures tell that two differ too much. Exact Jaccard of 0.8 or more links; connected components are clusters. Because
 shared passages also start and end inside lines, texts are cut at content-defined anchors too (the smallest k-word hash of
 each window of WINDOW words), so that a passage of more than 50 words is cut alike wherever it stands. From each anchor, the
 least run of whole pieces with RUN words or more is hashed as one: equal runs are clusters. Runs of one keeper that follow
@@ -261,14 +261,15 @@ def clusters(texts: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame
     common = F.size(F.array_intersect("of_x", "of_y"))
     alike = DEN * common >= NUM * (F.size("of_x") + F.size("of_y") - common)
     linked = lambda pairs: pairs.join(side("x"), "x").join(side("y"), "y").filter(alike).select("x", "y")
-    led = members.filter("x <> digest").select("x", F.col("digest").alias("y")).distinct()
+    # Each paragraph against one leader first: that of most of its bands.
+    led = members.filter("x <> digest").groupBy("x", "digest").agg(F.count("*").alias("bands")).groupBy(F.col("digest").alias("y")).agg(F.max_by("x", "bands").alias("x"))
     links = stored(linked(led.join(brief("x"), "x").join(brief("y"), "y").filter(needed).select("x", "y")), "led")
     # Members that the leader did not bring into one component are held against each other, each pair once.
     held = members.join(components(links, "x", "y").withColumnRenamed("node", "digest"), "digest", "left").select("band", "digest", F.coalesce("component", "digest").alias("component"))
-    open_bands = held.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("digest").alias("lead")).filter("low < high").select("band", "lead")
-    held = stored(held.join(open_bands, "band").join(sets.select("digest", *_SIGNS, size), "digest"), "held")
-    a, b = (held.select("band", "lead", F.col("digest").alias(c), *(F.col(v).alias(f"{v}_{c}") for v in ("component", *_SIGNS, "n"))) for c in "xy")
-    rest = a.drop("lead").join(b, "band").filter("x < y and x <> lead and component_x <> component_y").filter(needed).select("x", "y").distinct()
+    open_bands = held.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
+    held = stored(held.join(open_bands, "band", "left_semi").join(sets.select("digest", *_SIGNS, size), "digest"), "held")
+    a, b = (held.select("band", F.col("digest").alias(c), *(F.col(v).alias(f"{v}_{c}") for v in ("component", *_SIGNS, "n"))) for c in "xy")
+    rest = a.join(b, "band").filter("x < y and component_x <> component_y").filter(needed).select("x", "y").distinct()
     links = links.unionByName(linked(rest))
     found = components(links, "x", "y")
     of = texts.select("digest", "id", "last").join(found.withColumnRenamed("node", "digest"), "digest", "left").filter("component is not null or id < last")
