@@ -28,9 +28,6 @@ from tesserae.llm.common import scratch, table
 MIN_BYTES = 0
 DATE = "2024-01-01T00:00:00Z"
 SERVER_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-EMPTY_DIGEST = base64.b32encode(hashlib.sha1(b"").digest()).decode()
-#: Uncompressed payload bytes of an archive file, about; read() holds one compressed file at a time.
-FILE_BYTES = 32 << 20
 _END = "\r\n\r\n"
 
 
