@@ -23,7 +23,7 @@ from __future__ import annotations
 import re
 import struct
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,8 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words, and neighbouring pieces (and beginnings of texts), whose answers a worker keeps; the longest such word and beginning.
-KEPT_WORDS, KEPT_PAIRS, KEPT_LENGTH, KEPT_START = 120_000, 200_000, 64, 10
+#: Words met again since half of KEPT_WORDS others came stay.
+KEPT_WORDS, KEPT_PAIRS, KEPT_LENGTH, KEPT_START = 120_000, 120_000, 64, 5
 #: Characters of a text that are normalised at once.
 PART = 1 << 16
 
@@ -119,6 +120,9 @@ class Model:
         self._fits: dict[int, bool] = {}
         self._starts: dict[str, tuple[str, int]] = {}
         self._kept: dict[str, bytes] = {}
+        self._kept_before: dict[str, bytes] = {}
+        self._merges: dict[str, tuple[list[float], list[str], list[str]] | None] = {}
+        self._find = self._finder()
         self._text = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else p.replace(MARK, " ").encode() for p, t in zip(self.pieces, self.types, strict=True)]
         if self.types:
             self._text[self.unknown] = " ⁇ ".encode()
@@ -143,9 +147,59 @@ class Model:
             if at < len(joined):
                 joined[at] = ids.get(parts[at] + parts[at + 1])
 
+    def merges(self, piece: str) -> tuple[list[float], list[str], list[str]] | None:
+        """Scores of the merges that make a piece, in their order and with an end of -inf, and the first and last part before each; null if merging does not make it."""
+        if piece in self._merges:
+            return self._merges[piece]
+        ids, scores, parts = self.ids, self.scores, list(piece)
+        joined = [ids.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
+        steps, firsts, lasts = [], [parts[0]], [parts[-1]]
+        while True:
+            best, at = -np.inf, -1
+            for k, i in enumerate(joined):
+                if i is not None and scores[i] > best:
+                    best, at = scores[i], k
+            if at < 0:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del joined[at]
+            if at:
+                joined[at - 1] = ids.get(parts[at - 1] + parts[at])
+            if at < len(joined):
+                joined[at] = ids.get(parts[at] + parts[at + 1])
+            steps.append(best)
+            firsts.append(parts[0])
+            lasts.append(parts[-1])
+        out = ([*steps, -np.inf], firsts, lasts) if len(parts) == 1 else None
+        if piece in ids:
+            self._merges[piece] = out
+        return out
+
     def fits(self, left: str, right: str) -> bool:
-        """Whether merging leaves right as one piece after left, or by itself where left is empty."""
-        return self.merged(left + right) == ([left, right] if left else [right])
+        """Whether merging leaves right as one piece after left, or by itself where left is empty.
+
+        Both merge as if alone unless, at some step, what joins the parts at their border scores best (the leftmost of equals).
+        """
+        known = self._merges.get(right) or self.merges(right)
+        if known is None or not left:
+            return known is not None
+        after, firsts, _ = known
+        known = self._merges.get(left) or self.merges(left)
+        if known is None:
+            return False
+        before, _, lasts = known
+        ids, scores, i, j = self.ids.get, self.scores, 0, 0
+        while True:
+            a, b = before[i], after[j]
+            across = ids(lasts[i] + firsts[j])
+            if across is not None and b <= scores[across] > a:
+                return False
+            if a >= b:
+                if a == -np.inf:
+                    return True
+                i += 1
+            else:
+                j += 1
 
     def window(self, parts: Iterable[str]) -> Iterator[str]:
         """Pieces of the text whose consecutive parts are given, each emitted as soon as it is final."""
@@ -156,44 +210,11 @@ class Model:
 
     def _bpe_window(self, parts: Iterable[str]) -> Iterator[int]:
         """Numbers of the pieces; a character outside the vocabulary has one beyond it."""
-        ids, fits, sizes, few, starts, longest, outside = self.ids, self._fits, self._sizes.get, (2, 1), self._starts, self.longest, len(self.pieces) + 1
+        longest, find = self.longest, self._find
         # Of the window: characters, the piece that ends at each boundary (null where nothing has asked for it) and its number;
         # low: the first live boundary.
-        text, back, code, low = "", [""], [outside - 1], 0
+        text, back, code, low = "", [""], [len(self.pieces)], 0
         opening = KEPT_START  # until the first cut, the back pointers of the text's first boundaries may be known
-
-        def find(end: int) -> None:
-            if end <= opening and (known := starts.get(text[:end])):
-                back[end], code[end] = known
-                if back[end - len(known[0])] is None:
-                    find(end - len(known[0]))
-                return
-            for size in sizes(text[max(0, end - 3) : end], few):
-                begin = end - size
-                if begin < low:
-                    continue
-                piece = text[begin:end]
-                number = ids.get(piece)
-                if number is None:
-                    if size > 1:
-                        continue
-                    number = outside + ord(piece)
-                if back[begin] is None:
-                    find(begin)
-                pair = code[begin] << 24 | number
-                ok = fits.get(pair)
-                if ok is None:
-                    if len(fits) >= KEPT_PAIRS:
-                        fits.clear()
-                    ok = fits[pair] = self.fits(back[begin], piece)
-                if ok:
-                    back[end], code[end] = piece, number
-                    break
-            if end <= opening:
-                if len(starts) >= KEPT_PAIRS:
-                    starts.clear()
-                starts[text[:end]] = back[end], code[end]
-
         for part in parts:
             for at in range(0, len(part), 4 * longest):
                 more = part[at : at + 4 * longest]
@@ -204,7 +225,7 @@ class Model:
                     continue
                 for end in range(len(text) - longest + 1, len(text) + 1):
                     if back[end] is None:
-                        find(end)
+                        find(text, back, code, low, opening, end)
                 common = self._common(back, longest)
                 if common:
                     yield from self._numbers(back, code, common)[:-1]
@@ -216,9 +237,49 @@ class Model:
                     back[:] = [None] * low + back[common:]
                     back[low] = last
         if back[len(text)] is None:
-            find(len(text))
+            find(text, back, code, low, opening, len(text))
         yield from self._numbers(back, code, len(text))
 
+    def _finder(self) -> Callable[[str, list[str | None], list[int], int, int, int], None]:
+        """What finds the back pointer of a boundary of a window, and those it asks for."""
+        ids, fits, sizes, few, starts, outside, agree = self.ids.get, self._fits, self._sizes.get, (2, 1), self._starts, len(self.pieces) + 1, self.fits
+
+        def find(text: str, back: list[str | None], code: list[int], low: int, opening: int, end: int) -> None:
+            if end <= opening:
+                key = text[:end]
+                if known := starts.get(key):
+                    back[end], code[end] = known
+                    if back[end - len(known[0])] is None:
+                        find(text, back, code, low, opening, end - len(known[0]))
+                    return
+            for size in sizes(text[end - 3 if end > 3 else 0 : end], few):
+                begin = end - size
+                if begin < low:
+                    continue
+                piece = text[begin:end]
+                number = ids(piece)
+                if number is None:
+                    if size > 1:
+                        continue
+                    number = outside + ord(piece)
+                if back[begin] is None:
+                    find(text, back, code, low, opening, begin)
+                pair = code[begin] << 24 | number
+                ok = fits.get(pair)
+                if ok is None:
+                    if len(fits) >= KEPT_PAIRS:
+                        fits.clear()
+                    ok = fits[pair] = agree(back[begin], piece)
+                if ok:
+                    back[end], code[end] = piece, number
+                    break
+            if end <= opening:
+                if len(starts) >= KEPT_PAIRS:
+                    starts.clear()
+                starts[key] = back[end], code[end]
+
+        return find
+
     def _unigram_window(self, parts: Iterable[str]) -> Iterator[str]:
         ids, scores, sizes, few, longest = self.ids, self.scores, self._sizes.get, (2, 1), self.longest
         # Of the window: characters, the piece that ends at each boundary, and its path's score.
@@ -254,20 +315,28 @@ class Model:
         if not self.by_word or not self.bytes:
             yield np.array(self._ids_of(self.window(parts)), np.int32).tobytes()
             return
-        kept, words, rest = self._kept, re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall, ""
+        kept, settled, words, rest = self._kept.get, self._settled, re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall, ""
         for part in parts:
             found = words(rest + part)
             rest = found.pop()  # goes on, unless a mark follows
-            for word in found:
-                yield kept.get(word) or self._settled(word)
+            yield b"".join([kept(word) or settled(word) for word in found])
         if rest:
-            yield kept.get(rest) or self._settled(rest)
+            yield kept(rest) or settled(rest)
 
     def _settled(self, word: str) -> bytes:
         """Ids of a text between two boundaries on which all paths converge."""
-        if self.kind == BPE:
-            found, outside = array("i"), len(self.pieces) + 1
-            for n in self._bpe_window([word]):
+        if ids := self._kept_before.get(word):
+            pass
+        elif self.kind == BPE:
+            outside, found = len(self.pieces) + 1, array("i")
+            if len(word) <= 6 * self.longest:  # the window holds all of it
+                n = len(word)
+                back, code = ["", *[None] * n], [outside - 1, *[0] * n]
+                self._find(word, back, code, 0, KEPT_START, n)
+                numbers = self._numbers(back, code, n)
+            else:
+                numbers = self._bpe_window([word])
+            for n in numbers:
                 if n < outside:
                     found.append(n)
                 else:
@@ -276,7 +345,10 @@ class Model:
         else:
             ids = array("i", self._ids_of(self.window([word]))).tobytes()
         if len(word) <= KEPT_LENGTH:
-            if len(self._kept) >= KEPT_WORDS:
+            if len(self._kept) >= KEPT_WORDS // 2:
+                # Those that streams look up in are these two tables for good.
+                self._kept_before.clear()
+                self._kept_before.update(self._kept)
                 self._kept.clear()
             self._kept[word] = ids
         return ids

@@ -91,6 +91,27 @@ def test_window_stays_bounded(model):
     assert max(seen) < 12 * model.longest
 
 
+def test_neighbours_fit_as_merging_tells(model):
+    rnd = random.Random(5)
+    rows = [(a + b, float(rnd.choice((-1, -2, -3))), P.NORMAL) for a in "ab" for b in "abc"] + [(p, float(rnd.choice((-1, -2, -3))), P.NORMAL) for p in ("aab", "abab", "bca", "aabc", "abc", "baba", "a", "b")]
+    for m, names in ((P.Model.of(rows, P.BPE), [r[0] for r in rows] + ["c"]), (model, rnd.sample([p for p in model.ids if len(p) < 9], 150) + ["\u2603"])):
+        for right in names:
+            assert m.fits("", right) == (m.merged(right) == [right])
+            for left in names:
+                alone = m.merged(left) == [left] and m.merged(right) == [right]
+                assert m.fits(left, right) == (alone and m.merged(left + right) == [left, right]), (left, right)
+
+
+def test_rare_words_do_not_push_out_frequent_ones(model, monkeypatch):
+    monkeypatch.setattr(P, "KEPT_WORDS", 40)
+    monkeypatch.setattr(model, "_kept", {})
+    monkeypatch.setattr(model, "_kept_before", {})
+    met, inner = [], model._find
+    monkeypatch.setattr(model, "_find", lambda text, *rest: met.append(text) or inner(text, *rest))
+    model.encode(" ".join(f"often z{i}q" for i in range(500)))
+    assert sum("often" in t for t in met) == 1 and len(met) > 500 and len(model._kept) + len(model._kept_before) <= 40
+
+
 def test_frames(spark):
     rows = [(1, "a b", "x"), (None, None, "y"), (2, "", "z"), (2, "a b", "z"), (3, "w" * 50_000, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
