@@ -3,8 +3,9 @@
 Paragraphs (lines, and blocks of lines between blank lines) of MIN_WORDS words or more are compared by MinHash: BANDS bands
 of ROWS min-hashes over their word shingles (a pair at similarity 0.8 shares no band in 7 of 1000 cases; paragraphs of
 three shingles or fewer, which only link where their sets are equal, need one band). Each paragraph is held against
-the smallest of one of its bands, then, in bands whose members this left in different components, against the others, unless
-parity signatures tell that two differ too much. Exact Jaccard of 0.8 or more links; connected components are clusters. Because
+the smallest of one of its bands; then ROUNDS times, in large bands whose members this left in different components, against one
+of each band's largest component; then, in all bands that are still so, against the others, unless parity signatures tell
+that two differ too much. Exact Jaccard of 0.8 or more links; connected components are clusters. Because
 shared passages also start and end inside lines, texts are cut at content-defined anchors too (the smallest k-word hash of
 each window of WINDOW words), so that a passage of more than 50 words is cut alike wherever it stands. From each anchor, the
 least run of whole pieces with RUN words or more is hashed as one: equal runs are clusters. Runs of one keeper that follow
@@ -23,7 +24,6 @@ id are left alone; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,10 +42,11 @@ BEFORE, AFTER = 18, 36
 #: Two numbers of a document's words or bytes in one long: the first before the lowest BITS bits, the second in them.
 BITS = 31
 LOW = (1 << BITS) - 1
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 WINDOW, GRAM = 16, 3
 SHINGLE, BANDS, ROWS = 5, 7, 3
 NUM, DEN = 80, 100
+#: Rounds of leaders for bands of LARGE paragraphs or more, before what is left is held against each other.
+ROUNDS, LARGE = 3, 16
 _U = np.uint64
 #: What spot holds of runs: the first of equal ones in a text, or a later one.
 FIRST, AGAIN = -1, -2
@@ -184,12 +185,26 @@ def looked_up(docs: DataFrame, asked: DataFrame) -> DataFrame:
     of_set = 2 + len(_SIGNS)
     kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * (len(_SIGNS) + 8), pa.binary(), pa.binary()]
 
-    def of_paragraphs(raw: bytes, digest: np.ndarray, spot: np.ndarray) -> pa.RecordBatch:
-        sets = [W.text_shingle_set(raw[p >> BITS : (p >> BITS) + (p & LOW)], SHINGLE) for p in spot.tolist()]
+    def of_paragraphs(texts: list[bytes], digest: np.ndarray) -> pa.RecordBatch:
+        sizes = np.cumsum([0, *map(len, texts)])
+        w = W.split(np.frombuffer(b"".join(texts), np.uint8), sizes)
+        count = np.diff(w.bounds) - SHINGLE + 1
+        if count.min() < 1:  # rows that share an id may have other texts
+            sets = [W.text_shingle_set(t, SHINGLE) for t in texts]
+            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        else:
+            owner = np.repeat(np.arange(len(count)), count)
+            flat = W.shingles(w.hashes(), SHINGLE)[np.arange(len(owner)) + np.repeat(w.bounds[:-1] - np.cumsum(count) + count, count)]
+            order = np.lexsort((flat, owner))
+            flat, owner = flat[order], owner[order]
+            new = np.append(True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1]))
+            flat, owner = flat[new], owner[new]
         bits = 64 * len(_SIGNS)
-        signs = np.stack([np.packbits((np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).view(np.int64) for s in sets])
-        cols = [pa.array(digest), pa.array([s.view(np.int64) for s in sets], kinds[1]), *(pa.array(x) for x in signs.T.copy())]
-        return pa.RecordBatch.from_arrays([*cols, *(pa.nulls(len(sets), k) for k in kinds[of_set:])], names)
+        odd = np.bincount(owner * bits + (flat & _U(bits - 1)).astype(np.int64), minlength=bits * len(texts)) & 1
+        signs = np.packbits(odd.astype(bool)).view(np.int64).reshape(-1, len(_SIGNS))
+        edges = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
+        cols = [pa.array(digest), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat.view(np.int64))), *(pa.array(x) for x in signs.T.copy())]
+        return pa.RecordBatch.from_arrays([*cols, *(pa.nulls(len(texts), k) for k in kinds[of_set:])], names)
 
     def of_runs(raw: bytes, ident: int, rows: list[pa.Array]) -> pa.RecordBatch | None:
         w = W.split(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
@@ -207,15 +222,24 @@ def looked_up(docs: DataFrame, asked: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([*(pa.nulls(len(held), k) for k in kinds[:of_set]), *(pa.array(c, pa.int64()) for c in cols), left, right], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, digests, held = [], [], 0  # paragraphs of some documents, as steps on few words cost more than the words
         for b in batches:
             for k in range(b.num_rows):
                 raw, ident = b.column(1)[k].as_py(), b.column(0)[k].as_py()
                 rows = b.column(2)[k].values.flatten()
                 told = rows[4].is_valid()
                 if told.true_count:
-                    yield of_paragraphs(raw, rows[4].filter(told).to_numpy(), rows[5].filter(told).to_numpy())
+                    found = [raw[p >> BITS : (p >> BITS) + (p & LOW)] for p in rows[5].filter(told).to_pylist()]
+                    texts += found
+                    digests.append(rows[4].filter(told).to_numpy())
+                    held += sum(map(len, found))
+                    if held > 1 << 18:
+                        yield of_paragraphs(texts, np.concatenate(digests))
+                        texts, digests, held = [], [], 0
                 if told.false_count and (got := of_runs(raw, ident, [r.filter(pa.compute.invert(told)) for r in rows[:4]])):
                     yield got
+        if texts:
+            yield of_paragraphs(texts, np.concatenate(digests))
 
     schema = ", ".join(f"{n} {'array<long>' if n == 'shingles' else 'binary' if n in ('left', 'right') else 'long'}" for n in names)
     return docs.join(grouped, "id").select("id", "raw", "asked").mapInArrow(_merged(run), schema)
@@ -264,10 +288,27 @@ def clusters(texts: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame
     # Each paragraph against one leader first: that of most of its bands.
     led = members.filter("x <> digest").groupBy("x", "digest").agg(F.count("*").alias("bands")).groupBy(F.col("digest").alias("y")).agg(F.max_by("x", "bands").alias("x"))
     links = stored(linked(led.join(brief("x"), "x").join(brief("y"), "y").filter(needed).select("x", "y")), "led")
-    # Members that the leader did not bring into one component are held against each other, each pair once.
-    held = members.join(components(links, "x", "y").withColumnRenamed("node", "digest"), "digest", "left").select("band", "digest", F.coalesce("component", "digest").alias("component"))
-    open_bands = held.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
-    held = stored(held.join(open_bands, "band", "left_semi").join(sets.select("digest", *_SIGNS, size), "digest"), "held")
+
+    def apart_in_bands(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members of bands whose members are in different components, with those, and of each such band its size and these ends."""
+        own = members.join(components(links, "x", "y").withColumnRenamed("node", "digest"), "digest", "left").select("band", "digest", F.coalesce("component", "digest").alias("component"))
+        own = stored(own, "own")
+        return own, own.groupBy("band").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+
+    own, bands = apart_in_bands(links)
+    # A group whose smallest paragraph is like few of it: one of the largest component in each band leads the others of the band.
+    for k in range(ROUNDS):
+        large = own.join(bands.filter(F.col("size") >= LARGE).select("band"), "band", "left_semi")
+        counts = large.groupBy("band", "component").agg(F.count("*").alias("size"), F.min_by("digest", F.xxhash64("digest", "band", F.lit(k))).alias("x"))
+        lead = counts.groupBy("band").agg(F.max(F.struct("size", "component", "x")).alias("lead")).select("band", "lead.x", F.col("lead.component").alias("led"))
+        asked = large.join(lead, "band").filter("component <> led").select("x", F.col("digest").alias("y")).distinct()
+        more = stored(linked(asked.join(brief("x"), "x").join(brief("y"), "y").filter(needed).select("x", "y")), "led")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        own, bands = apart_in_bands(links)
+    # Members that no leader brought into one component are held against each other, each pair once.
+    held = stored(own.join(bands.select("band"), "band", "left_semi").join(sets.select("digest", *_SIGNS, size), "digest"), "held")
     a, b = (held.select("band", F.col("digest").alias(c), *(F.col(v).alias(f"{v}_{c}") for v in ("component", *_SIGNS, "n"))) for c in "xy")
     rest = a.join(b, "band").filter("x < y and component_x <> component_y").filter(needed).select("x", "y").distinct()
     links = links.unionByName(linked(rest))
@@ -294,18 +335,20 @@ def extended(seen: DataFrame) -> DataFrame:
         for b in batches:
             rows: list[tuple] = []
             for ident, begin, end, word, words, keeper, left, right, left_there, right_there in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                own, there = [(m.start(), m[0].lower()) for m in _WORD.finditer(left)], left_there.lower().split()
+                own, there = left.lower().split(), left_there.lower().split()
                 n = 0
-                while n < min(len(own), len(there)) and own[-1 - n][1] == there[-1 - n]:
+                while n < min(len(own), len(there)) and own[-1 - n] == there[-1 - n]:
                     n += 1
                 if n:
-                    begin, word, words = begin - len(left) + own[-n][0], word - n, words + n
-                own, there = [(m.end(), m[0].lower()) for m in _WORD.finditer(right)], right_there.lower().split()
+                    rest = left.rsplit(None, n)
+                    begin, word, words = begin - len(left[len(rest[0]) if len(rest) > n else 0 :].lstrip()), word - n, words + n
+                own, there = right.lower().split(), right_there.lower().split()
                 n = 0
-                while n < min(len(own), len(there)) and own[n][1] == there[n]:
+                while n < min(len(own), len(there)) and own[n] == there[n]:
                     n += 1
                 if n:
-                    end, words = end + own[n - 1][0], words + n
+                    rest = right.split(None, n)
+                    end, words = end + len(right[: len(right) - len(rest[n]) if len(rest) > n else None].rstrip()), words + n
                 rows.append((ident, begin, end, word, words, keeper))
             cols = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["id", "begin", "end", "word", "words", "keeper"])

@@ -184,6 +184,27 @@ def removed_lines(docs):
     return P.near_lines(rows, paragraphs, members, P.looked_up(docs, asked)).collect()
 
 
+def test_a_group_of_near_copies_is_not_held_pair_by_pair(spark, monkeypatch):
+    rnd = random.Random(21)
+    base = words(rnd, 150).split()
+    texts = []
+    for _ in range(500):  # most pairs link, but no paragraph is like all others
+        own = list(base)
+        for k in rnd.sample(range(150), 2):
+            own[k] = words(rnd, 1)
+        texts.append(" ".join(own))
+    rows, inner = {}, P.stored
+    monkeypatch.setattr(P, "stored", lambda df, label: rows.setdefault(label, inner(df, label)) if label == "held" else inner(df, label))
+    want = {i for i, _, head in brute(list(enumerate(texts))) if i != head}
+    docs = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "id long, raw binary")
+    assert len(want) >= 490 and {r.id for r in removed_lines(docs)} == want
+    per_band = rows["held"].groupBy("band", "component").count().collect()
+    sizes = {}
+    for r in per_band:
+        sizes.setdefault(r.band, []).append(r["count"])
+    assert sum((sum(v) ** 2 - sum(n * n for n in v)) // 2 for v in sizes.values()) < 20_000
+
+
 def test_recall_of_similar_lines_by_brute_force(spark):
     rnd = random.Random(12)
     texts = []
