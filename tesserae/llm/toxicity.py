@@ -49,6 +49,8 @@ FEW = 12
 #: A word of more than LONGEST bytes is read in parts of PART bytes, each APART bytes after the one before.
 LONGEST, PART, APART = 64, 24, 12
 BLOCK = 4096
+#: Bytes of texts that are scored at once, one text at least: a worker stays in memory beside those of other stages.
+SCORED = 1 << 19
 _F = np.float32
 _MARK = np.zeros(256, bool)
 _MARK[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
@@ -399,6 +401,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
     return trained_in_a_task(sample(docs, labels), train)
 
 
+def scored_parts(net: Network, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Scores of the texts from each first to each last (exclusive)."""
+    for first, last, buf, offsets in W.chunks(column, SCORED):
+        yield first, last, net.scores(W.split(buf, offsets))
+
+
 def score(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs' key and score."""
     shared = docs.sparkSession.sparkContext.broadcast(net)  # two tables of fixed size
@@ -406,8 +414,8 @@ def score(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for b in batches:
-            for first, last, buf, offsets in W.chunks(b.column(1)):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), pa.array(net.scores(W.split(buf, offsets)), pa.float64())], ["key", "score"])
+            for first, last, found in scored_parts(net, b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), pa.array(found, pa.float64())], ["key", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), text_bytes(F.col(text)).alias("raw")).mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
@@ -421,7 +429,7 @@ def score_rows(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for b in batches:
-            found = [net.scores(W.split(buf, offsets)) for _, _, buf, offsets in W.chunks(b.column(at))]
+            found = [x for *_, x in scored_parts(net, b.column(at))]
             columns = [b.column(k) for k in range(at)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(found) if found else [], pa.float64())], [*b.schema.names[:at], name])
 

@@ -192,3 +192,16 @@ def test_quality_held_out(spark, small):
     held = [d for d in truth if out[d].held_out]
     assert len(out) == spark.read.parquet(f"{small}/documents.parquet").count()
     assert np.mean([out[d].selected == bool(truth[d]) for d in held]) > 0.7
+
+
+def test_scoring_holds_a_bounded_part_of_the_texts():
+    import pyarrow as pa
+
+    from tesserae.llm import toxicity
+
+    net, sizes, inner = toxicity.Network(), [], toxicity.Network.scores
+    net.scores = lambda words: sizes.append(len(words.buf)) or inner(net, words)
+    texts = [b"some words of a text " * n for n in (0, 5000, 9000, 20, 3, 40_000, 7, 9000, 0)]
+    parts = list(toxicity.scored_parts(net, pa.array(texts, pa.binary())))
+    assert [(a, z) for a, z, _ in parts][0][0] == 0 and parts[-1][1] == len(texts) and sum(len(x) for *_, x in parts) == len(texts)
+    assert max(sizes) == len(texts[5]) and sum(n > 1 << 19 for n in sizes) == 1  # only a longer text alone
