@@ -40,9 +40,9 @@ STEPS = 4096
 
 
 def tokens(text: Column) -> Column:
-    """Words of a text: spaces that another character follows, after every separator is a space and the text has one before it."""
-    spaced = F.concat(F.lit(" "), F.translate(F.coalesce(text, F.lit("")), "\t\n\u000b\f\r", "     "))
-    return F.regexp_count(spaced, F.lit(" [^ ]")).cast("long")
+    """Words of a text: the length once separators before the first word are gone, and each word with those after it is one mark. (translate and regexp_count make an object a character and a word.)"""
+    begun = F.ltrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\u000b\f\r"))
+    return F.length(F.regexp_replace(begun, r"[^ \t-\r]++[ \t-\r]*+", ".")).cast("long")
 
 
 def weights(shares: dict, exponent: float, counts: dict | None = None) -> dict:

@@ -20,6 +20,8 @@ SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _RADIX = _U(0x9E3779B97F4A7C15 | 1)
 _RADIX_INV = _U(pow(int(_RADIX), -1, 1 << 64))
 CHUNK_BYTES = 2 << 20
+#: Bytes whose words are hashed at once, the longest word at least: eight bytes of each, several times over.
+HASHED_BYTES = 1 << 18
 
 
 def _table(fold: bool) -> np.ndarray:
@@ -36,8 +38,8 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the radix and of its inverse modulo 2**64, for n positions; kept and extended as needed."""
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, CHUNK_BYTES + 1)
+    if (have := len(_POWERS.get("up", ()))) < n:
+        size = max(n, 2 * have, HASHED_BYTES + 1)
         for name, base in (("up", _RADIX), ("down", _RADIX_INV)):
             p = np.full(size, base, dtype=_U)
             p[0] = 1
@@ -65,9 +67,9 @@ class Words:
     def hashes(self, fold: bool = True) -> np.ndarray:
         out = np.empty(len(self.starts), _U)
         first = 0
-        while first < len(out):  # blocks of whole words, so that memory follows CHUNK_BYTES and the longest word
+        while first < len(out):  # blocks of whole words, so that memory follows HASHED_BYTES and the longest word
             begin = self.starts[first]
-            last = max(first + 1, int(np.searchsorted(self.ends, begin + CHUNK_BYTES, side="right")))
+            last = max(first + 1, int(np.searchsorted(self.ends, begin + min(HASHED_BYTES, CHUNK_BYTES), side="right")))
             starts, ends = self.starts[first:last] - begin, self.ends[first:last] - begin
             part = self.buf[begin : begin + ends[-1]]
             up, down = _powers(len(part) + 1)

@@ -16,6 +16,12 @@ def test_tokens_are_words(spark):
     assert [r.n for r in df.select(M.tokens(F.col("t")).alias("n")).collect()] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in rows]
 
 
+def test_words_between_any_separators_are_counted(spark):
+    rows = ["\n\t", " a", "\r\n" * 9 + "é\x85 b", "w " * 30_000, "x" * 300_000, "\x1c \x1f\x08\x0e", " $1 \\ . "]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    assert [r.n for r in df.select(M.tokens(F.col("t")).alias("n")).collect()] == [len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in rows]
+
+
 def test_exponent_for_repetition_and_entropy():
     shares = {"a": 0.9, "b": 0.09, "c": 0.01}
     a = M.solve(shares, max_repeat=3)

@@ -48,6 +48,15 @@ def test_stages_on_planted_rows(spark, tmp_path):
         assert list(r.ids) == model.encode(cut[r.doc_id].text or "").tolist()
 
 
+def test_texts_are_cut_once(spark, monkeypatch):
+    """Filters on the cut text stay above the cut: below it, each text is cut twice, by twice the workers."""
+    monkeypatch.setattr(C.passages, "find", lambda docs: spark.createDataFrame([(1, 0, 6), (2, 0, 3)], "id long, begin long, end long"))
+    docs = spark.createDataFrame([(1, "abcde fg", "en", "s", 8), (2, "abc", "en", "s", 3), (3, "", "en", "s", 0), (4, "é", "en", "s", 1)], COLUMNS)
+    out = C.cut_shared_passages(spark, docs, "")
+    assert {(r.doc_id, r.text, r.n_chars) for r in out.collect()} == {(1, "fg", 2), (3, "", 0), (4, "é", 1)}
+    assert str(out._jdf.queryExecution().sparkPlan()).count("EvalPython") == 1
+
+
 def test_run_on_the_small_tables(spark, small):
     out = C.run(spark, small)
     assert out.columns == ["doc_id", "ids", "n_ids", "round_trip"] and out.count() > 0

@@ -41,6 +41,13 @@ def test_hash_is_the_same_across_blocks(monkeypatch):
     assert (W.split(buf, np.array([0, len(buf)])).hashes() == whole).all()
 
 
+def test_powers_are_kept_for_a_block_not_a_chunk():
+    W._POWERS.clear()
+    text = b"some words " * 100_000
+    assert len(set(W.split(np.frombuffer(text, np.uint8), np.array([0, len(text)])).hashes().tolist())) == 2
+    assert sum(p.nbytes for p in W._POWERS.values()) <= 8 << 20
+
+
 def test_shingles_by_brute_force():
     ws = "a b c a b c d".split()
     assert len(W.text_shingle_set(" ".join(ws).encode(), 3)) == len({tuple(ws[i : i + 3]) for i in range(5)})
