@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import jaccard_join, mixing, passages, pieces, toxicity
-from tesserae.llm.common import fresh, stored, table
+from tesserae.llm.common import fresh, settled, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,16 +24,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-equal documents, the one with the smallest id, once; if rows of that id differ in their text, each text once."""
-    groups = jaccard_join.join(docs)
     (head,) = fresh(docs, "head")
-    heads = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(head)).distinct()
+    heads = settled(spark, lambda: jaccard_join.join(docs).filter("doc_id = component_id").select(F.col("doc_id").alias(head)).distinct(), "heads")
     kept = docs.join(heads, F.col("doc_id") == F.col(head), "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
 
 def cut_shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that one of a smaller id has; those of which nothing is left go."""
-    ranges = stored(passages.find(docs), "ranges")
+    ranges = settled(spark, lambda: passages.find(docs), "ranges")
     cut = passages.without(docs, ranges)
     gone = (F.col("text") == "") & (F.coalesce(F.col("n_chars"), F.lit(0)) > 0)
     return cut.filter(~F.coalesce(gone, F.lit(False))).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)

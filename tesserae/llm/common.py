@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.sources.scratch import bucketed, scratch, shared_dir, stored
+from tesserae.sources.scratch import bucketed, scratch, settled, shared_dir, stored
 from tesserae.sources.tables import table
 
-__all__ = ["bucketed", "fresh", "scratch", "shared_dir", "stored", "table", "text_bytes", "trained_in_a_task"]
+__all__ = ["bucketed", "fresh", "scratch", "settled", "shared_dir", "stored", "table", "text_bytes", "trained_in_a_task"]
 
 
 def text_bytes(col):

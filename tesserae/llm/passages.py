@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import words as W
-from tesserae.llm.common import fresh, stored, table, text_bytes
+from tesserae.llm.common import bucketed, fresh, stored, table, text_bytes
 from tesserae.operators.graph import components
 
 MIN_WORDS, RUN = 5, 18
@@ -276,7 +276,9 @@ def colliding(paragraphs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def clusters(texts: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
     """(digest, keeper): paragraphs of clusters that span documents, and the smallest document of their cluster. sets: digest, shingles, signature."""
-    sets = sets.dropDuplicates(["digest"])
+    # Dealt by digest once for all the joins below.
+    buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    sets, drop_sets = bucketed(sets.dropDuplicates(["digest"]), "sets", "digest", buckets)
     size = F.size("shingles").cast("long").alias("n")
     brief = lambda c: sets.select(F.col("digest").alias(c), *(F.col(s).alias(f"{s}_{c}") for s in _SIGNS), size.alias(f"n_{c}"))
     side = lambda c: sets.select(F.col("digest").alias(c), F.col("shingles").alias(f"of_{c}"))
@@ -287,15 +289,20 @@ def clusters(texts: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame
     linked = lambda pairs: pairs.join(side("x"), "x").join(side("y"), "y").filter(alike).select("x", "y")
     # Each paragraph against one leader first: that of most of its bands.
     led = members.filter("x <> digest").groupBy("x", "digest").agg(F.count("*").alias("bands")).groupBy(F.col("digest").alias("y")).agg(F.max_by("x", "bands").alias("x"))
-    links = stored(linked(led.join(brief("x"), "x").join(brief("y"), "y").filter(needed).select("x", "y")), "led")
+    links = linked(led.join(brief("x"), "x").join(brief("y"), "y").filter(needed).select("x", "y"))
+    found = components(links, "x", "y")
+
+    def joined_by(more: DataFrame) -> DataFrame:
+        """Components with more links: those found so far stand for the links before."""
+        return components(found.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(more), "x", "y")
 
-    def apart_in_bands(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def apart_in_bands() -> tuple[DataFrame, DataFrame]:
         """Members of bands whose members are in different components, with those, and of each such band its size and these ends."""
-        own = members.join(components(links, "x", "y").withColumnRenamed("node", "digest"), "digest", "left").select("band", "digest", F.coalesce("component", "digest").alias("component"))
+        own = members.join(found.withColumnRenamed("node", "digest"), "digest", "left").select("band", "digest", F.coalesce("component", "digest").alias("component"))
         own = stored(own, "own")
         return own, own.groupBy("band").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
 
-    own, bands = apart_in_bands(links)
+    own, bands = apart_in_bands()
     # A group whose smallest paragraph is like few of it: one of the largest component in each band leads the others of the band.
     for k in range(ROUNDS):
         large = own.join(bands.filter(F.col("size") >= LARGE).select("band"), "band", "left_semi")
@@ -305,14 +312,14 @@ def clusters(texts: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame
         more = stored(linked(asked.join(brief("x"), "x").join(brief("y"), "y").filter(needed).select("x", "y")), "led")
         if more.isEmpty():
             break
-        links = links.unionByName(more)
-        own, bands = apart_in_bands(links)
+        found = joined_by(more)
+        own, bands = apart_in_bands()
     # Members that no leader brought into one component are held against each other, each pair once.
     held = stored(own.join(bands.select("band"), "band", "left_semi").join(sets.select("digest", *_SIGNS, size), "digest"), "held")
     a, b = (held.select("band", F.col("digest").alias(c), *(F.col(v).alias(f"{v}_{c}") for v in ("component", *_SIGNS, "n"))) for c in "xy")
     rest = a.join(b, "band").filter("x < y and component_x <> component_y").filter(needed).select("x", "y").distinct()
-    links = links.unionByName(linked(rest))
-    found = components(links, "x", "y")
+    found = joined_by(linked(rest))
+    drop_sets()  # the rest reads stored tables only
     of = texts.select("digest", "id", "last").join(found.withColumnRenamed("node", "digest"), "digest", "left").filter("component is not null or id < last")
     of = of.withColumn("component", F.coalesce("component", "digest"))
     return of.join(of.groupBy("component").agg(F.min("id").alias("keeper")), "component").select("digest", "keeper")

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import os
 import random
 
 import corpus_pipeline as C
 from tesserae.llm import pieces
+from tesserae.sources import scratch
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -68,3 +70,13 @@ def test_empty_tables(spark, tmp_path):
     for _, stage in C.STAGES:
         docs = stage(spark, docs, str(tmp_path))
     assert docs.count() == 0
+
+
+def test_stages_leave_no_tables_but_what_they_read(spark):
+    docs = spark.createDataFrame([(i, f"one two three four five six {i // 2}", "en", "s", 29) for i in range(8)], COLUMNS)
+    folder = scratch.shared_dir(spark).removeprefix("file:")
+    for stage, label in ((C.keep_one_of_group, "heads"), (C.cut_shared_passages, "ranges")):
+        before = set(os.listdir(folder))
+        out = stage(spark, docs, "")
+        assert [x.split("-")[1] for x in set(os.listdir(folder)) - before] == [label]
+        assert out.count() >= 1
