@@ -60,3 +60,23 @@ def test_lineage_gathers_one_pair_a_title(spark, tmp_path):
     rows = {r.child: (r.parent, r.sim) for r in QUERIES["lineage_similarity"](spark, d).collect()}
     sim = round(18 / 20, 6)
     assert rows == {i: (0, sim) if i < n else (i - n, 1.0) for i in range(1, 2 * n)}
+
+
+def test_components_come_from_as_few_pairs_as_link_the_nodes(spark, tmp_path):
+    rnd = random.Random(3)
+    a, b = np.array([rnd.randrange(300) for _ in range(200)]), np.array([300 + rnd.randrange(300) for _ in range(200)])
+    x, y, _ = S.forest(a, b, np.ones(200))
+
+    def roots(edges):
+        root = list(range(600))
+        for p, q in edges:
+            lo, hi = sorted((root[p], root[q]))
+            root = [lo if r == hi else r for r in root]
+        return root
+
+    assert roots(zip(a, b, strict=True)) == roots(zip(x, y, strict=True)) and len(x) == len({*a, *b}) - len({roots(zip(a, b, strict=True))[k] for k in {*a, *b}})
+    from tesserae.plans import texts
+
+    d = docs(spark, tmp_path, near_titles(60))
+    assert texts.similar_titles(texts.classed(texts.titled(texts._docs(spark, d))), keep=S.forest).count() == 59
+    assert {(r.node, r.component) for r in QUERIES["near_dup_components"](spark, d).collect()} == {(i, 0) for i in range(60)}
