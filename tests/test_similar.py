@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 
 from tesserae.operators import similar as S
 from tesserae.plans.registry import QUERIES
@@ -33,6 +34,25 @@ def brute(sets: dict[int, list[str]], least: float) -> dict[tuple[int, int], flo
     return found
 
 
+@pytest.mark.parametrize("block,small,columns", [(1024, 24, 4096), (7, 0, 5), (20, 4, 64)])
+def test_pairs_are_those_of_brute_force_once_each(spark, monkeypatch, block, small, columns):
+    for name, v in (("BLOCK", block), ("SMALL", small), ("COLUMNS", columns)):
+        monkeypatch.setattr(S, name, v)
+    sets = sets_of(block)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        df = spark.createDataFrame(list(sets.items()), "rep long, sh array<string>")
+        got = sorted((r.a, r.b, r.sim) for r in S.similar(df, 0.6).collect())
+        best = {(r.b, r.a, r.sim) for r in S.similar(df, 0.6, S.senior).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = brute(sets, 0.6)
+    assert len(want) > 1000 and got == sorted((a, b, s) for (a, b), s in want.items())
+    for b in {b for _, b in want}:
+        sim, a = max((s, -a) for (a, y), s in want.items() if y == b)
+        assert (b, -a, sim) in best
+
+
 def test_senior_keeps_one_pair_of_each():
     a, b, sim = S.senior(np.array([3, 1, 2, 9]), np.array([5, 5, 5, 7]), np.array([0.7, 0.8, 0.8, 0.6]))
     assert list(zip(a.tolist(), b.tolist(), sim.tolist(), strict=True)) == [(1, 5, 0.8), (9, 7, 0.6)]
