@@ -12,6 +12,9 @@ from pyspark.sql.window import Window
 
 from tesserae.sources.tables import table
 
+#: Lines of an order a task, where a join of lines makes more rows than it reads.
+TASK_ROWS = 250_000
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -199,11 +202,14 @@ def left_latest(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH p AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), c AS (SELECT a.l_partkey AS part, b.l_partkey AS other, count(*) AS n FROM p a JOIN p b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey
   GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY n DESC, other) AS rank FROM c) SELECT part, other, n, rank FROM r WHERE rank <= 8""")
 def co_occurrence(spark: SparkSession, d: str) -> DataFrame:
-    """What appears with each part in an order, the 8 most frequent."""
-    p = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    """What appears with each part in an order, the 8 most frequent. Tasks grow in number with the lines, not in size; pairs go to the shuffle as they are, as few repeat within a task."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
+    n = max(spark.sparkContext.defaultParallelism, -(-lines.count() // TASK_ROWS))  # the count comes from the files' footers
+    p = lines.repartition(n, "l_orderkey").distinct()
     a, b = p.select("l_orderkey", F.col("l_partkey").alias("part")), p.select("l_orderkey", F.col("l_partkey").alias("other"))
-    c = a.join(b, "l_orderkey").filter("part < other").groupBy("part", "other").agg(F.count("*").alias("n"))  # each pair is counted once, then told both ways
-    both = c.select(F.inline(F.array(F.struct("part", "other", "n"), F.struct(F.col("other").alias("part"), F.col("part").alias("other"), "n"))))
+    pairs = a.join(b, "l_orderkey").filter("part < other").select("part", "other").repartition(n, "part", "other")
+    c = pairs.groupBy("part", "other").agg(F.count("*").alias("n"))  # each pair is counted once, then told both ways
+    both = c.select(F.inline(F.array(F.struct("part", "other", "n"), F.struct(F.col("other").alias("part"), F.col("part").alias("other"), "n")))).repartition(n, "part")
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("n"), "other"))).filter("rank <= 8")
 
 

@@ -24,3 +24,12 @@ def test_entry_imports_without_llm():
 
     code = "import sys; sys.modules['tesserae.llm'] = None; import __spark_entry__ as e; assert 'radar_board' in e.queries() and not any(q.startswith('op') for q in e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0])
+
+
+def test_co_occurrence_has_tasks_by_its_lines(spark, small, monkeypatch):
+    from tesserae.plans import relational
+
+    monkeypatch.setattr(relational, "TASK_ROWS", 500)
+    lines = spark.read.parquet(f"{small}/lineitem.parquet").count()
+    assert QUERIES["co_occurrence"](spark, small).rdd.getNumPartitions() == -(-lines // 500) > 4
+    check(spark, small, QUERIES["co_occurrence"], ORACLE_SQL["co_occurrence"])
