@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from tesserae.functions import numeric as n
@@ -85,3 +86,16 @@ def test_roots_stop_at_hops_and_unknown_parents(spark):
     chain = [(i, i - 1 if i else None) for i in range(12)] + [(100, 999), (200, 201), (201, 200)]
     got = {r.child: (r.root, r.hops) for r in graph.roots(spark.createDataFrame(chain, "child int, parent int"), 8).collect()}
     assert got[8] == (0, 8) and got[11] == (3, 8) and got[0] == (0, 0) and got[200][1] == 8
+
+
+@pytest.mark.parametrize("few,tables", [(graph.FEW, 2), (0, None)])
+def test_few_links_need_no_passes(spark, monkeypatch, few, tables):
+    """A path in any order, a star and a far pair: in one task two tables are written, by passes one each; the results are the same."""
+    made = []
+    monkeypatch.setattr(graph, "stored", lambda df, label, f=graph.stored: made.append(label) or f(df, label))
+    monkeypatch.setattr(graph, "FEW", few)
+    path = [(k * 37) % 101 for k in range(101)]
+    edges = [*zip(path[1:], path[:-1]), *((1000, 1000 + k) for k in range(5)), (1 << 60, -5), (7, 7), (None, 1), (path[0], path[1])]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys(path, 0) | dict.fromkeys(range(1000, 1005), 1000) | {1 << 60: -5, -5: -5}
+    assert len(made) == tables if tables else len(made) > 3
