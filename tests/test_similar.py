@@ -100,3 +100,24 @@ def test_components_come_from_as_few_pairs_as_link_the_nodes(spark, tmp_path):
     d = docs(spark, tmp_path, near_titles(60))
     assert texts.similar_titles(texts.classed(texts.titled(texts._docs(spark, d))), keep=S.forest).count() == 59
     assert {(r.node, r.component) for r in QUERIES["near_dup_components"](spark, d).collect()} == {(i, 0) for i in range(60)}
+
+
+@pytest.mark.parametrize("spread,most", [(2, 1024), (1, 1024), (1, 15)])
+def test_blocks_of_several_tiles_find_the_same(spark, monkeypatch, spread, most):
+    for name, v in (("BLOCK", 7), ("SPREAD", spread), ("MOST", most)):
+        monkeypatch.setattr(S, name, v)
+    sets = sets_of(11, groups=6, each=70)
+    df = spark.createDataFrame(list(sets.items()), "rep long, sh array<string>")
+    want = brute(sets, 0.6)
+    assert len(want) > 1000 and sorted((r.a, r.b, r.sim) for r in S.similar(df, 0.6).collect()) == sorted((a, b, s) for (a, b), s in want.items())
+    best = {(r.b, r.a, r.sim) for r in S.similar(df, 0.6, S.senior).collect()}
+    for b in {b for _, b in want}:
+        sim, a = max((s, -a) for (a, y), s in want.items() if y == b)
+        assert (b, -a, sim) in best
+
+
+def test_long_lists_are_dealt_in_proportion(spark):
+    """A set is copied SPREAD times at most, up to SPREAD x MOST sets in a list."""
+    c = [2, 1024, 1025, 8192, 20_000, S.SPREAD * S.MOST, 1 << 20]
+    got = [r.n for r in spark.createDataFrame([(x,) for x in c], "c long").select("c", S._blocks(S.F.col("c")).alias("n")).orderBy("c").collect()]
+    assert got == [1, 1, 2, 8, 8, 8, 64]
