@@ -3,8 +3,8 @@
 Paragraphs (lines, and blocks of lines between blank lines) of MIN_WORDS words or more are compared by MinHash: BANDS bands
 of ROWS min-hashes over their word shingles (a pair at similarity 0.8 shares no band in 7 of 1000 cases; paragraphs of
 three shingles or fewer, which only link where their sets are equal, need one band). Each paragraph is held against
-the smallest of one of its bands; then ROUNDS times, in large bands whose members this left in different components, against one
-of each band's largest component; then, in all bands that are still so, against the others, unless parity signatures tell
+the smallest of one of its bands; then ROUNDS times (but only while large bands have more than PAIRS pairs a paragraph), in large
+bands whose members this left in different components, against one of each band's largest component; then, in all bands that are still so, against the others, unless parity signatures tell
 that two differ too much. Exact Jaccard of 0.8 or more links; connected components are clusters. Because
 shared passages also start and end inside lines, texts are cut at content-defined anchors too (the smallest k-word hash of
 each window of WINDOW words), so that a passage of more than 50 words is cut alike wherever it stands. From each anchor, the
@@ -47,6 +47,8 @@ SHINGLE, BANDS, ROWS = 5, 7, 3
 NUM, DEN = 80, 100
 #: Rounds of leaders for bands of LARGE paragraphs or more, before what is left is held against each other.
 ROUNDS, LARGE = 3, 16
+#: No round is worth its joins where large bands have at most so many pairs for each paragraph of a band.
+PAIRS = 2
 _U = np.uint64
 #: What spot holds of runs: the first of equal ones in a text, or a later one.
 FIRST, AGAIN = -1, -2
@@ -75,12 +77,28 @@ def _range_hashes(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndar
     return W.mix((total[last] - total[first]) * down[first] + (last - first).astype(_U))
 
 
-def _runs(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first word and number of words of each least run of whole pieces with RUN words or more."""
-    cut = np.append(anchors(hashes), len(hashes))
-    end = np.searchsorted(cut, cut + RUN)
-    start, end = cut[end < len(cut)], cut[end[end < len(cut)]]
-    return _range_hashes(hashes, start, end).view(np.int64), start, end - start
+def _runs(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, hash, first word and number of words of each least run of whole pieces with RUN words or more. Texts are the words from each at to the next.
+
+    All texts of a chunk are cut at once, as anchors() cuts each: those of RUN words have a window at least.
+    """
+    lo, hi = at[:-1], at[1:]
+    long = np.flatnonzero(hi - lo >= RUN)
+    if not len(long):
+        return (np.zeros(0, np.int64),) * 4
+    least = np.lib.stride_tricks.sliding_window_view(W.shingles(hashes, GRAM), WINDOW).argmin(axis=1)
+    windows = hi[long] - lo[long] - GRAM - WINDOW + 2
+    window = np.arange(windows.sum()) + np.repeat(lo[long] - np.cumsum(windows) + windows, windows)
+    anchor = np.zeros(len(hashes) + 1, bool)
+    anchor[window + least[window]] = anchor[lo[long]] = True
+    start = np.flatnonzero(anchor)
+    anchor[hi] = True
+    cut = np.flatnonzero(anchor)
+    doc = np.searchsorted(at, start, side="right") - 1
+    end = cut[np.minimum(np.searchsorted(cut, start + RUN), len(cut) - 1)]
+    held = np.flatnonzero((end >= start + RUN) & (end <= hi[doc]))
+    doc, start, end = doc[held], start[held], end[held]
+    return doc, _range_hashes(hashes, start, end).view(np.int64), start - lo[doc], end - start
 
 
 def _paragraphs(w: W.Words, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,16 +143,14 @@ def scan(docs: DataFrame) -> DataFrame:
             for first, _, buf, offsets in W.chunks(b.column(1)):
                 w = W.split(buf, np.unique(np.concatenate([offsets, np.flatnonzero(buf == 10) + 1])))
                 hashes, at = w.hashes(), np.searchsorted(w.starts, offsets)
-                out = []
-                for k, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)):
-                    if hi - lo >= RUN:
-                        h, start, size = _runs(hashes[lo:hi])
-                        spot = np.full(len(h), AGAIN)
-                        spot[np.unique(h, return_index=True)[1]] = FIRST
-                        out.append(np.stack([h, np.full(len(h), ids[first + k]), (start << BITS) + size, spot]))
-                if out:
-                    cols = np.concatenate(out, axis=1)
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), *[pa.nulls(cols.shape[1], pa.int64())] * BANDS], names)
+                doc, h, start, size = _runs(hashes, at)
+                if len(h):
+                    order = np.argsort(h, kind="stable")  # of equal ones, texts and words ascend
+                    new = np.append(True, (np.diff(h[order]) != 0) | (np.diff(doc[order]) != 0))
+                    spot = np.full(len(h), AGAIN)
+                    spot[order[new]] = FIRST
+                    cols = [h, ids[first + doc], (start << BITS) + size, spot]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), *[pa.nulls(len(h), pa.int64())] * BANDS], names)
                 doc, lo, hi = _paragraphs(w, offsets)
                 if not len(doc):
                     continue
@@ -278,14 +294,14 @@ def clusters(texts: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame
     """(digest, keeper): paragraphs of clusters that span documents, and the smallest document of their cluster. sets: digest, shingles, signature."""
     # Dealt by digest once for all the joins below.
     buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    sets, drop_sets = bucketed(sets.dropDuplicates(["digest"]), "sets", "digest", buckets)
+    sets, drop_sets = bucketed(sets.repartition(buckets, "digest").dropDuplicates(["digest"]), "sets", "digest", buckets)
     size = F.size("shingles").cast("long").alias("n")
     brief = lambda c: sets.select(F.col("digest").alias(c), *(F.col(s).alias(f"{s}_{c}") for s in _SIGNS), size.alias(f"n_{c}"))
     side = lambda c: sets.select(F.col("digest").alias(c), F.col("shingles").alias(f"of_{c}"))
     apart = " + ".join(f"bit_count({s}_x ^ {s}_y)" for s in _SIGNS)  # sets differ in as many shingles as parities at least
     needed = F.expr(f"{DEN + NUM} * ((n_x + n_y - ({apart})) div 2) >= {NUM} * (n_x + n_y)")
     common = F.size(F.array_intersect("of_x", "of_y"))
-    alike = DEN * common >= NUM * (F.size("of_x") + F.size("of_y") - common)
+    alike = (DEN + NUM) * common >= NUM * (F.size("of_x") + F.size("of_y"))  # common once, as a join evaluates it wherever it stands
     linked = lambda pairs: pairs.join(side("x"), "x").join(side("y"), "y").filter(alike).select("x", "y")
     # Each paragraph against one leader first: that of most of its bands.
     led = members.filter("x <> digest").groupBy("x", "digest").agg(F.count("*").alias("bands")).groupBy(F.col("digest").alias("y")).agg(F.max_by("x", "bands").alias("x"))
@@ -302,9 +318,16 @@ def clusters(texts: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame
         own = stored(own, "own")
         return own, own.groupBy("band").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
 
+    def many(bands: DataFrame) -> bool:
+        """Whether large bands have so many pairs that a round costs less than to hold them against each other."""
+        pairs = bands.filter(F.col("size") >= LARGE).agg(F.sum(F.expr("size * (size - 1) div 2"))).first()[0]
+        return (pairs or 0) > PAIRS * members.count()
+
     own, bands = apart_in_bands()
     # A group whose smallest paragraph is like few of it: one of the largest component in each band leads the others of the band.
     for k in range(ROUNDS):
+        if not many(bands):
+            break
         large = own.join(bands.filter(F.col("size") >= LARGE).select("band"), "band", "left_semi")
         counts = large.groupBy("band", "component").agg(F.count("*").alias("size"), F.min_by("digest", F.xxhash64("digest", "band", F.lit(k))).alias("x"))
         lead = counts.groupBy("band").agg(F.max(F.struct("size", "component", "x")).alias("lead")).select("band", "lead.x", F.col("lead.component").alias("led"))

@@ -257,3 +257,38 @@ def test_short_and_wrapped_paragraphs(spark):
     texts = dict(rows)
     found = P.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.id, texts[r.id][r.begin : r.end], r.words, r.keeper) for r in found} == {(2, short, 12, 1), (4, wrap(edited, 10), 60, 3)}
+
+
+def test_texts_of_a_chunk_are_cut_as_each_alone():
+    rnd = np.random.default_rng(4)
+    sizes = [0, 1, 17, 18, 19, 30, 0, 400, 18, 2, 90, 17]
+    for kinds in (3, 1 << 60):
+        hashes = P.W.mix(rnd.integers(0, kinds, sum(sizes)).astype(np.uint64))
+        at = np.cumsum([0, *sizes])
+        want = []
+        for k, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)):
+            if hi - lo >= P.RUN:
+                cut = np.append(P.anchors(hashes[lo:hi]), hi - lo)
+                for start in cut[:-1]:
+                    if len(end := cut[cut >= start + P.RUN]):
+                        want.append((k, start, end[0] - start, P._range_hashes(hashes[lo:hi], cut[cut == start], end[:1]).view(np.int64)[0]))
+        doc, h, start, size = P._runs(hashes, at)
+        assert list(zip(doc, start, size, h, strict=True)) == want and len({k for k, *_ in want}) == 6
+
+
+def test_few_pairs_take_no_rounds_of_leaders(spark, monkeypatch):
+    """Each round joins all sets twice, which costs more than the pairs it spares where bands are small."""
+    rnd = random.Random(31)
+    labels, inner = [], P.stored
+    monkeypatch.setattr(P, "stored", lambda df, label: labels.append(label) or inner(df, label))
+    texts = []
+    for _ in range(30):
+        base = words(rnd, 40).split()
+        for _ in range(4):
+            own = list(base)
+            own[rnd.randrange(40)] = words(rnd, 1)
+            texts.append(" ".join(own))
+    want = {i for i, _, head in brute(list(enumerate(texts))) if i != head}
+    docs = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "id long, raw binary")
+    assert {r.id for r in removed_lines(docs)} == want
+    assert "held" in labels and "led" not in labels
