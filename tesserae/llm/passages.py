@@ -3,7 +3,7 @@
 Paragraphs (lines, and blocks of lines between blank lines) of MIN_WORDS words or more are compared by MinHash: BANDS bands
 of ROWS min-hashes over their word shingles (a pair at similarity 0.8 shares no band in 7 of 1000 cases; paragraphs of
 three shingles or fewer, which only link where their sets are equal, need one band). Each paragraph is held against
-the smallest of one of its bands; then ROUNDS times (but only while large bands have more than PAIRS pairs a paragraph), in large
+the smallest of one of its bands; then ROUNDS times (but only while large bands have more than PAIRS pairs a paragraph, and rounds spare some), in large
 bands whose members this left in different components, against one of each band's largest component; then, in all bands that are still so, against the others, unless parity signatures tell
 that two differ too much. Exact Jaccard of 0.8 or more links; connected components are clusters. Because
 shared passages also start and end inside lines, texts are cut at content-defined anchors too (the smallest k-word hash of
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm import words as W
@@ -47,8 +47,9 @@ SHINGLE, BANDS, ROWS = 5, 7, 3
 NUM, DEN = 80, 100
 #: Rounds of leaders for bands of LARGE paragraphs or more, before what is left is held against each other.
 ROUNDS, LARGE = 3, 16
-#: No round is worth its joins where large bands have at most so many pairs for each paragraph of a band.
-PAIRS = 2
+#: No round is worth its joins where large bands have at most so many pairs for each paragraph of a band, nor another
+#: one after a round that left more than this share of the pairs.
+PAIRS, LEFT = 5, 0.75
 _U = np.uint64
 #: What spot holds of runs: the first of equal ones in a text, or a later one.
 FIRST, AGAIN = -1, -2
@@ -164,8 +165,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def places(runs: DataFrame) -> DataFrame:
     """(id, word, words, keeper, there): runs of words that a document of a smaller id has too, from its word there on. runs: rows of scan()."""
-    shared = runs.filter(F.col("spot") == FIRST).groupBy("h").agg(F.min("id").alias("keeper"), F.min_by("place", "id").alias("there"), F.max("id").alias("top")).filter("keeper < top").drop("top")
-    found = runs.select("h", "id", "place").join(shared, "h").filter("id <> keeper")
+    equal = Window.partitionBy("h")  # one shuffle and sort of all runs, most of which are alone
+    there = F.min_by("place", F.when(F.col("spot") == FIRST, F.col("id"))).over(equal)
+    found = runs.select("h", "id", "place", "spot").select("id", "place", F.min("id").over(equal).alias("keeper"), there.alias("there")).filter("id <> keeper")
     # Bounded by the document's own length. Begin and keeper's distance tell which runs are one.
     per_doc = found.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("place", "keeper", "there"))).alias("marks"))
 
@@ -222,40 +224,52 @@ def looked_up(docs: DataFrame, asked: DataFrame) -> DataFrame:
         cols = [pa.array(digest), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat.view(np.int64))), *(pa.array(x) for x in signs.T.copy())]
         return pa.RecordBatch.from_arrays([*cols, *(pa.nulls(len(texts), k) for k in kinds[of_set:])], names)
 
-    def of_runs(raw: bytes, ident: int, rows: list[pa.Array]) -> pa.RecordBatch | None:
-        w = W.split(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-        n = len(w.starts)
-        word, words = rows[0].to_numpy(), rows[1].to_numpy()
-        held = np.flatnonzero(word + words <= n)  # rows that share an id may have other texts
-        if not len(held):
-            return None
-        word, words = word[held], words[held]
-        h = _range_hashes(w.hashes(), word, word + words).view(np.int64)
-        begin, end = w.starts[word], w.ends[word + words - 1]
-        lead, trail = w.starts[np.maximum(word - BEFORE, 0)], w.ends[np.minimum(word + words + AFTER, n) - 1]
-        left, right = (pa.array([raw[x:y] for x, y in zip(a.tolist(), z.tolist(), strict=True)], pa.binary()) for a, z in ((lead, begin), (end, trail)))
-        cols = [np.full(len(held), ident), word, words, *(r.take(held) for r in rows[2:4]), h, begin, end]
+    def of_runs(raws: list[bytes], ids: list[int], asked: list[pa.Array]) -> pa.RecordBatch:
+        buf, offsets = b"".join(raws), np.cumsum([0, *map(len, raws)])
+        w = W.split(np.frombuffer(buf, np.uint8), offsets)
+        doc = np.repeat(np.arange(len(raws)), [len(r) for r in asked])
+        word, words, keeper, there = pa.concat_arrays(asked).flatten()[:4]
+        low, high = w.bounds[doc], w.bounds[doc + 1]
+        first = low + word.to_numpy()
+        last = first + words.to_numpy()
+        held = np.flatnonzero(last <= high)  # rows that share an id may have other texts
+        low, high, first, last, doc = low[held], high[held], first[held], last[held], doc[held]
+        h = _range_hashes(w.hashes(), first, last).view(np.int64)
+        begin, end = w.starts[first], w.ends[last - 1]
+        lead, trail = w.starts[np.maximum(first - BEFORE, low)], w.ends[np.minimum(last + AFTER, high) - 1]
+        left, right = (pa.array([buf[x:y] for x, y in zip(a.tolist(), z.tolist(), strict=True)], pa.binary()) for a, z in ((lead, begin), (end, trail)))
+        cols = [np.array(ids, np.int64)[doc], *(r.take(held) for r in (word, words, keeper, there)), h, begin - offsets[doc], end - offsets[doc]]
         return pa.RecordBatch.from_arrays([*(pa.nulls(len(held), k) for k in kinds[:of_set]), *(pa.array(c, pa.int64()) for c in cols), left, right], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, digests, held = [], [], 0  # paragraphs of some documents, as steps on few words cost more than the words
+        # Of some documents at once, as steps on few words cost more than the words.
+        texts, digests, held = [], [], 0
+        raws, ids, runs, size = [], [], [], 0
         for b in batches:
             for k in range(b.num_rows):
                 raw, ident = b.column(1)[k].as_py(), b.column(0)[k].as_py()
-                rows = b.column(2)[k].values.flatten()
-                told = rows[4].is_valid()
+                rows = b.column(2)[k].values
+                told = rows.flatten()[4].is_valid()
                 if told.true_count:
-                    found = [raw[p >> BITS : (p >> BITS) + (p & LOW)] for p in rows[5].filter(told).to_pylist()]
+                    found = [raw[p >> BITS : (p >> BITS) + (p & LOW)] for p in rows.flatten()[5].filter(told).to_pylist()]
                     texts += found
-                    digests.append(rows[4].filter(told).to_numpy())
+                    digests.append(rows.flatten()[4].filter(told).to_numpy())
                     held += sum(map(len, found))
                     if held > 1 << 18:
                         yield of_paragraphs(texts, np.concatenate(digests))
                         texts, digests, held = [], [], 0
-                if told.false_count and (got := of_runs(raw, ident, [r.filter(pa.compute.invert(told)) for r in rows[:4]])):
-                    yield got
+                if told.false_count:
+                    raws.append(raw)
+                    ids.append(ident)
+                    runs.append(rows.filter(pa.compute.invert(told)) if told.true_count else rows)
+                    size += len(raw)
+                    if size > 1 << 18:
+                        yield of_runs(raws, ids, runs)
+                        raws, ids, runs, size = [], [], [], 0
         if texts:
             yield of_paragraphs(texts, np.concatenate(digests))
+        if raws:
+            yield of_runs(raws, ids, runs)
 
     schema = ", ".join(f"{n} {'array<long>' if n == 'shingles' else 'binary' if n in ('left', 'right') else 'long'}" for n in names)
     return docs.join(grouped, "id").select("id", "raw", "asked").mapInArrow(_merged(run), schema)
@@ -286,17 +300,18 @@ def colliding(paragraphs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = paragraphs.groupBy(F.col("h").alias("digest")).agg(F.min("id").alias("id"), F.min_by("spot", "id").alias("spot"), F.max("id").alias("last"), *(F.min(k).alias(k) for k in _KEYS))
     texts = stored(texts, "texts")
     banded = texts.select("digest", F.explode(F.array(*_KEYS)).alias("band")).filter("band is not null")
-    leads = banded.groupBy("band").agg(F.min("digest").alias("x"), F.max("digest").alias("top")).filter("x < top").drop("top")
-    return texts, stored(banded.join(leads, "band"), "members")
+    band = Window.partitionBy("band")
+    members = banded.select("band", "digest", F.min("digest").over(band).alias("x"), F.max("digest").over(band).alias("top")).filter("x < top").drop("top")
+    return texts, stored(members, "members")
 
 
 def clusters(texts: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
     """(digest, keeper): paragraphs of clusters that span documents, and the smallest document of their cluster. sets: digest, shingles, signature."""
     # Dealt by digest once for all the joins below.
     buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    sets, drop_sets = bucketed(sets.repartition(buckets, "digest").dropDuplicates(["digest"]), "sets", "digest", buckets)
-    size = F.size("shingles").cast("long").alias("n")
-    brief = lambda c: sets.select(F.col("digest").alias(c), *(F.col(s).alias(f"{s}_{c}") for s in _SIGNS), size.alias(f"n_{c}"))
+    size = F.size("shingles").cast("long").alias("n")  # a column of its own, so that what asks for sizes reads no shingles
+    sets, drop_sets = bucketed(sets.select("digest", "shingles", *_SIGNS, size).repartition(buckets, "digest").dropDuplicates(["digest"]), "sets", "digest", buckets)
+    brief = lambda c: sets.select(F.col("digest").alias(c), *(F.col(s).alias(f"{s}_{c}") for s in _SIGNS), F.col("n").alias(f"n_{c}"))
     side = lambda c: sets.select(F.col("digest").alias(c), F.col("shingles").alias(f"of_{c}"))
     apart = " + ".join(f"bit_count({s}_x ^ {s}_y)" for s in _SIGNS)  # sets differ in as many shingles as parities at least
     needed = F.expr(f"{DEN + NUM} * ((n_x + n_y - ({apart})) div 2) >= {NUM} * (n_x + n_y)")
@@ -318,18 +333,20 @@ def clusters(texts: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame
         own = stored(own, "own")
         return own, own.groupBy("band").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
 
-    def many(bands: DataFrame) -> bool:
-        """Whether large bands have so many pairs that a round costs less than to hold them against each other."""
-        pairs = bands.filter(F.col("size") >= LARGE).agg(F.sum(F.expr("size * (size - 1) div 2"))).first()[0]
-        return (pairs or 0) > PAIRS * members.count()
-
     own, bands = apart_in_bands()
     # A group whose smallest paragraph is like few of it: one of the largest component in each band leads the others of the band.
+    most, before = PAIRS * members.count(), None
     for k in range(ROUNDS):
-        if not many(bands):
+        big = bands.filter(F.col("size") >= LARGE)
+        if (big.agg(F.sum(F.expr("size * (size - 1) div 2"))).first()[0] or 0) <= most:
             break
-        large = own.join(bands.filter(F.col("size") >= LARGE).select("band"), "band", "left_semi")
+        large = stored(own.join(big.select("band"), "band", "left_semi"), "large")
         counts = large.groupBy("band", "component").agg(F.count("*").alias("size"), F.min_by("digest", F.xxhash64("digest", "band", F.lit(k))).alias("x"))
+        # Pairs of different components only: those are held against each other.
+        pairs = counts.groupBy("band").agg(F.expr("(sum(size) * sum(size) - sum(size * size)) div 2").alias("pairs")).agg(F.sum("pairs")).first()[0]
+        if pairs <= most or (before is not None and pairs > LEFT * before):
+            break
+        before = pairs
         lead = counts.groupBy("band").agg(F.max(F.struct("size", "component", "x")).alias("lead")).select("band", "lead.x", F.col("lead.component").alias("led"))
         asked = large.join(lead, "band").filter("component <> led").select("x", F.col("digest").alias("y")).distinct()
         more = stored(linked(asked.join(brief("x"), "x").join(brief("y"), "y").filter(needed).select("x", "y")), "led")
@@ -338,7 +355,7 @@ def clusters(texts: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame
         found = joined_by(more)
         own, bands = apart_in_bands()
     # Members that no leader brought into one component are held against each other, each pair once.
-    held = stored(own.join(bands.select("band"), "band", "left_semi").join(sets.select("digest", *_SIGNS, size), "digest"), "held")
+    held = stored(own.join(bands.select("band"), "band", "left_semi").join(sets.select("digest", *_SIGNS, "n"), "digest"), "held")
     a, b = (held.select("band", F.col("digest").alias(c), *(F.col(v).alias(f"{v}_{c}") for v in ("component", *_SIGNS, "n"))) for c in "xy")
     rest = a.join(b, "band").filter("x < y and component_x <> component_y").filter(needed).select("x", "y").distinct()
     found = joined_by(linked(rest))
@@ -356,6 +373,26 @@ def near_lines(paragraphs: DataFrame, texts: DataFrame, members: DataFrame, sets
     return marks.select("id", begin.alias("begin"), (begin + size).alias("end"), F.shiftright("place", BITS).alias("word"), F.col("place").bitwiseAND(LOW).alias("words"), "keeper")
 
 
+def _common(own: pa.Array, there: pa.Array, most: int, back: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Words that the texts of each row have in common, of most from the start (back: from the end), and the bytes that they span in own, from its start (end)."""
+    sides = []
+    for column in (own, there):
+        _, _, buf, offsets = next(W.chunks(column, 1 << 62), (0, 0, np.zeros(0, np.uint8), np.zeros(1, np.int64)))
+        w = W.split(buf, offsets)
+        steps = np.arange(most)
+        at = w.bounds[1:, None] - 1 - steps if back else w.bounds[:-1, None] + steps
+        held = (at >= w.bounds[:-1, None]) & (at < w.bounds[1:, None])
+        sides.append((w, np.append(w.hashes(), _U(0))[np.where(held, at, -1)], held))
+    (w, a, has), (_, b, have) = sides
+    n = np.logical_and.accumulate((a == b) & has & have, axis=1).sum(axis=1)
+    some, span = np.flatnonzero(n), np.zeros(len(n), np.int64)
+    if back:
+        span[some] = w.offsets[some + 1] - w.starts[w.bounds[some + 1] - n[some]]
+    else:
+        span[some] = w.ends[w.bounds[some] + n[some] - 1] - w.offsets[some]
+    return n, span
+
+
 def extended(seen: DataFrame) -> DataFrame:
     """(id, begin, end, word, words, keeper) of the runs that their keeper holds word by word, to the true ends of the match. seen: rows of looked_up()."""
     other = seen.filter("keeper is null").select(F.col("id").alias("keeper"), F.col("word").alias("there"), "words", "h", F.col("left").alias("left_there"), F.col("right").alias("right_there"))
@@ -363,24 +400,10 @@ def extended(seen: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple] = []
-            for ident, begin, end, word, words, keeper, left, right, left_there, right_there in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                own, there = left.lower().split(), left_there.lower().split()
-                n = 0
-                while n < min(len(own), len(there)) and own[-1 - n] == there[-1 - n]:
-                    n += 1
-                if n:
-                    rest = left.rsplit(None, n)
-                    begin, word, words = begin - len(left[len(rest[0]) if len(rest) > n else 0 :].lstrip()), word - n, words + n
-                own, there = right.lower().split(), right_there.lower().split()
-                n = 0
-                while n < min(len(own), len(there)) and own[n] == there[n]:
-                    n += 1
-                if n:
-                    rest = right.split(None, n)
-                    end, words = end + len(right[: len(right) - len(rest[n]) if len(rest) > n else None].rstrip()), words + n
-                rows.append((ident, begin, end, word, words, keeper))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
+            ident, begin, end, word, words, keeper = (c.to_numpy() for c in b.columns[:6])
+            before, lead = _common(b.column(6), b.column(8), BEFORE, back=True)
+            after, trail = _common(b.column(7), b.column(9), AFTER, back=False)
+            cols = [ident, begin - lead, end + trail, word - before, words + before + after, keeper]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["id", "begin", "end", "word", "words", "keeper"])
 
     return pairs.select("id", "begin", "end", "word", "words", "keeper", "left", "right", "left_there", "right_there").mapInArrow(run, "id long, begin long, end long, word long, words long, keeper long")
@@ -408,16 +431,16 @@ def removals(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple] = []
-            for ident, marked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                at = word = 0
-                for m in marked:
-                    end = -m["end"]
-                    if end > at:
-                        last = m["word"] + m["words"]
-                        rows.append((ident, max(at, m["begin"]), end, last - max(word, m["word"]), m["keeper"]))
-                        at, word = end, last
-            cols = list(zip(*rows, strict=True)) or [()] * 5
+            marks = b.column(1)
+            doc = np.repeat(np.arange(b.num_rows), pa.compute.list_value_length(marks).to_numpy())
+            begin, end, keeper, word, words = (marks.flatten().field(k).to_numpy() for k in range(5))
+            end, last = -end, word + words
+            top = np.maximum.accumulate((doc << BITS) + end)  # of a document's marks, those until here
+            at = np.maximum(np.append(0, top)[:-1] - (doc << BITS), 0)
+            taken = np.flatnonzero(end > at)
+            doc, begin, end, word, last = doc[taken], np.maximum(at, begin)[taken], end[taken], word[taken], last[taken]
+            told = np.where(np.append(True, doc[1:] != doc[:-1])[: len(doc)], 0, np.append(0, last)[:-1])  # words until the mark before
+            cols = [b.column(0).to_numpy()[doc], begin, end, last - np.maximum(told, word), keeper[taken]]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["id", "begin", "end", "words", "keeper"])
 
     return per_doc.mapInArrow(run, "id long, begin long, end long, words long, keeper long")

@@ -292,3 +292,63 @@ def test_few_pairs_take_no_rounds_of_leaders(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "id long, raw binary")
     assert {r.id for r in removed_lines(docs)} == want
     assert "held" in labels and "led" not in labels
+
+
+def test_rounds_of_leaders_end_once_they_spare_no_pairs(spark, monkeypatch):
+    """Variants of which each is like one other only: a leader brings few of a band together, so one round is all that is tried."""
+    rnd = random.Random(3)
+    base, texts = words(rnd, 100).split(), []
+    for _ in range(150):
+        own = list(base)
+        for k in rnd.sample(range(4, 96), 2):
+            own[k] = words(rnd, 1)
+        near = list(own)
+        near[rnd.randrange(4, 96)] = words(rnd, 1)
+        texts += [" ".join(own), " ".join(near)]
+    labels, inner = [], P.stored
+    monkeypatch.setattr(P, "stored", lambda df, label: labels.append(label) or inner(df, label))
+    monkeypatch.setattr(P, "PAIRS", 2)
+    want = {i for i, _, head in brute(list(enumerate(texts))) if i != head}
+    assert {r.id for r in removed_lines(spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "id long, raw binary"))} == want
+    assert labels.count("led") == 1
+
+
+def test_runs_and_bands_are_shuffled_once(spark):
+    rows = P.scan(spark.createDataFrame([(i, b"some words of a text " * 9) for i in range(4)], "id long, raw binary"))
+    plan = P.places(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(h#") == 1
+
+
+def test_words_in_common_as_counted_one_by_one():
+    rnd = random.Random(2)
+    texts = lambda: b"".join(rnd.choice([b"ab", b"AB", b"\xc3\xa9", b"c", b" ", b" \n", b"\t\x0b", b" "]) for _ in range(rnd.randrange(0, 40)))
+    pairs = [(texts(), texts()) for _ in range(300)]
+    pairs += [(x := texts(), rnd.choice([x.upper(), b"zz " + x, x + b" zz"])) for _ in range(300)] + [(b"", b""), (b" ", b"a")]
+    own, there = (P.pa.array(c, P.pa.binary()) for c in zip(*pairs, strict=True))
+    for back in (False, True):
+        n, span = P._common(own, there, 7, back)
+        for k, (a, b) in enumerate(pairs):
+            x, y = (t.lower().split()[:: -1 if back else 1][:7] for t in (a, b))
+            same = next((i for i, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y)))  # noqa: B905
+            cut = 0
+            if same and back:
+                rest = a.rsplit(None, same)
+                cut = len(a[len(rest[0]) if len(rest) > same else 0 :].lstrip())
+            elif same:
+                rest = a.split(None, same)
+                cut = len(a[: len(a) - len(rest[same]) if len(rest) > same else None].rstrip())
+            assert (n[k], span[k]) == (same, cut)
+
+
+def test_ranges_of_a_document_are_disjoint_and_count_their_words(spark):
+    """Rows that overlap, nest and touch, in documents that share an Arrow batch."""
+    rnd = random.Random(14)
+    lines = [words(rnd, n) for n in (8, 9, 12, 30, 60)]
+    texts = {i: "\n".join(rnd.choice(lines + [words(rnd, 7)]) for _ in range(rnd.randrange(1, 9))) + "\n\n" * rnd.randrange(2) for i in range(80)}
+    found = P.find(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert len({r.id for r in found}) > 60
+    for i, t in texts.items():
+        at = 0
+        for r in sorted((r for r in found if r.id == i), key=lambda r: r.begin):
+            assert at <= r.begin < r.end <= len(t) and r.keeper < i and r.words == len(t[r.begin : r.end].split())
+            at = r.end
