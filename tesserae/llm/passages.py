@@ -3,7 +3,7 @@
 Paragraphs (lines, and blocks of lines between blank lines) of MIN_WORDS words or more are compared by MinHash: BANDS bands
 of ROWS min-hashes over their word shingles (a pair at similarity 0.8 shares no band in 7 of 1000 cases; paragraphs of
 three shingles or fewer, which only link where their sets are equal, need one band). Each paragraph is held against
-the smallest of one of its bands; then ROUNDS times (but only while large bands have more than PAIRS pairs a paragraph, and rounds spare some), in large
+the smallest of one of its bands; then ROUNDS times (but only while large bands have more than PAIRS pairs a paragraph, and the round before spared more), in large
 bands whose members this left in different components, against one of each band's largest component; then, in all bands that are still so, against the others, unless parity signatures tell
 that two differ too much. Exact Jaccard of 0.8 or more links; connected components are clusters. Because
 shared passages also start and end inside lines, texts are cut at content-defined anchors too (the smallest k-word hash of
@@ -48,8 +48,8 @@ NUM, DEN = 80, 100
 #: Rounds of leaders for bands of LARGE paragraphs or more, before what is left is held against each other.
 ROUNDS, LARGE = 3, 16
 #: No round is worth its joins where large bands have at most so many pairs for each paragraph of a band, nor another
-#: one after a round that left more than this share of the pairs.
-PAIRS, LEFT = 5, 0.75
+#: one after a round that spared no more.
+PAIRS = 2
 _U = np.uint64
 #: What spot holds of runs: the first of equal ones in a text, or a later one.
 FIRST, AGAIN = -1, -2
@@ -344,7 +344,7 @@ def clusters(texts: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame
         counts = large.groupBy("band", "component").agg(F.count("*").alias("size"), F.min_by("digest", F.xxhash64("digest", "band", F.lit(k))).alias("x"))
         # Pairs of different components only: those are held against each other.
         pairs = counts.groupBy("band").agg(F.expr("(sum(size) * sum(size) - sum(size * size)) div 2").alias("pairs")).agg(F.sum("pairs")).first()[0]
-        if pairs <= most or (before is not None and pairs > LEFT * before):
+        if before is not None and before - pairs <= most:
             break
         before = pairs
         lead = counts.groupBy("band").agg(F.max(F.struct("size", "component", "x")).alias("lead")).select("band", "lead.x", F.col("lead.component").alias("led"))

@@ -307,7 +307,6 @@ def test_rounds_of_leaders_end_once_they_spare_no_pairs(spark, monkeypatch):
         texts += [" ".join(own), " ".join(near)]
     labels, inner = [], P.stored
     monkeypatch.setattr(P, "stored", lambda df, label: labels.append(label) or inner(df, label))
-    monkeypatch.setattr(P, "PAIRS", 2)
     want = {i for i, _, head in brute(list(enumerate(texts))) if i != head}
     assert {r.id for r in removed_lines(spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "id long, raw binary"))} == want
     assert labels.count("led") == 1
